@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+All inputs of this library are finite dumps and none of its results are windows
+over arriving data, so there is nothing here to run as a stream.
+"""
