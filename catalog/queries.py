@@ -12,7 +12,7 @@ from tidemark.functions import text as tx
 from tidemark.functions.fixed_values import EMOTIONS, POLARITIES
 from tidemark.operators import activity, affect, classifier, cohort, embedding, evaluate, ranksum, sampling, tfidf
 from tidemark.operators import words as wd
-from tidemark.sizes import inline_table
+from tidemark.sizes import inline_table, spread
 from tidemark.sources import posts as ps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def rounded(name: str, digits: int = 9) -> Column:
     return F.round(name, digits).alias(name)
 
@@ -37,7 +41,7 @@ def rounded(name: str, digits: int = 9) -> Column:
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.when(F.col("toxic") == 1, "a").otherwise("b").alias("class"))
-    return table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return spread(table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id"))
 
 
 def class_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,38 +98,38 @@ def token_source(spark, folder):
 
 @query
 def clean_text_regex(spark, folder):
-    return table(spark, folder, "pages").select("page_id", tx.clean_text(F.col("html")).alias("text"))
+    return texts(spark, folder, "pages", "page_id", "html").select("page_id", tx.clean_text(F.col("html")).alias("text"))
 
 
 @query
 def clean_text_literal(spark, folder):
-    return table(spark, folder, "pages").select("page_id", tx.clean_text(F.col("html"), "literal").alias("text"))
+    return texts(spark, folder, "pages", "page_id", "html").select("page_id", tx.clean_text(F.col("html"), "literal").alias("text"))
 
 
 @query
 def tokens(spark, folder):
     words = tx.word_array(F.col("text"), tx.default_stopwords())
-    docs = table(spark, folder, "documents").select("doc_id", words.alias("words"))
+    docs = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", words.alias("words"))
     return docs.select("doc_id", F.size("words").alias("n_tokens"), F.array_join("words", " ").alias("joined"))
 
 
 @query
 def stopword_filter(spark, folder):
-    words = tx.explode_words(table(spark, folder, "documents"), "text", [])
+    words = tx.explode_words(texts(spark, folder, "documents", "text"), "text", [])
     kept = tx.drop_stopwords(words, inline_table(spark, ["word"], [(w,) for w in STOP_TABLE]))
     return kept.groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query
 def lemma_join(spark, folder):
-    words = tx.explode_words(table(spark, folder, "documents"), "text", [], tx.default_stopwords())
+    words = tx.explode_words(texts(spark, folder, "documents", "text"), "text", [], tx.default_stopwords())
     lemmas = tx.lemmatise(words, inline_table(spark, ["surface", "lemma"], LEMMAS))
     return lemmas.groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query
 def last_n_tokens(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", tx.last_tokens(F.col("text"), 50).alias("text"))
+    return texts(spark, folder, "documents", "doc_id", "text").select("doc_id", tx.last_tokens(F.col("text"), 50).alias("text"))
 
 
 @query

@@ -103,6 +103,28 @@ def explode_words(df: DataFrame, text: str, keep: Iterable[str], stopwords: Iter
     return words.where(keep_word(F.col("word"), stopwords))
 
 
+def tally_words(df: DataFrame, keep: Iterable[str], words: str = "words") -> DataFrame:
+    """One row per different word of each row's array, with its count ``tf``.
+
+    A document's words are all in one row, so counting needs no shuffle: in the
+    sorted array a word's count is the distance between two places where the
+    word changes.
+    """
+    keep = list(keep)
+    # No filter on the array: it would be pushed below the projection that makes
+    # the array, which would then be made twice.
+    ordered = df.select(*keep, F.array_sort(words).alias("_w"))
+    places = F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1)))
+    counted = F.transform(
+        "_at",
+        lambda at, k: F.struct(
+            F.get("_w", at).alias("word"), (F.coalesce(F.get("_at", k + 1), F.size("_w")) - at).alias("tf")
+        ),
+    )
+    return ordered.withColumn("_at", starts).select(*keep, F.inline(counted))
+
+
 def drop_stopwords(words: DataFrame, stopwords: DataFrame) -> DataFrame:
     """Anti join with a stop-word table ``(word)``."""
     return words.join(checked_broadcast(stopwords.select("word")), "word", "left_anti")

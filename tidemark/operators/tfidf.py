@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import TFIDF_PICKS
+from tidemark.functions.text import tally_words
 
 
 def tfidf_weights(docs: DataFrame, doc: str, words: str = "words", label: str = "class") -> DataFrame:
@@ -20,19 +21,14 @@ def tfidf_weights(docs: DataFrame, doc: str, words: str = "words", label: str =
     words do not count.  The join on the word may be as skewed as the language
     is; it is an inner join that adaptive execution splits.
     """
-    filled = docs.where(F.size(words) > 0).select(label, doc, words)
-    counts = (
-        filled.select(label, doc, F.explode(words).alias("word"))
-        .groupBy(label, doc, "word")
-        .agg(F.count("*").alias("tf"))
-    )
+    counts = tally_words(docs, [label, doc], words)
     frequency = (
-        filled.select(label, F.explode(F.array_distinct(words)).alias("word"))
+        docs.select(label, F.explode(F.array_distinct(words)).alias("word"))
         .groupBy(label, "word")
         .agg(F.count("*").alias("df"))
     )
     # One row per class.
-    sizes = filled.groupBy(label).agg(F.count("*").alias("n"))
+    sizes = docs.groupBy(label).agg(F.count_if(F.size(words) > 0).alias("n"))
     idf = frequency.join(F.broadcast(sizes), label).select(
         label, "word", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
     )

@@ -37,14 +37,15 @@ def tokenised_posts(
     stop = default_stopwords() if stopwords is None else stopwords
     both = cohort.label_cohorts({"a": cohort.cut_by_time(cohort_a, communities), "b": cohort_b})
     source = token_source(F.col("body"), F.col("selftext"), F.col("title"))
-    tokens = both.select(key, "class", word_array(source, stop).alias("words"))
-    return tokens.where(F.size("words") > 0)
+    return both.select(key, "class", word_array(source, stop).alias("words"))
 
 
 def compare_cohorts(tokens: DataFrame, lexicon: DataFrame, folder: str, key: str) -> dict[str, DataFrame]:
     """All comparison tables of two tokenised cohorts."""
     spark = tokens.sparkSession
-    stored = materialize(spark, f"{folder}/tokens", lambda: tokens)
+    # Posts without words are dropped after the tokens are stored: before, the
+    # filter would be pushed down and every text tokenised twice.
+    stored = materialize(spark, f"{folder}/tokens", lambda: tokens).where(F.size("words") > 0)
     single = stored.select("class", F.explode("words").alias("word"))
     table = materialize(spark, f"{folder}/word_table", lambda: words.word_metric(words.word_shares(single)))
     wide = materialize(spark, f"{folder}/affects", lambda: affect.affect_wide(stored, lexicon, [key, "class"]))

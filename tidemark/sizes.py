@@ -28,6 +28,16 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table kept in fewer files than there are cores.
+
+    A small file is one task, which leaves the other cores idle in the costly
+    text steps.  A table in many files feeds all cores already and is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join ``left`` to ``right``, which holds one row per key.
 
