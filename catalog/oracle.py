@@ -143,7 +143,7 @@ def oracle_sql() -> dict[str, str]:
     priority = "CASE event_type " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SOURCES, 1)) + " END"
     order = "CASE event_type " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(COMMUNITIES, 1)) + " END"
     sampled = """(SELECT user_id FROM (SELECT DISTINCT user_id FROM events)
-                  ORDER BY md5('42:' || user_id), user_id LIMIT 20)"""
+                  ORDER BY md5('42:' || user_id), user_id LIMIT 10)"""
     trim = f"'^[{SPACE}]+|[{SPACE}]+$', '', 'g'"
     ranks = """SELECT {f} AS feature, c1, c2, c1 + c2 AS c,
         sum(c1 + c2) OVER (PARTITION BY {f} ORDER BY v) - (c1 + c2) AS before FROM vc"""

@@ -211,7 +211,7 @@ def event_window(spark, folder):
 
 @query
 def sample_n(spark, folder):
-    return sampling.sample_n(timeline(spark, folder), "user_id", 20)
+    return sampling.sample_n(timeline(spark, folder), "user_id", 10)
 
 
 @query
@@ -254,7 +254,7 @@ def train_test_split_exact(spark, folder):
 @query
 def posts_of_authors(spark, folder):
     posts = timeline(spark, folder)
-    return cohort.posts_of_authors(posts, sampling.sample_n(posts, "user_id", 20), "user_id").select("event_id", "user_id")
+    return cohort.posts_of_authors(posts, sampling.sample_n(posts, "user_id", 10), "user_id").select("event_id", "user_id")
 
 
 @query

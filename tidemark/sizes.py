@@ -35,21 +35,23 @@ def spread(df: DataFrame) -> DataFrame:
     text steps.  A table in many files feeds all cores already and is not moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join ``left`` to ``right``, which holds one row per key.
 
     One key may hold a large part of ``left``.  Its rows are dealt over
-    ``salts`` sub-keys and the (narrow) right rows are copied to each.  Because
+    ``salts`` sub-keys (a power of two), and the narrow right rows are copied to
+    each.  The salt depends on the row alone, so a retried task deals the same
+    rows to the same sub-keys.  Because
     the join is not partitioned by the bare key, a later ``groupBy`` on that key
     does not forbid adaptive execution to split the hot partitions further.
     When the right side is small Spark turns this into a broadcast join.
     """
     on = list(on)
     kept = left.columns + [c for c in right.columns if c not in on]
-    spread = [F.col(c) for c, kind in left.dtypes if "map<" not in kind]
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    row = [F.col(c) for c, kind in left.dtypes if "map<" not in kind]
+    salted = left.withColumn("_salt", F.xxhash64(*row).bitwiseAND(F.lit(salts - 1)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return salted.join(copies, [*on, "_salt"], how).select(*kept)
