@@ -423,7 +423,7 @@ def mann_whitney(spark, folder):
 
 @query
 def mann_whitney_p(spark, folder):
-    return ranksum.with_p_value(_tested(spark, folder)).select("feature", rounded("z"), rounded("p"))
+    return ranksum.with_p_value(_tested(spark, folder)).select("feature", rounded("z"), rounded("p", 7))
 
 
 @query

@@ -19,7 +19,8 @@ def tfidf_weights(docs: DataFrame, doc: str, words: str = "words", label: str =
 
     ``docs`` holds one row per document with its word array; documents without
     words do not count.  The join on the word may be as skewed as the language
-    is; it is an inner join that adaptive execution splits.
+    is; it is an inner join that adaptive execution splits.  Its other side has
+    one narrow row per word, so it is hashed rather than both sides sorted.
     """
     counts = tally_words(docs, [label, doc], words)
     frequency = (
@@ -32,9 +33,10 @@ def tfidf_weights(docs: DataFrame, doc: str, words: str = "words", label: str =
     idf = frequency.join(F.broadcast(sizes), label).select(
         label, "word", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    weighted = counts.join(idf, [label, "word"]).withColumn("w", F.col("tf") * F.col("idf"))
-    # A document's words, which fitted one row before.
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(label, doc)))
+    weighted = counts.join(idf.hint("shuffle_hash"), ["word", label]).withColumn("w", F.col("tf") * F.col("idf"))
+    # A document's words, which fitted one row before.  The key with many values
+    # comes first: sorting compares it without looking at the others.
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc, label)))
     return weighted.select(label, doc, "word", "n", (F.col("w") / length).alias("weight"))
 
 

@@ -111,19 +111,31 @@ def top_words(counts: DataFrame, k: int = TOP_WORDS_PER_CLASS, label: str = "cla
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _choice(place: int, rule: str, band: int, k: int, score: Column) -> Column:
+def _choice(rule: str, place: Column, band: Column, k: Column, score: Column) -> Column:
     return F.struct(
-        F.lit(place).alias("place"),
+        place.alias("place"),
         F.lit(rule).alias("rule"),
-        F.lit(band).alias("band"),
-        F.lit(k).alias("k"),
+        band.alias("band"),
+        k.alias("k"),
         score.cast("double").alias("score"),
     )
 
 
+def _plain(rule: str, place: int, k: int, score: Column) -> Column:
+    return _choice(rule, F.lit(place), F.lit(0), F.lit(k), score)
+
+
 def _absolute_choices() -> list[Column]:
     by = {"share_a": F.col("share_a"), "share_b": F.col("share_b"), "total": F.col("count_total")}
-    return [_choice(i, rule, 0, ABSOLUTE_PICKS, value) for i, (rule, value) in enumerate(by.items(), start=1)]
+    return [_plain(rule, i, ABSOLUTE_PICKS, value) for i, (rule, value) in enumerate(by.items(), start=1)]
+
+
+def _by_band(value: dict[int, int], share: Column) -> Column:
+    """``value`` of the band a share lies in, NULL outside all bands."""
+    found = F.lit(None).cast("int")
+    for band, (low, high) in SHARE_BANDS.items():
+        found = F.when((share > low) & (share <= high), value[band]).otherwise(found)
+    return found
 
 
 def _banded_choices() -> list[Column]:
@@ -131,19 +143,18 @@ def _banded_choices() -> list[Column]:
     for at, (rule, picks) in enumerate(BAND_PICKS.items()):
         own, other = ("share_a", "share_b") if rule.startswith("a") else ("share_b", "share_a")
         score = F.col("ratio") if rule.endswith("top") else -F.col("ratio")
-        for band, k in picks.items():
-            low, high = SHARE_BANDS[band]
-            inside = (F.col(own) > low) & (F.col(own) <= high) & (F.col(other) > OTHER_SHARE_FLOOR)
-            # First pass before second; within a pass band by band, top before bottom.
-            place = 100 * (1 + at // 2) + 2 * band + at % 2
-            if k > 0:
-                choices.append(F.when(inside, _choice(place, rule, band, k, score)))
+        band = _by_band({b: b for b in SHARE_BANDS}, F.col(own))
+        k = _by_band(picks, F.col(own))
+        # First pass before second; within a pass band by band, top before bottom.
+        place = 2 * band + F.lit(100 * (1 + at // 2) + at % 2)
+        if any(picks.values()):
+            choices.append(F.when((k > 0) & (F.col(other) > OTHER_SHARE_FLOOR), _choice(rule, place, band, k, score)))
     return choices
 
 
 def _metric_choices() -> list[Column]:
     metric = F.col("metric")
-    return [F.when(metric.isNotNull(), _choice(900, "metric", 0, METRIC_PICKS, metric))]
+    return [F.when(metric.isNotNull(), _plain("metric", 900, METRIC_PICKS, metric))]
 
 
 def _pick(table: DataFrame, choices: list[Column]) -> DataFrame:
