@@ -202,6 +202,14 @@ def oracle_sql() -> dict[str, str]:
             FROM documents""",
         "file_columns": """SELECT doc_id, source || '_x' AS author, source AS folder,
             CASE WHEN lang = 'en' THEN 'comments' ELSE 'submissions' END AS data_type FROM documents""",
+        "author_json_roundtrip": """SELECT source AS author, text AS body, doc_id AS created_utc,
+            CASE WHEN lang = 'en' THEN 'comments' ELSE 'submissions' END AS kind FROM documents""",
+        "name_list_roundtrip": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS author FROM events",
+        "csv_new_users": """SELECT strftime(f, '%Y-%m-%d') AS day, count(*) AS n
+            FROM (SELECT min(ts) AS f FROM events GROUP BY user_id) GROUP BY 1""",
+        "stored_word_counts": f"WITH {class_words} SELECT class, word, count(*) AS n FROM w GROUP BY class, word",
+        "dataset_roundtrip": """SELECT vec_id, CASE WHEN label < 4 THEN 1 ELSE 0 END AS label,
+            CAST(embedding[1] AS DOUBLE) AS first FROM embeddings""",
         "distinct_authors": "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL AND user_id <> 7",
         "author_summary": """SELECT count(*) AS n_events, count(DISTINCT event_type) AS n_types,
             count(DISTINCT user_id) AS n_users FROM events""",
@@ -257,6 +265,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, user_id FROM c WHERE cut IS NULL OR event_id < cut""",
         "cohort_label": "SELECT CASE WHEN toxic = 1 THEN 'a' ELSE 'b' END AS class, count(*) AS n FROM labels GROUP BY 1",
         "author_text": "SELECT conv_id, string_agg(text, '<s> ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+        "author_slices": """SELECT conv_id, turn // 4 AS slice, string_agg(text, '<s> ' ORDER BY turn) AS text
+            FROM conversations GROUP BY ALL""",
         "author_last_tokens": f"""SELECT conv_id, {tail("p", 40)} AS text FROM (
             SELECT conv_id, {split_doc("string_agg(text, '<s> ' ORDER BY turn)")} AS p FROM conversations GROUP BY conv_id)""",
         "cut_author_text": """SELECT user_id, string_agg(event_type, '<s> ' ORDER BY ts, event_id) AS event_type FROM (

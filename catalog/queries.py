@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from tidemark.functions import text as tx
 from tidemark.functions.fixed_values import EMOTIONS, POLARITIES
 from tidemark.operators import activity, affect, classifier, cohort, embedding, evaluate, ranksum, sampling, tfidf
 from tidemark.operators import words as wd
+from tidemark.session import shared_folder
 from tidemark.sizes import inline_table, spread
+from tidemark.sources import lists, sinks, tables
 from tidemark.sources import posts as ps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +170,65 @@ def file_columns(spark, folder):
     )
 
 
+# --- written and read back ---------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def author_json_roundtrip(spark, folder):
+    path = _scratch(spark, "author_json")
+    docs = texts(spark, folder, "documents", "doc_id", "source", "lang", "text").select(
+        F.col("source").alias("author"),
+        F.col("text").alias("body"),
+        F.col("doc_id").alias("created_utc"),
+        F.when(F.col("lang") == "en", "comments").otherwise("submissions").alias("data_type"),
+    )
+    sinks.write_author_json(docs, path)
+    back = ps.read_posts(spark, [path], pattern="*.json")
+    kind = F.regexp_extract("file", "data_type=([^/]*)/", 1).alias("kind")
+    return back.select("author", "body", "created_utc", kind)
+
+
+@query
+def name_list_roundtrip(spark, folder):
+    path = _scratch(spark, "names")
+    names = activity.distinct_authors(timeline(spark, folder), "user_id", None)
+    sinks.write_names(names.select(F.col("user_id").cast("string").alias("author")), path, ",")
+    return lists.read_names(spark, path, ",")
+
+
+@query
+def csv_new_users(spark, folder):
+    """Dated posts written as headerless CSV, read back, first post per user, new users per day."""
+    path = _scratch(spark, "dated")
+    dated = table(spark, folder, "events").select("event_id", F.col("ts").cast("string"), "user_id", "event_type", "props")
+    sinks.write_csv(dated, path, header=False)
+    curve = activity.new_users(tables.read_dated_posts(spark, path))
+    return curve.select(F.date_format("first", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query
+def stored_word_counts(spark, folder):
+    """Counts built once and then read from the stored table."""
+    path = _scratch(spark, "word_counts")
+    for _ in range(2):
+        stored = tables.materialize(spark, path, lambda: wd.word_counts(class_words(spark, folder)))
+    return stored
+
+
+@query
+def dataset_roundtrip(spark, folder):
+    path = _scratch(spark, "dataset")
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", (F.col("label") < 4).cast("int").alias("label"))
+    sinks.write_dataset(vectors, path)
+    stored = tables.read_embedding_dataset(spark, path)
+    first = vector_to_array("features")[0]
+    return stored.select("vec_id", "label", first.alias("first"))
+
+
 # --- authors and activity --------------------------------------------------
 
 
@@ -313,6 +376,12 @@ def author_text(spark, folder):
     return cohort.author_text(turns, ["turn"], _turn_slice(), "conv_id")
 
 
+@query
+def author_slices(spark, folder):
+    turns = table(spark, folder, "conversations")
+    return cohort.author_slices(turns, ["turn"], _turn_slice(), "conv_id")
+
+
 @query
 def author_last_tokens(spark, folder):
     turns = table(spark, folder, "conversations")

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import session
+from tidemark.operators import cohort
 from tidemark.plans import jobs
 from tidemark.sizes import inline_table
 
@@ -33,6 +35,40 @@ def test_acquire(spark, cohorts, tmp_path):
     assert {r.author for r in posts.select("author").collect()} == {r.author for r in chosen.collect()}
 
 
+def test_acquire_cohort(spark, tmp_path):
+    comments = spark.createDataFrame(
+        [(f"u{i % 20}", f"c{i % 2}", f"c{i % 2}/u{i % 20}", f"comment {i}") for i in range(200)],
+        "author string, community string, file string, body string",
+    )
+    submissions = spark.createDataFrame(
+        [("u1", "c1", "late"), ("u1", "c0", "early"), ("u2", "c1", "only"), ("zz", "c0", "no")],
+        "author string, community string, selftext string",
+    )
+    order = inline_table(spark, ["community", "priority"], [("c0", 1), ("c1", 2)])
+    got = jobs.acquire_cohort(comments, submissions, order, str(tmp_path), 20)
+    assert sorted(r.selftext for r in got.where("selftext is not null").collect()) == ["early", "only"]
+    assert got.where("body is not null").count() == 200
+    few = jobs.acquire_cohort(comments, submissions, order, str(tmp_path / "few"), 7)
+    assert few.where("body is not null").select("file").distinct().count() == 7
+
+
+def test_new_user_curve(spark):
+    rows = [("u", "2017-08-11 01:00:00"), ("u", "2017-06-01 00:00:00"), ("v", "2017-08-11 23:00:00"), ("w", "2017-08-13 00:00:00")]
+    posts = spark.createDataFrame(rows, "uid string, date string").withColumn("date", F.to_timestamp("date"))
+    curve = jobs.new_user_curve(posts, F.to_timestamp(F.lit("2017-08-12")), 60).collect()
+    assert [(str(r.first)[:10], r.n) for r in curve] == [("2017-08-11", 2), ("2017-08-13", 1)]
+
+
+def test_sampled_tokens(spark, cohorts):
+    filed = [df.withColumn("file", F.col("author")) for df in cohorts]
+    got = jobs.tokenised_posts(*filed, ["Bad"], "id", [], cohort.cut_by_time, 0.1)
+    sizes = [round(0.1 * r["count"]) for df in filed for r in df.groupBy("file").count().collect()]
+    assert 0 < got.count() <= sum(sizes)
+    assert got.where("class = 'b'").count() == sum(
+        round(0.1 * r["count"]) for r in filed[1].groupBy("file").count().collect()
+    )
+
+
 def test_compare(spark, cohorts, tmp_path):
     lexicon = inline_table(spark, ["word", "affect"], [("angry", "anger"), ("happy", "joy"), ("word1", "anticipation")])
     tokens = jobs.tokenised_posts(*cohorts, ["Bad"], "id", ["word0"])

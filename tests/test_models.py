@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from tidemark.operators import classifier, embedding, evaluate
@@ -49,6 +50,17 @@ def test_hashed_embedding(spark):
     assert set(got["w"]) == {0.0}
 
 
+def test_hashed_embedding_by_hand(spark):
+    hashing = HashingTF(numFeatures=64)
+    texts = ["a b a", "é ü 7 a", "x " * 50 + "y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for row in embedding.embed_hashed(docs, size=64).collect():
+        counts = np.zeros(64)
+        for piece in texts[row.id].split():
+            counts[hashing.indexOf(piece)] += 1
+        assert row.embedding == pytest.approx(list(counts / np.linalg.norm(counts)), abs=1e-6)
+
+
 def test_own_encoder(spark):
     def load():
         def encode(texts):

@@ -175,6 +175,13 @@ def test_cohort_and_report_sinks_replace(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report")).first().accuracy == 2
 
 
+def test_post_id(spark, tmp_path):
+    records = [{"id": "t1", "author": "a"}, {"author": "a", "body": "x"}, {"author": "a", "body": "y"}]
+    got = posts.with_post_id(posts.read_posts(spark, [str(dump(tmp_path / "p.json", records))])).collect()
+    keys = {r.post_id for r in got}
+    assert len(keys) == 3 and "t1" in keys
+
+
 def test_missing_fields(spark):
     full = posts.with_all_fields(spark.createDataFrame([("x",)], "body string"))
     assert tuple(full.first()) == ("x", None, None)

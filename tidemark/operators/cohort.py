@@ -125,7 +125,7 @@ def time_slice(at: Column, seconds: int = SLICE_SECONDS) -> Column:
     return F.floor(at.cast("timestamp").cast("long") / seconds)
 
 
-def author_text(
+def author_slices(
     posts: DataFrame,
     order: Sequence[str],
     slice_of: Column,
@@ -133,25 +133,37 @@ def author_text(
     text: str = "text",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One document per author: the posts' texts in the given order.
+    """Each author's document in parts, one row per ``slice`` of its order.
 
     ``slice_of`` is a coarse, non-decreasing function of the order, such as
-    :func:`time_slice`.  Texts are joined per author and slice, then slice by
-    slice, so a very active author is spread over many tasks and only the
-    finished strings meet.  ``keep`` are columns constant per author.  A
-    document must fit one Spark string (2 GB); :func:`author_tail` has no such
-    limit.
+    :func:`time_slice`.  The parts are bounded by what is posted in one slice,
+    so this form also suits authors whose whole document is too long for a row.
+    ``keep`` are columns constant per author.
     """
-    groups = [author, *keep]
     ordered = ", ".join(f"`{c}`" for c in order)
-    by_slice = (
-        posts.where(F.col(author).isNotNull())
-        .withColumn("_slice", slice_of)
-        .groupBy(*groups, "_slice")
-        .agg(F.expr(f"listagg(`{text}`, '{POST_SEPARATOR}') within group (order by {ordered})").alias("_part"))
-    )
-    whole = F.expr(f"listagg(_part, '{POST_SEPARATOR}') within group (order by _slice)")
-    return by_slice.groupBy(*groups).agg(whole.alias(text))
+    joined = F.expr(f"listagg(`{text}`, '{POST_SEPARATOR}') within group (order by {ordered})")
+    named = posts.where(F.col(author).isNotNull()).withColumn("slice", slice_of)
+    return named.groupBy(author, *keep, "slice").agg(joined.alias(text))
+
+
+def author_text(
+    posts: DataFrame,
+    order: Sequence[str],
+    slice_of: Column,
+    author: str = "author",
+    text: str = "text",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """One document per author: the posts' texts in the given order.
+
+    Built from :func:`author_slices`, so a very active author is spread over
+    many tasks and only the finished parts meet.  A document must fit one Spark
+    string (2 GB); where it may not, use the slices, or :func:`author_tail` for
+    what an encoder reads of it.
+    """
+    parts = author_slices(posts, order, slice_of, author, text, keep)
+    whole = F.expr(f"listagg(`{text}`, '{POST_SEPARATOR}') within group (order by slice)")
+    return parts.groupBy(author, *keep).agg(whole.alias(text))
 
 
 def author_tail(

@@ -1,4 +1,4 @@
-"""The four jobs: acquire authors, compare words and affects, embed, classify.
+"""Whole jobs: acquire authors, count new users, compare cohorts, embed, classify.
 
 Each step that several later steps read is stored below ``folder``, which must be
 storage all executors share (see :func:`tidemark.session.shared_folder`).
@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import ENCODER_TOKENS
 from tidemark.functions.text import clean_text, default_stopwords, join_fields, token_source, word_array
 from tidemark.operators import affect, classifier, cohort, embedding, evaluate, ranksum, sampling, tfidf, words
-from tidemark.operators.activity import distinct_authors
+from tidemark.operators.activity import distinct_authors, event_window, new_users
+from tidemark.sizes import checked_broadcast
 from tidemark.sources.tables import materialize
 
+Cut = Callable[[DataFrame, Sequence[str] | DataFrame], DataFrame]
+
 
 def acquire_authors(posts: DataFrame, folder: str, n: int, author: str = "author") -> tuple[DataFrame, DataFrame]:
     """Sample ``n`` authors and select all their posts."""
@@ -26,16 +29,44 @@ def acquire_authors(posts: DataFrame, folder: str, n: int, author: str = "author
     return chosen, cohort.posts_of_authors(posts, chosen, author)
 
 
+def acquire_cohort(
+    comments: DataFrame, submissions: DataFrame, communities: DataFrame, folder: str, n: int, file: str = "file"
+) -> DataFrame:
+    """Comments of ``n`` sampled author files, with their authors' submissions.
+
+    An author's submissions come from the first community, in the order of
+    ``communities`` ``(community, priority)``, that has any; both inputs carry
+    the community whose folder they lie in.
+    """
+    files = materialize(comments.sparkSession, f"{folder}/files", lambda: sampling.sample_n(comments, file, n))
+    picked = cohort.posts_of_authors(comments, files, file)
+    ranked = submissions.join(checked_broadcast(communities), "community")
+    return cohort.with_companions(picked, ranked)
+
+
+def new_user_curve(posts: DataFrame, event: Column, days: int = 60, grain: str | None = "day") -> DataFrame:
+    """New users per day around an event, from dated posts ``(uid, date)``."""
+    return new_users(event_window(posts, event, days), grain=grain)
+
+
 def tokenised_posts(
     cohort_a: DataFrame,
     cohort_b: DataFrame,
     communities: Sequence[str] | DataFrame,
     key: str,
     stopwords: Sequence[str] | None = None,
+    cut: Cut = cohort.cut_by_time,
+    fraction: float | None = None,
+    file: str = "file",
 ) -> DataFrame:
-    """``(key, class, words)`` of both cohorts; the first is cut at first membership."""
+    """``(key, class, words)`` of both cohorts; the first is cut at first membership.
+
+    ``fraction`` first samples that part of each file's posts.
+    """
     stop = default_stopwords() if stopwords is None else stopwords
-    both = cohort.label_cohorts({"a": cohort.cut_by_time(cohort_a, communities), "b": cohort_b})
+    if fraction is not None:
+        cohort_a, cohort_b = (sampling.sample_fraction(df, file, key, fraction) for df in (cohort_a, cohort_b))
+    both = cohort.label_cohorts({"a": cut(cohort_a, communities), "b": cohort_b})
     source = token_source(F.col("body"), F.col("selftext"), F.col("title"))
     return both.select(key, "class", word_array(source, stop).alias("words"))
 
@@ -68,14 +99,18 @@ def compare_cohorts(tokens: DataFrame, lexicon: DataFrame, folder: str, key: str
 
 
 def author_documents(
-    posts: DataFrame, communities: Sequence[str] | DataFrame | None, post_id: str, n_tokens: int | None = ENCODER_TOKENS
+    posts: DataFrame,
+    communities: Sequence[str] | DataFrame | None,
+    post_id: str,
+    n_tokens: int | None = ENCODER_TOKENS,
+    cut: Cut = cohort.cut_by_time,
 ) -> DataFrame:
     """One cleaned document per author, cut at first membership if communities are given.
 
     ``n_tokens`` keeps what an encoder of that input length can use; None keeps
     the whole document.
     """
-    kept = cohort.cut_by_time(posts, communities) if communities is not None else posts
+    kept = cut(posts, communities) if communities is not None else posts
     cleaned = [clean_text(F.col(c)) for c in ("body", "selftext", "title")]
     texts = kept.select("author", "created_utc", post_id, join_fields(*cleaned).alias("text"))
     slices = cohort.time_slice(F.col("created_utc"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import ZSTD_WINDOW
 
-FIELDS = ["author", "subreddit", "created_utc", "body", "selftext", "title"]
+FIELDS = ["id", "author", "subreddit", "created_utc", "body", "selftext", "title"]
 # Every field is read as text: a number or a nested value keeps its JSON text,
 # so a field of an unexpected type does not make the line a bad one.
 LINE_SCHEMA = ", ".join(f"{name} string" for name in FIELDS) + ", _bad string"
@@ -137,6 +137,12 @@ def _line_decoder(window: int):
     return decode
 
 
+def with_post_id(posts: DataFrame, name: str = "post_id") -> DataFrame:
+    """Add a key per post: its ``id``, or a digest of its fields if it has none."""
+    digest = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS[1:])))
+    return posts.withColumn(name, F.coalesce("id", digest))
+
+
 def with_time(posts: DataFrame, at: str = "created_utc") -> DataFrame:
     """Turn epoch seconds into a timestamp."""
     return posts.withColumn(at, F.timestamp_seconds(at))
