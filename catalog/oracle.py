@@ -79,7 +79,7 @@ def oracle_sql() -> dict[str, str]:
     def picked(lists) -> str:
         parts = [
             f"""(SELECT {place} AS place, '{rule}' AS rule, {band} AS band, CAST({score} AS DOUBLE) AS score, word,
-                 row_number() OVER (ORDER BY {score} DESC, word) AS rank
+                 CAST(row_number() OVER (ORDER BY {score} DESC, word) AS INTEGER) AS rank
                  FROM t WHERE {inside} ORDER BY {score} DESC, word LIMIT {k})"""
             for place, rule, band, score, inside, k in lists
         ]
@@ -290,7 +290,7 @@ def oracle_sql() -> dict[str, str]:
             FROM t, e GROUP BY 1, 2""",
         "top_words": f"""WITH {class_words}, c AS (SELECT class, word, count(*) AS n FROM w GROUP BY class, word)
             SELECT class, word, n, rank FROM (
-                SELECT *, row_number() OVER (PARTITION BY class ORDER BY n DESC, word) AS rank FROM c) WHERE rank <= 15""",
+                SELECT *, CAST(row_number() OVER (PARTITION BY class ORDER BY n DESC, word) AS INTEGER) AS rank FROM c) WHERE rank <= 15""",
         "top_words_absolute": f"WITH {shares} SELECT rule, rank, word, round(score, 9) AS score FROM ({picked(absolute)})",
         "top_words_banded": f"WITH {shares} SELECT rule, band, rank, word, round(score, 9) AS score FROM ({picked(bands)})",
         "top_words_metric": f"""WITH {shares} SELECT rank, word, round(score * 1e9, 4) AS metric FROM ({picked(metric)})""",

@@ -164,8 +164,8 @@ def _pick(table: DataFrame, choices: list[Column]) -> DataFrame:
     the head of each list on the map side, before anything is shuffled.
     """
     most = max(ABSOLUTE_PICKS, METRIC_PICKS, *(k for picks in BAND_PICKS.values() for k in picks.values()))
-    candidates = F.filter(F.array(*choices), lambda choice: choice.isNotNull())
-    listed = table.select("word", F.explode(candidates).alias("_c")).select("word", "_c.*")
+    listed = table.select("word", F.explode(F.array(*choices)).alias("_c")).where(F.col("_c").isNotNull())
+    listed = listed.select("word", "_c.*")
     order = Window.partitionBy("place").orderBy(F.col("score").desc(), "word")
     ranked = listed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return ranked.where(F.col("rank") <= F.col("k")).drop("k")

@@ -35,7 +35,9 @@ def spread(df: DataFrame) -> DataFrame:
     text steps.  A table in many files feeds all cores already and is not moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    # Counted on the JVM side: a large table's file names stay there.
+    files = len(df._jdf.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
