@@ -71,6 +71,15 @@ def test_stopword_list(spark):
     assert [r.word for r in tx.drop_stopwords(words, table).collect()] == ["yes"]
 
 
+def test_both_stop_tests_agree(spark):
+    stop = ["it's", "back\\slash", "dont", 'say"so"', "n", "\\n"]
+    texts = ["dont it's n say", "back slash backslash saysoitdont"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    exploded = sorted(r.word for r in tx.explode_words(df, "text", [], stop).collect())
+    arrays = sorted(w for r in df.select(tx.word_array(F.col("text"), stop).alias("w")).collect() for w in r.w)
+    assert exploded == arrays == sorted(w for t in texts for w in python_words(t, stop))
+
+
 def test_lemma_comes_after_the_stop_test(spark):
     posts = inline_table(spark, ["text"], [("cats was ran",)])
     words = tx.explode_words(posts, "text", [], ["was", "wa"])

@@ -16,8 +16,12 @@ SLICE_SECONDS = 3_600
 
 
 def posts_of_authors(posts: DataFrame, authors: DataFrame, author: str = "author") -> DataFrame:
-    """Posts whose author is in a one-column author table."""
-    return posts.join(checked_broadcast(authors.select(author)), author, "left_semi")
+    """Posts whose author is in a one-column author table.
+
+    No hint: the size of a sample or of a stored list is known to Spark, which
+    broadcasts it below its threshold and shuffles both sides above.
+    """
+    return posts.join(authors.select(author), author, "left_semi")
 
 
 def label_cohorts(cohorts: dict[str, DataFrame], label: str = "class") -> DataFrame:
