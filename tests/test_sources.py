@@ -5,7 +5,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from tidemark.operators import activity
+from tidemark.operators import activity, cohort
 from tidemark.sources import lists, posts, sinks, tables
 
 GOOD = [{"author": "a", "body": "x", "created_utc": 5, "extra": {"k": [1]}}, {"author": None}, {}, {"author": "[deleted]"}]
@@ -79,6 +79,25 @@ def test_long_window_dump(spark, tmp_path):
     assert got.where("author = 'u39'").first().body == "ü " * 39
 
 
+def test_positions_follow_the_file(spark, tmp_path):
+    for name in ("u_comments.json", "v_comments.json"):
+        dump(tmp_path / name, [{"author": name[0], "id": f"{i}", "body": "x" * (i % 90)} for i in range(3000)])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = posts.read_posts(spark, [str(tmp_path)], partitions=5, positions=True)
+        assert got.select("pos.block").distinct().count() > 5
+        tables.materialize(spark, str(tmp_path / "stored"), lambda: got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    for author in "uv":
+        order = [int(r.id) for r in stored.where(F.col("author") == author).orderBy("pos").collect()]
+        assert order == list(range(3000))
+    listed = stored.withColumn("subreddit", F.when(F.col("id").isin("700", "2900"), "L").otherwise("x"))
+    assert dict(cohort.cut_by_position(listed, ["L"]).groupBy("author").count().collect()) == {"u": 700, "v": 700}
+
+
 def test_epoch_time(spark):
     df = spark.createDataFrame([(86_400,)], "created_utc long")
     assert str(posts.with_time(df).select(F.col("created_utc").cast("string")).first()[0]) == "1970-01-02 00:00:00"

@@ -35,7 +35,7 @@ def rank_sums(
     )
     # Any bounds give the right result, near-quantiles give even ranges.  The
     # sums keep the counts in the subquery, so that it reads the same shuffle.
-    steps = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    steps = F.expr("array(" + ", ".join(f"{i / ranges!r}D" for i in range(1, max(ranges, 2))) + ")")
     bounds = counts.agg(
         F.struct(
             F.percentile_approx("value", steps, 10 * ranges).alias("at"),

@@ -54,9 +54,10 @@ def folder_of_file(file_path: Column) -> Column:
     return F.element_at(F.split(file_path, "/"), -2)
 
 
-def _file_columns(lines: DataFrame, path: Column) -> DataFrame:
+def _file_columns(lines: DataFrame, path: Column, block: Column, row: Column, positions: bool) -> DataFrame:
     name = F.element_at(F.split(path, "/"), -1)
-    return lines.select("value", path.alias("file"), data_type(name).alias("data_type"))
+    position = [F.struct(block.alias("block"), row.alias("row")).alias("pos")] if positions else []
+    return lines.select("value", path.alias("file"), data_type(name).alias("data_type"), *position)
 
 
 def read_posts(
@@ -66,17 +67,23 @@ def read_posts(
     pattern: str | None = None,
     keep_raw: bool = False,
     partitions: int | None = None,
+    positions: bool = False,
 ) -> DataFrame:
     """Posts of all files below ``paths`` with ``file`` and ``data_type``.
 
     Compressed files cannot be split: one task decodes each.  ``partitions``
     deals the raw lines out right after, so that parsing and all later work run
     at full width whatever the file sizes are.
+
+    ``positions`` adds ``pos``, which orders a file's lines as they stand in it:
+    the start of the split and a count within it, so a file may be read in many
+    splits.  It is an order, not a line number; store the posts before use.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    scanned = _file_columns(reader.text(list(paths)), F.col("_metadata.file_path"))
+    block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    scanned = _file_columns(reader.text(list(paths)), F.col("_metadata.file_path"), block, row, positions)
     if partitions:
         scanned = scanned.repartition(partitions)
     return parse_lines(scanned, mode, keep_raw)
@@ -89,6 +96,7 @@ def read_long_window_posts(
     pattern: str = "*.zst",
     keep_raw: bool = False,
     partitions: int | None = None,
+    positions: bool = False,
     window: int = ZSTD_WINDOW,
 ) -> DataFrame:
     """:func:`read_posts` for zstd dumps made with a window above 128 MiB.
@@ -99,8 +107,8 @@ def read_long_window_posts(
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     files = reader.load(list(paths)).select("path")
-    lines = files.mapInArrow(_line_decoder(window), "value string, path string")
-    scanned = _file_columns(lines, F.col("path"))
+    lines = files.mapInArrow(_line_decoder(window), "value string, path string, line bigint")
+    scanned = _file_columns(lines, F.col("path"), F.lit(0).cast("bigint"), F.col("line"), positions)
     if partitions:
         scanned = scanned.repartition(partitions)
     return parse_lines(scanned, mode, keep_raw)
@@ -116,23 +124,24 @@ def _line_decoder(window: int):
         import zstandard
         from pyarrow import fs
 
-        def batch(lines: list[str], path: str) -> pyarrow.RecordBatch:
-            return pyarrow.record_batch({"value": lines, "path": [path] * len(lines)})
+        def batch(lines: list[str], path: str, end: int) -> pyarrow.RecordBatch:
+            numbers = range(end - len(lines), end)
+            return pyarrow.record_batch({"value": lines, "path": [path] * len(lines), "line": list(numbers)})
 
         for path in (p for b in batches for p in b.column("path").to_pylist()):
             uri = path.replace("file:/", "file:///", 1) if not path.startswith("file://") else path
             system, inner = fs.FileSystem.from_uri(uri)
             with system.open_input_stream(inner, compression=None) as packed:
                 plain = zstandard.ZstdDecompressor(max_window_size=window).stream_reader(packed, read_across_frames=True)
-                lines, held = [], 0
+                lines, held, read = [], 0, 0
                 for line in io.TextIOWrapper(io.BufferedReader(plain, 1 << 20), encoding="utf-8", newline="\n"):
                     lines.append(line.rstrip("\r\n"))
-                    held += len(line)
+                    held, read = held + len(line), read + 1
                     if held >= batch_bytes:
-                        yield batch(lines, path)
+                        yield batch(lines, path, read)
                         lines, held = [], 0
                 if lines:
-                    yield batch(lines, path)
+                    yield batch(lines, path, read)
 
     return decode
 
