@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import sizes
 from tidemark.operators import cohort
 from tidemark.sizes import inline_table, lookup_join
 
@@ -61,7 +62,9 @@ def test_cut_against_python(spark):
 
 
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
-def test_lookup_join_keeps_every_row_once(spark, threshold):
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_lookup_join_keeps_every_row_once(spark, monkeypatch, threshold, rows):
+    monkeypatch.setattr(sizes, "BROADCAST_ROWS", rows)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:

@@ -102,13 +102,20 @@ def test_shared_folder(spark):
 
 
 def test_shared_folder_is_the_clusters():
-    class Named:
-        conf = {"spark.checkpoint.dir": "/shared"}
+    class Context:
+        master, folder = "yarn", None
 
-    class Unnamed:
-        conf = {}
-        sparkContext = type("Context", (), {"master": "yarn"})
+        def getCheckpointDir(self):
+            return self.folder
 
-    assert session.shared_folder(Named) == "/shared"
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, conf):
+            self.conf, self.sparkContext = conf, Context()
+
+    named = Session({"spark.checkpoint.dir": "/shared"})
+    assert session.shared_folder(named) == named.sparkContext.folder == "/shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.shared_folder(Unnamed)
+        session.shared_folder(Session({}))

@@ -1,8 +1,11 @@
 """The plans themselves: what is scanned, shuffled and broadcast."""
 
 import pytest
+from compare import differences, duck
 
+from catalog.oracle import oracle_sql
 from catalog.queries import QUERIES
+from tidemark import sizes
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,19 +21,38 @@ def test_no_cross_product(spark, name):
 
 
 @pytest.fixture
-def no_broadcast(spark):
+def unknown_sizes(spark):
+    """No broadcast from Spark's own estimates, as on tables of unknown size."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-@pytest.mark.parametrize("name", ["cut_by_time", "cut_by_position", "cut_by_priority", "companion_first_match", "author_last_tokens"])
-def test_large_cuts_are_salted_not_broadcast(spark, no_broadcast, name):
+LOOKUPS = ["cut_by_time", "cut_by_position", "cut_by_priority", "companion_first_match", "author_last_tokens", "sample_frac_per_group"]
+
+
+@pytest.mark.parametrize("name", LOOKUPS)
+def test_measured_small_sides_are_broadcast(spark, unknown_sizes, name):
+    plan = plan_of(spark, name)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Scan ExistingRDD" in plan
+
+
+@pytest.mark.parametrize("name", LOOKUPS)
+def test_large_sides_are_salted(spark, unknown_sizes, monkeypatch, name):
+    monkeypatch.setattr(sizes, "BROADCAST_ROWS", 0)
     plan = plan_of(spark, name)
     assert "SortMergeJoin" in plan and "_salt" in plan and "BroadcastHashJoin" not in plan
 
 
+@pytest.mark.parametrize("name", LOOKUPS)
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_all_ways_of_joining_agree(spark, unknown_sizes, monkeypatch, name, rows):
+    monkeypatch.setattr(sizes, "BROADCAST_ROWS", rows)
+    folder = "/root/testdata/sf0.01"
+    assert differences(QUERIES[name](spark, folder), duck(folder), oracle_sql()[name]) == ""
+
+
 def test_cuts_need_no_window_over_an_author(spark):
     assert "Window" not in plan_of(spark, "cut_by_time")
 

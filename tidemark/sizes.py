@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+from tidemark.session import shared_folder
+
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 256 << 20
 SALTS = 8
 
 
@@ -18,14 +21,29 @@ def inline_table(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple
     return spark.createDataFrame(pa.table(dict(zip(names, map(list, columns), strict=True))))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if a count shows at most ``max_rows`` rows.
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a count of rows and text bytes stays within the broadcast limits."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    width = sum(texts, F.lit(16 * len(df.columns)).cast("long"))
+    found = df.agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).first()
+    return found.rows <= BROADCAST_ROWS and (found.bytes or 0) <= BROADCAST_BYTES
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast ``df`` if it fits.
 
     Meant for side tables the user supplies (stop words, lemmas, lexicon,
-    sampled authors).  A larger table is returned as it is, so that the join
-    becomes a shuffled one, which adaptive execution splits where it is skewed.
+    communities).  A larger table is returned as it is, so that the join becomes
+    a shuffled one, which adaptive execution splits where it is skewed.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
+def _small_by_estimate(df: DataFrame) -> bool:
+    """Whether Spark, from its own estimate, would broadcast ``df`` without a hint."""
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= threshold
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -41,17 +59,26 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Join ``left`` to ``right``, which holds one row per key.
-
-    One key may hold a large part of ``left``.  Its rows are dealt over
-    ``salts`` sub-keys (a power of two), and the narrow right rows are copied to
-    each.  The salt depends on the row alone, so a retried task deals the same
-    rows to the same sub-keys.  Because
-    the join is not partitioned by the bare key, a later ``groupBy`` on that key
-    does not forbid adaptive execution to split the hot partitions further.
-    When the right side is small Spark turns this into a broadcast join.
+    """Join ``left`` to ``right``, which is derived and holds one row per key.
+
+    ``left`` carries the texts, so not having to shuffle it matters most.  Unless
+    Spark sees by itself that the right side is small, the right side is
+    checkpointed and measured: if it fits it is broadcast.
+
+    If not, one key may still hold a large part of ``left``.  Its rows are dealt
+    over ``salts`` sub-keys (a power of two), and the narrow right rows are
+    copied to each.  The salt depends on the row alone, so a retried task deals
+    the same rows to the same sub-keys.  Because the join is not partitioned by
+    the bare key, a later ``groupBy`` on that key does not forbid adaptive
+    execution to split the hot partitions further.
     """
     on = list(on)
+    if _small_by_estimate(right):
+        return left.join(right, on, how)
+    shared_folder(left.sparkSession)
+    right = right.checkpoint()
+    if fits_broadcast(right):
+        return left.join(F.broadcast(right), on, how)
     kept = left.columns + [c for c in right.columns if c not in on]
     row = [F.col(c) for c, kind in left.dtypes if "map<" not in kind]
     salted = left.withColumn("_salt", F.xxhash64(*row).bitwiseAND(F.lit(salts - 1)))

@@ -35,7 +35,7 @@ def write_comma_line(names: DataFrame, path: str, name: str = "author", limit: i
 
     Larger lists go through :func:`write_names` with ``separator=","``.
     """
-    if names.limit(limit + 1).count() > limit:
+    if names.count() > limit:
         raise ValueError(f"more than {limit} names for one line")
     line = names.agg(F.expr(f"listagg(`{name}`, ',') within group (order by `{name}`)").alias("value"))
     line.coalesce(1).write.mode("overwrite").text(path)
