@@ -244,14 +244,14 @@ def oracle_sql() -> dict[str, str]:
                   WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'click') GROUP BY user_id)
             SELECT c.user_id, c.event_type AS source, count(*) AS n
             FROM c JOIN f ON c.user_id = f.user_id AND c.p = f.p GROUP BY ALL""",
-        "cohort_with_companions": f"""
-            WITH b AS (SELECT user_id, event_type FROM events WHERE event_type = 'purchase'),
-            c AS (SELECT user_id, event_type, {priority} AS p FROM events
-                  WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND event_type IN ('error', 'signup', 'view')),
+        "cohort_with_companions": """
+            WITH b AS (SELECT user_id, event_type, CAST(NULL AS INTEGER) AS p FROM events WHERE event_type = 'purchase'),
+            c AS (SELECT user_id, event_type, CAST(extract(hour FROM ts) AS INTEGER) AS p
+                  FROM events WHERE event_type <> 'purchase'),
             r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY p) AS k FROM c
                   WHERE user_id IN (SELECT user_id FROM b))
-            SELECT user_id, event_type, count(*) AS n
-            FROM (SELECT * FROM b UNION ALL SELECT user_id, event_type FROM r WHERE k = 1) GROUP BY ALL""",
+            SELECT user_id, event_type, p AS priority, count(*) AS n
+            FROM (SELECT * FROM b UNION ALL SELECT user_id, event_type, p FROM r WHERE k = 1) GROUP BY ALL""",
         "cut_by_time": f"""SELECT event_id, user_id FROM (
             SELECT *, min(CASE WHEN event_type IN ({listed}) THEN ts END) OVER (PARTITION BY user_id) AS cut FROM events)
             WHERE cut IS NULL OR ts < cut""",

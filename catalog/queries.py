@@ -343,14 +343,11 @@ def companion_first_match(spark, folder):
 
 @query
 def cohort_with_companions(spark, folder):
-    """Purchases as posts; each user's companion rows come from the first type that has them late in the month."""
+    """Purchases with each user's other events of one hour of the day: the first hour that has any."""
     posts = timeline(spark, folder)
-    late = posts.where(F.col("ts") >= F.lit("2024-01-29 00:00:00").cast("timestamp_ntz"))
-    rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("event_type"))
-    others = late.where(F.col("event_type") != "purchase").withColumn("priority", rank)
-    base = posts.where(F.col("event_type") == "purchase")
-    both = cohort.with_companions(base, others.where(F.col("priority") > 0), "user_id")
-    return both.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    others = posts.where(F.col("event_type") != "purchase").withColumn("priority", F.hour("ts"))
+    both = cohort.with_companions(posts.where(F.col("event_type") == "purchase"), others, "user_id")
+    return both.groupBy("user_id", "event_type", "priority").agg(F.count("*").alias("n"))
 
 
 @query
