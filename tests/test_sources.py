@@ -152,8 +152,11 @@ def test_materialize_builds_once(spark, tmp_path):
     for _ in range(2):
         assert tables.materialize(spark, str(tmp_path / "t"), build).count() == 3
     assert built == [1]
-    (tmp_path / "half" / "_temporary").mkdir(parents=True)  # a build that was cut off
-    assert tables.materialize(spark, str(tmp_path / "half"), build).count() == 3
+    # A build that broke off: some files are there, the success marker is not.
+    half = tmp_path / "half"
+    spark.range(2).write.parquet(str(half))
+    (half / "_SUCCESS").unlink()
+    assert tables.materialize(spark, str(half), build).count() == 3
 
 
 def test_author_sink(spark, tmp_path):

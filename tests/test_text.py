@@ -20,6 +20,13 @@ def test_clean_regex(spark):
     assert value(spark, tx.clean_text, None) == ""
 
 
+def test_long_runs_do_not_stall(spark):
+    run = " \n" * 150_000
+    assert value(spark, tx.clean_text, f"{run}a{run}b{run}") == f"a{run} b"  # a line break counts as punctuation
+    assert value(spark, tx.clean_text, "x" * 300_000) == "x" * 300_000
+    assert value(spark, lambda c: tx.last_tokens(c, 3), "!" * 300_000 + run) == "!" * 300_000
+
+
 def test_clean_regex_as_written_out(spark):
     """The one-character borders give what the run-by-run patterns give."""
     for text in ["ab!!cd", "a!b!c", "!a", "a!", "x_1-2 y", "é!ü", "a\nb", "<<a>>", "a  b", "--", ""]:

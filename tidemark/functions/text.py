@@ -21,8 +21,12 @@ SPACE = r"\t-\r\x1C-\x20\x{85}\p{Z}"
 
 
 def strip_space(text: Column) -> Column:
-    """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Trim all white space, not only blanks.
+
+    A match at the end may only start where a run of white space starts, so a
+    long run inside the text is looked at once, not from each of its places.
+    """
+    return F.regexp_replace(text, f"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+$", "")
 
 
 def clean_text(text: Column, mode: str = "regex", null_text: str = "") -> Column:

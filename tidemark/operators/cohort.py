@@ -48,7 +48,7 @@ def _in_listed(posts: DataFrame, communities: Sequence[str] | DataFrame, communi
 
 
 def _keep_before(posts: DataFrame, cuts: DataFrame, by: str, order: str) -> DataFrame:
-    kept = lookup_join(posts, cuts, [by]).where(F.col("_cut").isNull() | (F.col(order) < F.col("_cut")))
+    kept = lookup_join(posts, cuts, [by], salt_by=[order]).where(F.col("_cut").isNull() | (F.col(order) < F.col("_cut")))
     return kept.select(*posts.columns)
 
 
@@ -187,14 +187,15 @@ def author_tail(
     however much the author wrote.
     """
     later = Window.partitionBy(author).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sliced = posts.where(F.col(author).isNotNull()).select(author, *keep, *order, text, slice_of.alias("_slice"))
     needed = (
-        posts.where(F.col(author).isNotNull())
-        .groupBy(author, slice_of.alias("_slice"))
+        sliced.groupBy(author, "_slice")
         .agg(F.sum(F.size(pieces(F.col(text)))).alias("_tokens"))
         .withColumn("_later", F.coalesce(F.sum("_tokens").over(later), F.lit(0)))
         .where(F.col("_later") < n)
         .groupBy(author)
         .agg(F.min("_slice").alias("_from"))
     )
-    near = lookup_join(posts, needed, [author], "inner").where(slice_of >= F.col("_from"))
-    return author_text(near, order, slice_of, author, text, keep).withColumn(text, last_tokens(F.col(text), n))
+    near = lookup_join(sliced, needed, [author], "inner", salt_by=order).where(F.col("_slice") >= F.col("_from"))
+    tail = author_text(near, order, F.col("_slice"), author, text, keep)
+    return tail.withColumn(text, last_tokens(F.col(text), n))

@@ -73,7 +73,7 @@ def sample_fraction(df: DataFrame, group: str, key: str, fraction: float = 0.1,
     wanted = F.rint(F.col("_total") * fraction).cast("long")
     edges = _head_edge(keyed.select(group, "_key", "_draw"), [group], wanted)
     return (
-        lookup_join(keyed, edges, [group], "inner")
+        lookup_join(keyed, edges, [group], "inner", salt_by=["_draw"])
         .where(F.struct("_draw", "_key") <= F.col("_edge"))
         .select(*df.columns)
     )

@@ -58,7 +58,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < files < cores else df
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+def lookup_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    salt_by: Sequence[str] | None = None,
+    salts: int = SALTS,
+) -> DataFrame:
     """Join ``left`` to ``right``, which is derived and holds one row per key.
 
     ``left`` carries the texts, so not having to shuffle it matters most.  Unless
@@ -67,8 +74,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 
     If not, one key may still hold a large part of ``left``.  Its rows are dealt
     over ``salts`` sub-keys (a power of two), and the narrow right rows are
-    copied to each.  The salt depends on the row alone, so a retried task deals
-    the same rows to the same sub-keys.  Because the join is not partitioned by
+    copied to each.  The salt depends on the row alone (on ``salt_by``, or all of
+    it), so a retried task deals the same rows to the same sub-keys.  Because the join is not partitioned by
     the bare key, a later ``groupBy`` on that key does not forbid adaptive
     execution to split the hot partitions further.
     """
@@ -80,7 +87,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     if fits_broadcast(right):
         return left.join(F.broadcast(right), on, how)
     kept = left.columns + [c for c in right.columns if c not in on]
-    row = [F.col(c) for c, kind in left.dtypes if "map<" not in kind]
+    row = salt_by or [c for c, kind in left.dtypes if "map<" not in kind]
     salted = left.withColumn("_salt", F.xxhash64(*row).bitwiseAND(F.lit(salts - 1)))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return salted.join(copies, [*on, "_salt"], how).select(*kept)

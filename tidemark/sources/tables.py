@@ -23,18 +23,26 @@ def read_token_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("token string").option("header", False).csv(path).where(F.col("token").isNotNull())
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` ran to its end, which leaves the success marker."""
+    try:
+        spark.read.text(f"{path}/_SUCCESS")
+        return True
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The Parquet table at ``path``, built and written first if it is not there.
 
     Put ``path`` in storage all executors share: readers of the result survive
-    the loss of the executors that built it.
+    the loss of the executors that built it.  What a broken-off write left is
+    replaced.
     """
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    build().write.mode("overwrite").parquet(path)
+    if not _complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
