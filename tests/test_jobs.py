@@ -96,6 +96,11 @@ def test_documents_embed_classify(spark, cohorts, tmp_path):
     assert report.columns == ["accuracy", "f1", "roc_auc"] and report.count() == 1
 
 
+def test_shuffle_partitions():
+    assert session.shuffle_partitions_for(10) == 200
+    assert session.shuffle_partitions_for(100 * 2**40) == 409_600
+
+
 def test_shared_folder(spark):
     own = session.shared_folder(spark)
     assert own and session.shared_folder(spark) == own

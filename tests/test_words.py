@@ -24,6 +24,12 @@ def test_shares_and_one_sided_words(spark):
     assert not any(math.isnan(v) for r in got.values() for v in r if isinstance(v, float))
 
 
+def test_counts_from_the_table(spark):
+    words = occurrences(spark, ["x", "x", "z"], ["x", "q"])
+    direct = wd.word_counts(words)
+    assert sorted(direct.collect()) == sorted(wd.counts_of(wd.word_shares(words)).collect())
+
+
 def test_empty_class(spark):
     table = wd.word_shares(occurrences(spark, ["x"], [])).collect()
     assert [(r.share_a, r.share_b, r.ratio) for r in table] == [(1.0, 0.0, math.inf)]

@@ -57,6 +57,12 @@ def word_shares(words: DataFrame, classes: Sequence[str] = ("a", "b"), label: st
     return shared.withColumn("ratio", ratio)
 
 
+def counts_of(table: DataFrame, classes: Sequence[str] = ("a", "b"), label: str = "class") -> DataFrame:
+    """The counts per class again, from the word table instead of the words."""
+    rows = [F.struct(F.lit(name).alias(label), F.col(f"count_{c}").alias("n")) for name, c in zip(classes, "ab", strict=True)]
+    return table.select("word", F.inline(F.array(*rows))).where(F.col("n") > 0).select(label, "word", "n")
+
+
 def _over(count: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(count, total), F.lit(0.0))
 

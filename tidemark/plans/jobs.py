@@ -86,7 +86,7 @@ def compare_cohorts(tokens: DataFrame, lexicon: DataFrame, folder: str, key: str
     by_affect = affect.affect_per_post(wide, [key, "class"])
     tested = ranksum.mann_whitney(by_affect, "affect", "freq", F.col("class") == "a")
     return {
-        "top_words": words.top_words(words.word_counts(single)),
+        "top_words": words.top_words(words.counts_of(table)),
         "word_table": table,
         "selected_words": words.top_words_all(table),
         "extents": words.share_extents(table),

@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+PARTITION_BYTES = 256 << 20
+MIN_PARTITIONS = 200
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -21,6 +24,16 @@ SETTINGS = {
 }
 
 
+def shuffle_partitions_for(shuffled_bytes: int) -> int:
+    """Shuffle partitions so that each holds about :data:`PARTITION_BYTES`.
+
+    Take the bytes of the largest shuffle, which for a cut that cannot be
+    broadcast is the text of all posts.  Adaptive execution merges partitions
+    that turn out small, so a high number costs little.
+    """
+    return max(MIN_PARTITIONS, -(-shuffled_bytes // PARTITION_BYTES))
+
+
 def build_session(
     app: str = "tidemark",
     master: str | None = None,
