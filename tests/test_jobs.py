@@ -98,7 +98,8 @@ def test_documents_embed_classify(spark, cohorts, tmp_path):
 
 def test_shuffle_partitions():
     assert session.shuffle_partitions_for(10) == 200
-    assert session.shuffle_partitions_for(100 * 2**40) == 409_600
+    assert session.shuffle_partitions_for(2**40) == 4096
+    assert session.shuffle_partitions_for(100 * 2**40) == 40_000
 
 
 def test_shared_folder(spark):
