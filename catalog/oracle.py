@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-
 from catalog.side_tables import COMMUNITIES, LEMMAS, LEXICON, SOURCES, STOP_TABLE
-from tidemark.functions.fixed_values import AFFECTS, CUSTOM_STOPWORDS, EMOTIONS, POLARITIES
+from tidemark.functions.fixed_values import AFFECTS, CUSTOM_STOPWORDS, EMOTIONS, ENGLISH_STOPWORDS, POLARITIES
 
 SPACE = r"\t-\r\x1C-\x20\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
@@ -23,15 +17,8 @@ def _values(rows) -> str:
     return ", ".join(f"({_quoted(row)})" for row in rows)
 
 
-def _english() -> list[str]:
-    """Spark ML's English stop words, read from its jar so that no JVM is needed."""
-    jar = glob.glob(os.path.join(pyspark.__path__[0], "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as packed:
-        return packed.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 def oracle_sql() -> dict[str, str]:
-    stop = _quoted(sorted({*_english(), *CUSTOM_STOPWORDS}))
+    stop = _quoted(sorted({*ENGLISH_STOPWORDS, *CUSTOM_STOPWORDS}))
 
     def pieces(source: str, keep: str) -> str:
         """Split at white space first, then strip each piece."""

@@ -126,3 +126,20 @@ def test_tokens_match_python(spark, texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "id int, t string")
     got = dict(rows.select("id", tx.word_array(F.col("t"))).collect())
     assert got == {i: python_words(t) for i, t in enumerate(plain)}
+
+
+def test_written_out_stop_words_are_those_of_spark_ml(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from tidemark.functions.fixed_values import ENGLISH_STOPWORDS
+
+    assert ENGLISH_STOPWORDS == StopWordsRemover.loadDefaultStopWords("english")
+
+
+def test_oracle_sql_reads_no_files(monkeypatch):
+    import pyspark
+
+    from catalog import oracle
+
+    monkeypatch.setattr(pyspark, "__path__", [])
+    assert len(oracle.oracle_sql()) >= 67

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.fixed_values import CUSTOM_STOPWORDS, FIELD_SEPARATOR
+from tidemark.functions.fixed_values import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS, FIELD_SEPARATOR
 from tidemark.sizes import checked_broadcast
 
 WORD = r"\p{L}\p{N}_"
@@ -81,7 +80,7 @@ def raw_words(text: Column) -> Column:
 
 def default_stopwords() -> list[str]:
     """Spark ML's English list and the custom additions."""
-    return sorted({*StopWordsRemover.loadDefaultStopWords("english"), *CUSTOM_STOPWORDS})
+    return sorted({*ENGLISH_STOPWORDS, *CUSTOM_STOPWORDS})
 
 
 def _sql_strings(values: Iterable[str]) -> str:
