@@ -8,8 +8,8 @@ from compare import differences, duck
 import __spark_entry__ as contract
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-SQL = contract.oracle_sql()
-QUERIES = contract.queries()
+SQL = contract.oracle.oracle_sql()
+QUERIES = contract.QUERIES
 
 
 @pytest.fixture(scope="module")
