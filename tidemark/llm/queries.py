@@ -3,13 +3,43 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.html import extract_text
+from tidemark.llm.language import predict_languages, train
+from tidemark.llm.licenses import scan_licenses
+from tidemark.llm.mixing import MIX_SQL, mix
+from tidemark.llm.quality import judge
 from tidemark.llm.tables import table
 from tidemark.llm.tokens import encode_decode
 
 
+def crc(key: str, parts: int) -> Column:
+    """crc32 of a key as text, modulo ``parts``; a null key counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc("doc_id", 4) == 2)
+    return predict_languages(docs, train(docs.where(~F.col("held_out"))), keep=("doc_id", "held_out"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -21,7 +51,17 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op4_license_scan": op4_license_scan,
+    "op6_mixing": op6_mixing,
+    "op8_language_id": op8_language_id,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_html_text": op10_html_text,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": MIX_SQL}

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +44,21 @@ def _byte_letters() -> dict[str, int]:
     return {chr(byte): byte for byte in visible} | {chr(256 + k): byte for k, byte in enumerate(hidden)}
 
 
+@dataclass
 class Vocabulary:
     """Ranks and special tokens of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    ranks: dict[bytes, int]
+    special: dict[str, int]
+
+    @staticmethod
+    def read(path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         letters = _byte_letters()
-        self.special = {token["content"]: token["id"] for token in model["added_tokens"]}
-        self.ranks = {
-            bytes(letters[c] for c in token): number
-            for token, number in model["model"]["vocab"].items()
-            if token not in self.special
-        }
+        special = {token["content"]: token["id"] for token in model["added_tokens"]}
+        words = model["model"]["vocab"].items()
+        return Vocabulary({bytes(letters[c] for c in word): k for word, k in words if word not in special}, special)
 
     def encoding(self):
         import tiktoken
@@ -160,11 +163,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tu
     size is that of the vocabulary, whatever the data.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Vocabulary(vocabulary))
+    read = Vocabulary.read(vocabulary)
+    # Broadcasts are pickled by reference, so only plain values go in.
+    shared = spark.sparkContext.broadcast((read.ranks, read.special))
     rows = docs.select(*keep, docs[text].alias("_text"))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = Encoder(shared.value), shared.value.bytes_of()
+        own = Vocabulary(*shared.value)
+        encoder, table = Encoder(own), own.bytes_of()
         for block in text_blocks(batches, "_text"):
             found = encoder.block(*flat_bytes(block.column("_text")))
             places = np.concatenate([[0], np.cumsum([len(ids) for ids in found])])
