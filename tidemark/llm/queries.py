@@ -10,7 +10,9 @@ from tidemark.llm.html import extract_text
 from tidemark.llm.language import predict_languages, train
 from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.mixing import MIX_SQL, mix
+from tidemark.llm.ngrams import score_texts
 from tidemark.llm.quality import judge
+from tidemark.llm.repeats import repeated_spans
 from tidemark.llm.tables import table
 from tidemark.llm.tokens import encode_decode
 
@@ -20,6 +22,11 @@ def crc(key: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc("doc_id", 7) == 2)
+    return score_texts(docs.withColumn("learning", ~F.col("held_out")), "learning", keep=("doc_id", "held_out"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -35,6 +42,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc("doc_id", 4) == 2)
     return predict_languages(docs, train(docs.where(~F.col("held_out"))), keep=("doc_id", "held_out"))
@@ -57,9 +75,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lm_score": op2_lm_score,
     "op3_quality_rules": op3_quality_rules,
     "op4_license_scan": op4_license_scan,
     "op6_mixing": op6_mixing,
+    "op7_repeated_spans": op7_repeated_spans,
     "op8_language_id": op8_language_id,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_html_text": op10_html_text,
