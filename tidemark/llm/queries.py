@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.hamming import TOP_K_SQL, sign_code, top_k
 from tidemark.llm.html import extract_text
 from tidemark.llm.language import predict_languages, train
 from tidemark.llm.licenses import scan_licenses
+from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import MIX_SQL, mix
 from tidemark.llm.ngrams import score_texts
 from tidemark.llm.quality import judge
@@ -22,6 +24,11 @@ def crc(key: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc("doc_id", 7) == 2)
     return score_texts(docs.withColumn("learning", ~F.col("held_out")), "learning", keep=("doc_id", "held_out"))
@@ -38,6 +45,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", sign_code(F.col("embedding")).alias("code"))
+    return top_k(codes, codes.where(F.col("vec_id") % 100 == 0))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,13 +87,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_lm_score": op2_lm_score,
     "op3_quality_rules": op3_quality_rules,
     "op4_license_scan": op4_license_scan,
+    "op5_hamming_top_k": op5_hamming_top_k,
     "op6_mixing": op6_mixing,
     "op7_repeated_spans": op7_repeated_spans,
     "op8_language_id": op8_language_id,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_html_text": op10_html_text,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mixing": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_hamming_top_k": TOP_K_SQL, "op6_mixing": MIX_SQL}
