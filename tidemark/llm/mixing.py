@@ -121,8 +121,10 @@ def mix(
     own = F.lit(1.0) if weight is None else F.coalesce(docs[weight].cast("double"), F.lit(1.0))
     source_key = F.coalesce(F.concat(F.lit("="), docs[source]), F.lit("null"))
     added = ["size", "source_size", "target", "copies", "taken"]
+    own_columns = [c for c in docs.columns if c.lower() not in added]
+    # The row's own columns travel in one struct, so that their names clash with nothing here.
     rows = docs.select(
-        *(docs[c] for c in docs.columns if c not in added),
+        F.struct(*(docs[c] for c in own_columns)).alias("_doc"),
         docs[source].alias("_source"), source_key.alias("_source_key"), word_count(docs[text]).alias("_size"),
         own.alias("_own"), draw(docs[key]).alias("_draw"),
         F.struct(docs[key].alias("key"), F.md5(docs[text]).alias("text")).alias("_tie"),
@@ -178,7 +180,7 @@ def mix(
     chosen = F.when(F.col("_rank").isNull(), F.lit(False)).otherwise(F.coalesce(front, F.col("_need").isNotNull()))
     copies = F.col("_whole") + chosen.cast("long")
     return short.select(
-        *(c for c in docs.columns if c not in added),
+        *(F.col("_doc").getField(c).alias(c) for c in own_columns),
         F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"),
         (F.col("_size") * copies).alias("taken"),
     )
