@@ -157,8 +157,7 @@ def oracle_sql() -> dict[str, str]:
         return f"list_filter(string_split_regex({text}, '[{SPACE}]+'), lambda x: x <> '')"
 
     return {
-        "post_text": """SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE '' END || ' </s> ' || '' || ' </s> ' || source AS text
-            FROM documents""",
+        "post_text": "SELECT doc_id, text || ' </s> ' || '' || ' </s> ' || source AS text FROM documents",
         "token_source": """SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN text || ' ' || source ELSE text END AS token
             FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
         "clean_text_regex": rf"""
@@ -182,9 +181,22 @@ def oracle_sql() -> dict[str, str]:
         "lemma_join": f"""WITH l(surface, lemma) AS (VALUES {_values(LEMMAS)})
             SELECT coalesce(l.lemma, w.word) AS word, count(*) AS n
             FROM ({words("documents", "doc_id")}) w LEFT JOIN l ON w.word = l.surface GROUP BY 1""",
+        "lemma_tokens": f"""
+            WITH l(surface, lemma) AS (VALUES {_values(LEMMAS)}),
+            p AS ({pieces("(SELECT doc_id, text FROM documents)", "doc_id")}),
+            n AS (SELECT doc_id, word, row_number() OVER () AS at FROM p),
+            k AS (SELECT n.doc_id, n.at, coalesce(l.lemma, n.word) AS word FROM n LEFT JOIN l ON n.word = l.surface
+                  WHERE n.word NOT IN ({stop}) AND length(n.word) > 1)
+            SELECT d.doc_id, CAST(count(k.word) AS INTEGER) AS n_tokens,
+                   coalesce(string_agg(k.word, ' ' ORDER BY k.at), '') AS joined
+            FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id""",
+        "encoded_texts": """SELECT doc_id, CAST(length(text) AS BIGINT) AS chars,
+            CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS blanks FROM documents""",
+        "mlp_checks": """SELECT vec_id, CAST(label < 4 AS INTEGER) AS label, true AS adds_up, true AS is_argmax
+            FROM embeddings WHERE substr(md5(CAST(vec_id AS VARCHAR)), 1, 2) < '33'""",
         "last_n_tokens": f"""SELECT doc_id, {tail("p", 50)} AS text
             FROM (SELECT doc_id, {split_doc("text")} AS p FROM documents)""",
-        "parse_tolerant": "SELECT source AS author, text AS body, doc_id AS created_utc FROM documents WHERE lang = 'en'",
+        "parse_tolerant": "SELECT source AS author, text AS body, doc_id AS created_utc FROM documents WHERE doc_id % 10 <> 7",
         "parse_strict": """SELECT doc_id, source AS author, text AS selftext, lang AS title, CAST(NULL AS VARCHAR) AS body
             FROM documents""",
         "file_columns": """SELECT doc_id, source || '_x' AS author, source AS folder,
@@ -216,8 +228,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE k <= round_even(n * 0.1e0, 0)""",
         "first_n_users": """SELECT user_id, count(*) AS n FROM events
             WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 5) GROUP BY user_id""",
-        "min_posts_users": """SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user'
-            GROUP BY conv_id HAVING count(*) >= 2""",
+        "min_posts_users": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) >= 2",
         "capped_active_users": """SELECT conv_id, turn FROM conversations WHERE conv_id IN (
             SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 5 ORDER BY conv_id LIMIT 30)""",
         "train_test_split": """SELECT vec_id, CASE WHEN substr(md5(CAST(vec_id AS VARCHAR)), 1, 2) < '33'

@@ -15,7 +15,7 @@ from tidemark.functions.fixed_values import EMOTIONS, POLARITIES
 from tidemark.operators import activity, affect, classifier, cohort, embedding, evaluate, ranksum, sampling, tfidf
 from tidemark.operators import words as wd
 from tidemark.session import shared_folder
-from tidemark.sizes import inline_table, spread
+from tidemark.sizes import inline_table
 from tidemark.sources import lists, sinks, tables
 from tidemark.sources import posts as ps
 
@@ -44,7 +44,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    return spread(table(spark, folder, name).select(*columns))
+    return table(spark, folder, name).select(*columns)
 
 
 def rounded(name: str, digits: int = 9) -> Column:
@@ -56,7 +56,7 @@ def rounded(name: str, digits: int = 9) -> Column:
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.when(F.col("toxic") == 1, "a").otherwise("b").alias("class"))
-    return spread(table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id")
 
 
 def class_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,9 +96,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def post_text(spark, folder):
-    docs = table(spark, folder, "documents").select(
-        "doc_id", F.when(F.col("lang") == "en", F.col("text")).alias("body"), F.col("source").alias("title")
-    )
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("body"), F.col("source").alias("title"))
     full = ps.with_all_fields(docs)
     return full.select("doc_id", tx.join_fields(F.col("body"), F.col("selftext"), F.col("title")).alias("text"))
 
@@ -142,6 +140,16 @@ def lemma_join(spark, folder):
     return lemmas.groupBy("word").agg(F.count("*").alias("n"))
 
 
+@query
+def lemma_tokens(spark, folder):
+    """Each document's kept words as lemmas, in order."""
+    docs = texts(spark, folder, "documents", "doc_id", "text").select(
+        "doc_id", tx.word_array(F.col("text"), tx.default_stopwords()).alias("words")
+    )
+    found = tx.lemmatise_arrays(docs, inline_table(spark, ["surface", "lemma"], LEMMAS), ["doc_id"])
+    return found.select("doc_id", F.size("words").alias("n_tokens"), F.array_join("words", " ").alias("joined"))
+
+
 @query
 def last_n_tokens(spark, folder):
     return texts(spark, folder, "documents", "doc_id", "text").select("doc_id", tx.last_tokens(F.col("text"), 50).alias("text"))
@@ -149,9 +157,9 @@ def last_n_tokens(spark, folder):
 
 @query
 def parse_tolerant(spark, folder):
-    """JSON lines made of the documents, broken for other languages than English."""
+    """JSON lines made of the documents, one in ten of them broken."""
     line = F.to_json(F.struct(F.col("source").alias("author"), F.col("text").alias("body"), F.col("doc_id").alias("created_utc")))
-    broken = F.when(F.col("lang") == "en", line).otherwise(F.concat(F.lit("{"), line))
+    broken = F.when(F.col("doc_id") % 10 != 7, line).otherwise(F.concat(F.lit("{"), line))
     lines = table(spark, folder, "documents").select(broken.alias("value"))
     return ps.parse_lines(lines).select("author", "body", "created_utc")
 
@@ -302,8 +310,7 @@ def first_n_users(spark, folder):
 
 @query
 def min_posts_users(spark, folder):
-    asked = table(spark, folder, "conversations").where(F.col("role") == "user")
-    return sampling.min_posts_users(asked, "conv_id", 2)
+    return sampling.min_posts_users(table(spark, folder, "conversations"), "conv_id", 2)
 
 
 @query
@@ -503,15 +510,22 @@ def mann_whitney_p(spark, folder):
     return ranksum.with_p_value(_tested(spark, folder)).select("feature", rounded("z"), rounded("p", 7))
 
 
+def _tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    """Averages from stored tallies, so that the texts are tokenised once."""
+    path = _scratch(spark, "tallies")
+    tallies = tables.materialize(spark, path, lambda: tfidf.word_tallies(class_documents(spark, folder), "doc_id"))
+    return tfidf.tfidf_average(tfidf.tfidf_weights(tallies, "doc_id"))
+
+
 @query
 def tfidf_avg(spark, folder):
-    averages = tfidf.tfidf_average(tfidf.tfidf_weights(class_documents(spark, folder), "doc_id"))
+    averages = _tfidf(spark, folder)
     return averages.select("class", "word", rounded("tfidf"))
 
 
 @query
 def tfidf_top_terms(spark, folder):
-    averages = tfidf.tfidf_average(tfidf.tfidf_weights(class_documents(spark, folder), "doc_id"))
+    averages = _tfidf(spark, folder)
     return tfidf.tfidf_top_terms(averages).select("class", "word", rounded("tfidf"))
 
 
@@ -539,6 +553,34 @@ def embed_texts(spark, folder):
     return embedding.embed_hashed(docs).select("conv_id", "embedding")
 
 
+@query
+def encoded_texts(spark, folder):
+    """An encoder that can be checked: a text's length and its number of blanks."""
+
+    def make_predict():
+        import numpy as np
+
+        def predict(texts):
+            return np.array([[len(text), text.count(" ")] for text in texts], "float32").reshape(len(texts), 2)
+
+        return predict
+
+    vectors = embedding.embed_with(texts(spark, folder, "documents", "doc_id", "text"), make_predict)
+    return vectors.select(
+        "doc_id", F.col("embedding")[0].cast("long").alias("chars"), F.col("embedding")[1].cast("long").alias("blanks")
+    )
+
+
+@query
+def mlp_checks(spark, folder):
+    """What must hold for the classifier's answers on the test part, whatever it learnt."""
+    p = F.col("probability")
+    return mlp_predict(spark, folder).select(
+        "vec_id", "label", (F.abs(p[0] + p[1] - 1) < 1e-9).alias("adds_up"),
+        (F.col("prediction") == F.when(p[1] > p[0], 1).otherwise(0)).alias("is_argmax"),
+    )
+
+
 @query
 def mlp_predict(spark, folder):
     rows = table(spark, folder, "embeddings").withColumn("label", (F.col("label") < 4).cast("int"))

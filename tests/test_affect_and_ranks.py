@@ -27,6 +27,29 @@ def test_affects_of_a_post(spark):
     assert (got[4].anticipation, got[4].negative) == (0.5, 0.5)
 
 
+def test_equal_posts_both_count(spark):
+    rows = [(1, "a", ["good", "bad"])] * 2 + [(1, "a", ["good"]), (2, "a", []), (2, "a", [])]
+    got = sorted((r.id, r.joy, r.negative) for r in wide(spark, rows).collect())
+    assert got == [(1, pytest.approx(1 / 3), pytest.approx(1 / 3))] * 2 + [(1, 0.5, 0.0), (2, 0.0, 0.0), (2, 0.0, 0.0)]
+
+
+def test_features_on_other_scales_have_even_ranges(spark):
+    """Each of two features, on scales a million apart, is spread over many ranges."""
+    rows = spark.range(20_000).selectExpr(
+        "if(id % 2 = 0, 'small', 'large') AS feature", "id * if(id % 2 = 0, 1e-6, 1.0) AS value", "id % 3 = 0 AS first"
+    )
+    ordered = rows.repartitionByRange("feature", "value").withColumn("range", F.spark_partition_id())
+    # Ranges as small as these would be merged.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in ordered.groupBy("feature", "range").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 8 and max(sizes) < 3 * 20_000 / 8
+    got = ranksum.rank_sums(rows, "value", F.col("first"), "feature").collect()
+    assert {(r.feature, r.n1 + r.n2) for r in got} == {("small", 10_000), ("large", 10_000)}
+
+
 def test_scores_are_normalised_per_group(spark):
     table = wide(spark, [(1, "a", ["good", "good", "bad"]), (2, "a", ["soon"]), (3, "b", ["bad"])])
     emotions = {(r["class"], r.emotion): r.percentage for r in affect.emotion_scores(table).collect()}
@@ -51,13 +74,16 @@ def test_small_rank_sum(spark):
     assert (got.n1, got.n2, got.u) == (3, 2, 1.0)
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 7, 256])
+@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
 @pytest.mark.parametrize("seed", range(2))
 def test_u_against_all_pairs(spark, ranges, seed):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
     rng = random.Random(seed)
     a = [rng.choice([0, 0, 0, rng.randint(-9, 9), rng.random()]) for _ in range(130)]
     b = [rng.choice([0, rng.randint(-9, 9), rng.gauss(0, 3)]) for _ in range(170)]
-    sums = ranksum.rank_sums(values(spark, a, b), "value", F.col("first"), "feature", ranges).first()
+    sums = ranksum.rank_sums(values(spark, a, b), "value", F.col("first"), "feature").first()
+    spark.conf.set("spark.sql.shuffle.partitions", old)
     u = (int(sums.twice_r1) - sums.n1 * (sums.n1 + 1)) / 2
     assert u == u_by_pairs(a, b)
     counts = [(a + b).count(v) for v in set(a + b)]
@@ -100,7 +126,7 @@ def test_auc(spark):
 def test_tfidf(spark):
     docs = {("a", 1): ["x", "x", "y"], ("a", 2): ["y"], ("a", 3): [], ("b", 4): ["x"]}
     df = spark.createDataFrame([(c, i, w) for (c, i), w in docs.items()], "class string, id int, words array<string>")
-    weights = tfidf.tfidf_weights(df, "id")
+    weights = tfidf.tfidf_weights(tfidf.word_tallies(df, "id"), "id")
     norms = weights.groupBy("class", "id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
     assert [r.n for r in norms] == pytest.approx([1.0] * 3)
     x, y = math.log(3 / 2) + 1, math.log(3 / 3) + 1

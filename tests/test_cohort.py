@@ -63,17 +63,19 @@ def test_cut_against_python(spark):
 
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
 @pytest.mark.parametrize("rows", [0, 10**6])
-def test_lookup_join_keeps_every_row_once(spark, monkeypatch, threshold, rows):
+def test_lookup_join_keeps_every_row_once(spark, monkeypatch, tmp_path, threshold, rows):
     monkeypatch.setattr(sizes, "BROADCAST_ROWS", rows)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         posts = spark.createDataFrame(random_posts(), POSTS)
         right = posts.where("author <> 'u1'").groupBy("author").agg(F.count("*").alias("n"))
-        joined = lookup_join(posts, right, ["author"])
-        assert joined.count() == posts.count()
-        assert joined.where("n is null").select("author").distinct().collect() == [("u1",)]
-        assert lookup_join(posts, right, ["author"], "inner").count() == posts.where("author <> 'u1'").count()
+        for folder in (None, str(tmp_path)):
+            joined = lookup_join(posts, right, ["author"], folder=folder)
+            assert joined.count() == posts.count()
+            assert joined.where("n is null").select("author").distinct().collect() == [("u1",)]
+            inner = lookup_join(posts, right, ["author"], "inner", folder=folder)
+            assert inner.count() == posts.where("author <> 'u1'").count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 

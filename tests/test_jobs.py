@@ -35,6 +35,14 @@ def test_acquire(spark, cohorts, tmp_path):
     assert {r.author for r in posts.select("author").collect()} == {r.author for r in chosen.collect()}
 
 
+def test_two_runs_in_one_folder(spark, cohorts, tmp_path):
+    for n in (3, 5, 3):
+        assert jobs.acquire_authors(cohorts[1], str(tmp_path), n)[0].count() == n
+    other = cohorts[1].where("author <> 'b0'")
+    found = jobs.acquire_authors(other, str(tmp_path), other.select("author").distinct().count(), tag="other")[0]
+    assert "b0" not in {r.author for r in found.collect()}
+
+
 def test_acquire_cohort(spark, tmp_path):
     comments = spark.createDataFrame(
         [(f"u{i % 20}", f"c{i % 2}", f"c{i % 2}/u{i % 20}", f"comment {i}") for i in range(200)],
@@ -83,6 +91,27 @@ def test_compare(spark, cohorts, tmp_path):
     assert made["tfidf_terms"].count() > 0 and made["extents"].count() == 1 and made["histogram"].count() > 0
 
 
+def test_lemmas_in_the_comparison(spark, cohorts, tmp_path):
+    lemmas = inline_table(spark, ["surface", "lemma"], [("angry", "anger"), ("happy", "joyful"), ("word0", "word1")])
+    tokens = jobs.tokenised_posts(*cohorts, ["Bad"], "id", ["word5"], lemmas=lemmas, folder=str(tmp_path))
+    plain = jobs.tokenised_posts(*cohorts, ["Bad"], "id", ["word5"])
+    names = {"angry": "anger", "happy": "joyful", "word0": "word1"}
+    want = {(r.id, r["class"]): [names.get(w, w) for w in r.words] for r in plain.collect()}
+    assert {(r.id, r["class"]): r.words for r in tokens.collect()} == want
+    made = jobs.compare_cohorts(tokens, inline_table(spark, ["word", "affect"], [("anger", "anger")]), str(tmp_path), "id")
+    words = {r.word for r in made["word_table"].collect()}
+    assert {"anger", "joyful"} <= words and not words & {"angry", "happy", "word0", "word5"}
+
+
+def test_placeholder_author_and_user_cap(spark, cohorts):
+    hot = cohorts[1].withColumn("author", F.when(F.col("id") % 3 == 0, "[deleted]").otherwise(F.col("author")))
+    named = {r.author for r in jobs.author_documents(hot, None, "id").collect()}
+    assert named and "[deleted]" not in named
+    few = jobs.embed_cohorts(cohorts[0], hot, ["Bad"], "id", users=4, at_least=2)
+    found = [(r.author, r.label) for r in few.select("author", "label").collect()]
+    assert sum(label == 0 for _, label in found) == 4 and all(author != "[deleted]" for author, _ in found)
+
+
 def test_documents_embed_classify(spark, cohorts, tmp_path):
     whole = {r.author: r.text for r in jobs.author_documents(cohorts[0], ["Bad"], "id", None).collect()}
     tail = {r.author: r.text for r in jobs.author_documents(cohorts[0], ["Bad"], "id", 30).collect()}
@@ -99,7 +128,7 @@ def test_documents_embed_classify(spark, cohorts, tmp_path):
 def test_shuffle_partitions():
     assert session.shuffle_partitions_for(10) == 200
     assert session.shuffle_partitions_for(2**40) == 4096
-    assert session.shuffle_partitions_for(100 * 2**40) == 40_000
+    assert session.shuffle_partitions_for(100 * 2**40) == 409_600
 
 
 def test_shared_folder(spark):

@@ -4,8 +4,9 @@ import pytest
 from compare import differences, duck
 
 from catalog.oracle import oracle_sql
-from catalog.queries import QUERIES
+from catalog.queries import QUERIES, class_documents
 from tidemark import sizes
+from tidemark.operators import cohort, sampling, tfidf
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,26 +21,38 @@ def test_no_cross_product(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+LOOKUPS = ["cut_by_time", "cut_by_position", "cut_by_priority", "companion_first_match", "author_last_tokens", "sample_frac_per_group"]
+
+
 @pytest.fixture
-def unknown_sizes(spark):
-    """No broadcast from Spark's own estimates, as on tables of unknown size."""
+def stored_lookups(spark, monkeypatch, tmp_path):
+    """Lookups as a job with a folder does them, without broadcasts from Spark's own estimates."""
+    real = sizes.lookup_join
+    for module in (cohort, sampling):
+        monkeypatch.setattr(module, "lookup_join", lambda *a, **k: real(*a, **{**k, "folder": str(tmp_path)}))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-LOOKUPS = ["cut_by_time", "cut_by_position", "cut_by_priority", "companion_first_match", "author_last_tokens", "sample_frac_per_group"]
+@pytest.mark.parametrize("name", LOOKUPS)
+def test_composing_a_plan_runs_nothing(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"compose-{name}", "")
+    plan_of(spark, name)
+    spark.sparkContext.setJobGroup("", "")
+    assert not tracker.getJobIdsForGroup(f"compose-{name}")
 
 
 @pytest.mark.parametrize("name", LOOKUPS)
-def test_measured_small_sides_are_broadcast(spark, unknown_sizes, name):
+def test_stored_small_sides_are_broadcast(spark, stored_lookups, name):
     plan = plan_of(spark, name)
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Scan ExistingRDD" in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 @pytest.mark.parametrize("name", LOOKUPS)
-def test_large_sides_are_salted(spark, unknown_sizes, monkeypatch, name):
+def test_large_sides_are_salted(spark, stored_lookups, monkeypatch, name):
     monkeypatch.setattr(sizes, "BROADCAST_ROWS", 0)
     plan = plan_of(spark, name)
     assert "SortMergeJoin" in plan and "_salt" in plan and "BroadcastHashJoin" not in plan
@@ -47,12 +60,26 @@ def test_large_sides_are_salted(spark, unknown_sizes, monkeypatch, name):
 
 @pytest.mark.parametrize("name", LOOKUPS)
 @pytest.mark.parametrize("rows", [0, 10**6])
-def test_all_ways_of_joining_agree(spark, unknown_sizes, monkeypatch, name, rows):
+def test_all_ways_of_joining_agree(spark, stored_lookups, monkeypatch, name, rows):
     monkeypatch.setattr(sizes, "BROADCAST_ROWS", rows)
     folder = "/root/testdata/sf0.01"
     assert differences(QUERIES[name](spark, folder), duck(folder), oracle_sql()[name]) == ""
 
 
+def test_splits_of_large_files_are_kept(spark, tmp_path):
+    """Three large files feed as many tasks as they have splits, without a shuffle of the texts."""
+    for part in range(3):
+        rows = spark.range(4000).selectExpr("id AS doc_id", "repeat(uuid(), 20) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+        rows.coalesce(1).write.option("parquet.block.size", 262144).mode("append").parquet(str(tmp_path / "documents.parquet"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "524288")
+    try:
+        docs = QUERIES["tokens"](spark, str(tmp_path))
+        assert docs.rdd.getNumPartitions() > 8 and "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_cuts_need_no_window_over_an_author(spark):
     assert "Window" not in plan_of(spark, "cut_by_time")
 
@@ -67,7 +94,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_heads_are_cut_before_the_shuffle(spark):
     for name in ("top_words", "top_words_all"):
         assert "WindowGroupLimit" in plan_of(spark, name)
-    assert "TakeOrderedAndProject" in plan_of(spark, "sample_n")
+    assert "TakeOrderedAndProject" not in plan_of(spark, "sample_n")
 
 
 def test_totals_reuse_the_counts(spark):
@@ -77,7 +104,9 @@ def test_totals_reuse_the_counts(spark):
     assert "ReusedExchange" in final
 
 
-def test_texts_are_tokenised_once_per_use(spark):
-    plan = plan_of(spark, "tfidf_avg")
-    scans = [line for line in plan.splitlines() if "FileScan" in line]
-    assert scans and all("split" not in line for line in scans)
+def test_texts_are_tokenised_once(spark):
+    """The weights only read the stored tallies; the tallies hold one tokenising projection."""
+    assert "split(" not in plan_of(spark, "tfidf_avg")
+    tallies = tfidf.word_tallies(class_documents(spark, FOLDER), "doc_id")
+    plan = tallies._jdf.queryExecution().executedPlan().toString()
+    assert sum("split(" in line for line in plan.splitlines()) == 1 and "FileScan" in plan

@@ -66,19 +66,6 @@ def test_compressed_scans(spark, tmp_path):
     assert dict(got.groupBy("data_type").count().collect()) == {"submissions": 2000, "comments": 2000}
 
 
-def test_long_window_dump(spark, tmp_path):
-    long = zstandard.ZstdCompressionParameters.from_level(3, window_log=31, enable_ldm=True)
-    lines = [json.dumps({"author": f"u{i}", "body": "ü " * (i % 40)}, ensure_ascii=False) for i in range(3000)]
-    for name in ("RS_a.zst", "RC_b.zst"):
-        with open(tmp_path / name, "wb") as raw, zstandard.ZstdCompressor(compression_params=long).stream_writer(raw) as out:
-            out.write("\n".join([*lines, "{bad"]).encode())
-    with pytest.raises(Exception, match="(?s)FAILED_READ_FILE"):
-        posts.read_posts(spark, [str(tmp_path)]).count()
-    got = posts.read_long_window_posts(spark, [str(tmp_path)], partitions=4)
-    assert dict(got.groupBy("data_type").count().collect()) == {"submissions": 3000, "comments": 3000}
-    assert got.where("author = 'u39'").first().body == "ü " * 39
-
-
 def test_positions_follow_the_file(spark, tmp_path):
     for name in ("u_comments.json", "v_comments.json"):
         dump(tmp_path / name, [{"author": name[0], "id": f"{i}", "body": "x" * (i % 90)} for i in range(3000)])
@@ -98,6 +85,23 @@ def test_positions_follow_the_file(spark, tmp_path):
     assert dict(cohort.cut_by_position(listed, ["L"]).groupBy("author").count().collect()) == {"u": 700, "v": 700}
 
 
+def test_positions_order_lines_over_files(spark, tmp_path):
+    """A post in an earlier, smaller file stands before the listed one, whatever Spark reads first."""
+    dump(tmp_path / "a_RC.json", [{"author": "u", "subreddit": "plain", "id": "1"}])
+    rest = [{"author": "u", "subreddit": "plain", "id": f"{i}", "body": "x" * 500} for i in (3, 4, 5)]
+    dump(tmp_path / "b_RC.json", [{"author": "u", "subreddit": "L", "id": "2"}, *rest])
+    tables.materialize(spark, str(tmp_path / "stored"), lambda: posts.read_posts(spark, [str(tmp_path)], positions=True))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    assert [r.id for r in stored.orderBy("pos").collect()] == ["1", "2", "3", "4", "5"]
+    assert [r.id for r in cohort.cut_by_priority(stored, ["L"]).collect()] == ["1"]
+
+
+def test_equal_posts_have_different_keys(spark, tmp_path):
+    path = dump(tmp_path / "RC_1.json", [{"author": "u", "body": "same"}] * 2)
+    found = posts.with_post_id(posts.read_posts(spark, [str(path)], positions=True))
+    assert found.select("post_id").distinct().count() == 2
+
+
 def test_epoch_time(spark):
     df = spark.createDataFrame([(86_400,)], "created_utc long")
     assert str(posts.with_time(df).select(F.col("created_utc").cast("string")).first()[0]) == "1970-01-02 00:00:00"
@@ -120,16 +124,12 @@ def test_list_sinks(spark, tmp_path):
         path = str(tmp_path / f"names{ord(separator)}")
         sinks.write_names(names, path, separator)
         assert lists.read_names(spark, path, separator).count() == 40
-    sinks.write_comma_line(names, str(tmp_path / "line"))
-    assert spark.read.text(str(tmp_path / "line")).first()[0].split(",") == sorted(f"u{i}" for i in range(40))
-    with pytest.raises(ValueError, match="more than 39"):
-        sinks.write_comma_line(names, str(tmp_path / "line2"), limit=39)
 
 
 def test_headerless_csv(spark, tmp_path):
     (tmp_path / "d.csv").write_text('1,2017-08-01 10:00:00,u,l,"a, ""b""\nc"\n2,2017-08-03,u,l,x\n3,2017-08-03 01:00:00,v,l,y\n')
-    got = tables.read_dated_posts(spark, str(tmp_path / "d.csv"))
-    assert got.orderBy("uknwn").first().text == 'a, "b"\nc'
+    got = tables.read_dated_posts(spark, str(tmp_path / "d.csv"), multi_line=True)
+    assert got.orderBy("number").first().text == 'a, "b"\nc'
     per_day = activity.new_users(got).select(F.col("first").cast("date").cast("string"), "n").collect()
     assert [tuple(r) for r in per_day] == [("2017-08-01", 1), ("2017-08-03", 1)]
     assert activity.new_users(got, grain=None).count() == 2
@@ -152,6 +152,9 @@ def test_materialize_builds_once(spark, tmp_path):
     for _ in range(2):
         assert tables.materialize(spark, str(tmp_path / "t"), build).count() == 3
     assert built == [1]
+    # Other parameters are another table.
+    for n in (20, 50, 20):
+        assert tables.materialize(spark, str(tmp_path / "t"), lambda n=n: spark.range(n), "tag", n).count() == n
     # A build that broke off: some files are there, the success marker is not.
     half = tmp_path / "half"
     spark.range(2).write.parquet(str(half))

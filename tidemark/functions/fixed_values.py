@@ -40,9 +40,8 @@ MISSING_WHEN_ABSENT = "anticipation"
 FIELD_SEPARATOR = " </s> "
 POST_SEPARATOR = "<s> "
 
-# Placeholder author, zstd decode window, encoder length.
+# Placeholder author, encoder length.
 PLACEHOLDER_AUTHOR = "[deleted]"
-ZSTD_WINDOW = 2147483648
 ENCODER_TOKENS = 4096
 
 # Share bands (low, high], lowest share allowed in the other class.

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS, FIELD_SEPARATOR
-from tidemark.sizes import checked_broadcast
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1C-\x20\x{85}\p{Z}"
@@ -113,12 +112,12 @@ def explode_words(df: DataFrame, text: str, keep: Iterable[str], stopwords: Iter
     return words.where(F.expr(f"word NOT IN ({_sql_strings(stopwords)})")) if stopwords else words
 
 
-def tally_words(df: DataFrame, keep: Iterable[str], words: str = "words") -> DataFrame:
+def tally_words(df: DataFrame, keep: Iterable[str], words: str = "words", lead: str | None = None) -> DataFrame:
     """One row per different word of each row's array, with its count ``tf``.
 
     A document's words are all in one row, so counting needs no shuffle: in the
     sorted array a word's count is the distance between two places where the
-    word changes.
+    word changes.  ``lead`` names a column that is true for one word of each row.
     """
     keep = list(keep)
     # No filter on the array: it would be pushed below the projection that makes
@@ -129,7 +128,9 @@ def tally_words(df: DataFrame, keep: Iterable[str], words: str = "words") -> Dat
     counted = F.transform(
         "_at",
         lambda at, k: F.struct(
-            F.get("_w", at).alias("word"), (F.coalesce(F.get("_at", k + 1), F.size("_w")) - at).alias("tf")
+            F.get("_w", at).alias("word"),
+            (F.coalesce(F.get("_at", k + 1), F.size("_w")) - at).alias("tf"),
+            *([(k == 0).alias(lead)] if lead else []),
         ),
     )
     return ordered.withColumn("_at", starts).select(*keep, F.inline(counted))
@@ -137,15 +138,30 @@ def tally_words(df: DataFrame, keep: Iterable[str], words: str = "words") -> Dat
 
 def drop_stopwords(words: DataFrame, stopwords: DataFrame) -> DataFrame:
     """Anti join with a stop-word table ``(word)``."""
-    return words.join(checked_broadcast(stopwords.select("word")), "word", "left_anti")
+    return words.join(stopwords.select("word"), "word", "left_anti")
 
 
 def lemmatise(words: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Replace each word by its lemma from a table ``(surface, lemma)``, if it has one."""
-    table = checked_broadcast(lemmas.select(F.col("surface").alias("word"), "lemma"))
+    table = lemmas.select(F.col("surface").alias("word"), "lemma")
     return words.join(table, "word", "left").withColumn("word", F.coalesce("lemma", "word")).select(*words.columns)
 
 
+def lemmatise_arrays(docs: DataFrame, lemmas: DataFrame, keys: Iterable[str], words: str = "words") -> DataFrame:
+    """Replace the words of each row's array by their lemmas, in place; ``keys`` name a row.
+
+    The lemma table ``(surface, lemma)`` is joined, so it may be of any size; of several
+    lemmas of a word the first in order counts.
+    """
+    keys = list(keys)
+    table = lemmas.groupBy(F.col("surface").alias("_word")).agg(F.min("lemma").alias("_lemma"))
+    spelt = docs.select(*keys, F.posexplode_outer(words).alias("_at", "_word"))
+    joined = spelt.join(table, "_word", "left")
+    word = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_lemma", "_word").alias("word")))
+    ordered = F.array_sort(F.collect_list(word))
+    return joined.groupBy(*keys).agg(F.transform(ordered, lambda item: item["word"]).alias(words))
+
+
 def pieces(text: Column) -> Column:
     """The text's pieces between white space, none of them empty."""
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda piece: piece != "")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import AFFECTS, EMOTIONS, MISSING_WHEN_ABSENT, POLARITIES
-from tidemark.sizes import checked_broadcast
 
 
 def affect_wide(posts: DataFrame, lexicon: DataFrame, keys: Sequence[str], words: str = "words") -> DataFrame:
@@ -19,15 +18,19 @@ def affect_wide(posts: DataFrame, lexicon: DataFrame, keys: Sequence[str], words
     columns ``(word, affect)``; a word may carry several affects.  A post
     without any hit has all zeros, and a missing ``anticipation`` is NULL.
 
-    All words of a post sit in one row, so the counts are complete before the
-    shuffle, which moves one row per post.
+    The lexicon is first one row per word, so a word is matched once.  Posts equal in
+    all keys and words are counted together and written out again as often.
     """
     keys = list(keys)
-    table = checked_broadcast(lexicon.select("word", "affect"))
-    hits = posts.select(*keys, F.explode_outer(words).alias("word")).join(table, "word", "left")
-    counts = hits.groupBy(*keys).agg(*(F.count_if(F.col("affect") == name).alias(name) for name in AFFECTS))
+    table = lexicon.groupBy("word").agg(*(F.count_if(F.col("affect") == name).alias(name) for name in AFFECTS))
+    spelt = posts.select(*keys, F.hash(words).alias("_words"), F.posexplode_outer(words).alias("_at", "word"))
+    hits = spelt.join(table, "word", "left")
+    sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in AFFECTS]
+    copies = F.count_if(F.coalesce("_at", F.lit(0)) == 0).cast("int")
+    counts = hits.groupBy(*keys, "_words").agg(*sums, copies.alias("_copies"))
+    each = counts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     total = sum((F.col(name) for name in AFFECTS[1:]), F.col(AFFECTS[0]))
-    return counts.select(*keys, *(_part(name, total).alias(name) for name in AFFECTS))
+    return each.select(*keys, *(_part(name, total).alias(name) for name in AFFECTS))
 
 
 def _part(name: str, total: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import ENCODER_TOKENS, POST_SEPARATOR
 from tidemark.functions.text import last_tokens, pieces
-from tidemark.sizes import checked_broadcast, lookup_join
+from tidemark.sizes import lookup_join
 
 # Width of the time slices an author's posts are first joined in.
 SLICE_SECONDS = 3_600
@@ -40,15 +40,15 @@ def _in_listed(posts: DataFrame, communities: Sequence[str] | DataFrame, communi
     """
     if isinstance(communities, DataFrame):
         ranks = communities.select(F.col("community").alias(community), F.col("priority").alias("_priority"))
-        return posts.join(checked_broadcast(ranks), community)
+        return posts.join(ranks, community)
     listed = F.array(*(F.lit(name) for name in communities))
     return posts.where(F.col(community).isin(list(communities))).withColumn(
         "_priority", F.array_position(listed, F.col(community))
     )
 
 
-def _keep_before(posts: DataFrame, cuts: DataFrame, by: str, order: str) -> DataFrame:
-    kept = lookup_join(posts, cuts, [by], salt_by=[order]).where(F.col("_cut").isNull() | (F.col(order) < F.col("_cut")))
+def _keep_before(posts: DataFrame, cuts: DataFrame, by: str, order: str, folder: str | None) -> DataFrame:
+    kept = lookup_join(posts, cuts, [by], salt_by=[order], folder=folder).where(F.col("_cut").isNull() | (F.col(order) < F.col("_cut")))
     return kept.select(*posts.columns)
 
 
@@ -58,14 +58,16 @@ def cut_by_time(
     author: str = "author",
     community: str = "subreddit",
     at: str = "created_utc",
+    folder: str | None = None,
 ) -> DataFrame:
     """Keep an author's posts strictly before the first one in a listed community.
 
     Authors without such a post keep everything.  The cut is an aggregate over
     the listed posts only, so no author's whole timeline meets in one task.
+    ``folder`` stores and measures it first, see :func:`tidemark.sizes.lookup_join`.
     """
     cuts = _in_listed(posts.select(author, community, at), communities, community)
-    return _keep_before(posts, cuts.groupBy(author).agg(F.min(at).alias("_cut")), author, at)
+    return _keep_before(posts, cuts.groupBy(author).agg(F.min(at).alias("_cut")), author, at, folder)
 
 
 def cut_by_position(
@@ -74,10 +76,11 @@ def cut_by_position(
     file: str = "file",
     community: str = "subreddit",
     position: str = "pos",
+    folder: str | None = None,
 ) -> DataFrame:
     """Like :func:`cut_by_time`, per file and by line number instead of time."""
     cuts = _in_listed(posts.select(file, community, position), communities, community)
-    return _keep_before(posts, cuts.groupBy(file).agg(F.min(position).alias("_cut")), file, position)
+    return _keep_before(posts, cuts.groupBy(file).agg(F.min(position).alias("_cut")), file, position, folder)
 
 
 def cut_by_priority(
@@ -86,20 +89,27 @@ def cut_by_priority(
     author: str = "author",
     community: str = "subreddit",
     position: str = "pos",
+    folder: str | None = None,
 ) -> DataFrame:
     """Cut at the first post in the author's highest-listed community.
 
+    ``position`` orders an author's posts over all files.
+
     Of the listed communities an author posted in, the one listed first decides,
     even if the author joined a later-listed one before it.
     """
     listed = _in_listed(posts.select(author, community, position), communities, community)
     first = F.min(F.struct("_priority", F.col(position).alias("_cut")))
     cuts = listed.groupBy(author).agg(first.alias("_first")).select(author, "_first._cut")
-    return _keep_before(posts, cuts, author, position)
+    return _keep_before(posts, cuts, author, position, folder)
 
 
 def companion_first_match(
-    authors: DataFrame, companions: DataFrame, author: str = "author", priority: str = "priority"
+    authors: DataFrame,
+    companions: DataFrame,
+    author: str = "author",
+    priority: str = "priority",
+    folder: str | None = None,
 ) -> DataFrame:
     """Companion rows of the given authors, each author's from one source only.
 
@@ -112,15 +122,19 @@ def companion_first_match(
         .agg(F.min(priority).alias("_chosen"))
         .join(authors.select(author).distinct(), author, "left_semi")
     )
-    matched = lookup_join(companions, chosen, [author], "inner")
+    matched = lookup_join(companions, chosen, [author], "inner", folder=folder)
     return matched.where(F.col(priority) == F.col("_chosen")).select(*companions.columns)
 
 
 def with_companions(
-    posts: DataFrame, companions: DataFrame, author: str = "author", priority: str = "priority"
+    posts: DataFrame,
+    companions: DataFrame,
+    author: str = "author",
+    priority: str = "priority",
+    folder: str | None = None,
 ) -> DataFrame:
     """Posts together with their authors' companion rows; authors without any stay."""
-    matched = companion_first_match(posts, companions, author, priority)
+    matched = companion_first_match(posts, companions, author, priority, folder)
     return posts.unionByName(matched, allowMissingColumns=True)
 
 
@@ -161,9 +175,9 @@ def author_text(
     """One document per author: the posts' texts in the given order.
 
     Built from :func:`author_slices`, so a very active author is spread over
-    many tasks and only the finished parts meet.  A document must fit one Spark
-    string (2 GB); where it may not, use the slices, or :func:`author_tail` for
-    what an encoder reads of it.
+    many tasks, but the finished parts meet in one: a document is one row, bounded
+    by one Spark string (2 GB).  Jobs use :func:`author_tail`, which is bounded by
+    what an encoder reads, or the slices.
     """
     parts = author_slices(posts, order, slice_of, author, text, keep)
     whole = F.expr(f"listagg(`{text}`, '{POST_SEPARATOR}') within group (order by slice)")
@@ -178,6 +192,7 @@ def author_tail(
     author: str = "author",
     text: str = "text",
     keep: Sequence[str] = (),
+    folder: str | None = None,
 ) -> DataFrame:
     """The last ``n`` white-space tokens of each author's document.
 
@@ -196,6 +211,6 @@ def author_tail(
         .groupBy(author)
         .agg(F.min("_slice").alias("_from"))
     )
-    near = lookup_join(sliced, needed, [author], "inner", salt_by=order).where(F.col("_slice") >= F.col("_from"))
+    near = lookup_join(sliced, needed, [author], "inner", salt_by=order, folder=folder).where(F.col("_slice") >= F.col("_from"))
     tail = author_text(near, order, F.col("_slice"), author, text, keep)
     return tail.withColumn(text, last_tokens(F.col(text), n))

@@ -13,13 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
 BIG = "decimal(38,0)"
 
 
-def rank_sums(
-    df: DataFrame, value: str, first: Column, feature: str | None = None, ranges: int = RANGES
-) -> DataFrame:
+def rank_sums(df: DataFrame, value: str, first: Column, feature: str | None = None) -> DataFrame:
     """Per feature: group sizes, doubled rank sum of the first group, tie term.
 
     Rows with a NULL value are left out.  ``first`` tells the first group from
@@ -33,22 +30,12 @@ def rank_sums(
     counts = rows.groupBy("feature", "value").agg(
         F.count_if("_first").alias("c1"), F.count_if(~F.col("_first")).alias("c2")
     )
-    # Any bounds give the right result, near-quantiles give even ranges.  The
-    # sums keep the counts in the subquery, so that it reads the same shuffle.
-    steps = F.expr("array(" + ", ".join(f"{i / ranges!r}D" for i in range(1, max(ranges, 2))) + ")")
-    bounds = counts.agg(
-        F.struct(
-            F.percentile_approx("value", steps, 10 * ranges).alias("at"),
-            F.sum("c1").alias("c1"),
-            F.sum("c2").alias("c2"),
-        ).alias("b")
-    ).scalar()
-    ranged = counts.withColumn("_b", bounds).select(
-        "feature",
-        "value",
-        "c1",
-        (F.col("c1") + F.col("c2")).alias("c"),
-        F.size(F.filter("_b.at", lambda bound: bound < F.col("value"))).alias("_range"),
+    # Equal parts of all counts in order of feature and value, so each feature has
+    # ranges on its own scale, and there are as many as shuffle partitions.  Any
+    # borders give the right result.
+    ordered = counts.repartitionByRange("feature", "value")
+    ranged = ordered.select(
+        "feature", "value", "c1", (F.col("c1") + F.col("c2")).alias("c"), F.spark_partition_id().alias("_range")
     )
     inside = Window.partitionBy("feature", "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     c, c1 = F.col("c").cast(BIG), F.col("c1").cast(BIG)
@@ -62,7 +49,7 @@ def rank_sums(
             F.sum((c * c * c - c).cast(BIG)).cast(BIG).alias("ties"),
         )
     )
-    # At most ``ranges`` rows per feature from here on.
+    # At most one row per feature and shuffle partition from here on.
     across = Window.partitionBy("feature").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("n").over(across), F.lit(0))
     return (

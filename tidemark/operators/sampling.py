@@ -50,21 +50,16 @@ def _head_edge(drawn: DataFrame, groups: list[str], wanted: Column) -> DataFrame
 def sample_n(df: DataFrame, key: str, n: int, seed: int = SPLIT_SEED) -> DataFrame:
     """Exactly ``n`` of the distinct keys; fails if there are fewer."""
     drawn = df.select(F.col(key).alias("_key")).distinct().withColumn("_draw", draw(F.col("_key"), seed))
-    celled = drawn.withColumn("_cell", cell(F.col("_draw"), GLOBAL_DIGITS))
-    # At most 16 ** GLOBAL_DIGITS rows go through this window.
-    sizes = (
-        celled.groupBy("_cell")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_upto", F.sum("_rows").over(Window.orderBy("_cell")))
-    )
-    last = sizes.agg(F.min(F.when(F.col("_upto") >= n, F.col("_cell"))).alias("last")).scalar()
-    too_few = F.raise_error(F.lit(f"cannot draw {n} distinct keys: there are fewer")).cast("int")
-    near = celled.where(F.col("_cell") <= F.coalesce(last, too_few))
-    return near.orderBy("_draw", "_key").limit(n).select(F.col("_key").alias(key))
+    too_few = F.raise_error(F.lit(f"cannot draw {n} distinct keys: there are fewer")).cast("long")
+    wanted = F.when(F.col("_total") < n, too_few).otherwise(F.lit(n))
+    edge = _head_edge(drawn, [], wanted).select("_edge").scalar()
+    return drawn.where(F.struct("_draw", "_key") <= edge).select(F.col("_key").alias(key))
 
 
-def sample_fraction(df: DataFrame, group: str, key: str, fraction: float = 0.1, seed: int = SPLIT_SEED) -> DataFrame:
-    """Exactly ``fraction`` of each group's rows, rounded half to even.
+def sample_fraction(
+    df: DataFrame, group: str, key: str, fraction: float = 0.1, seed: int = SPLIT_SEED, folder: str | None = None
+) -> DataFrame:
+    """Exactly ``fraction`` of each group's rows, rounded half to even; ``key`` must be unique.
 
     Only group and key are read to find the edge of the sample, so the rows with
     their texts are scanned once and not shuffled unless the edges are many.
@@ -73,7 +68,7 @@ def sample_fraction(df: DataFrame, group: str, key: str, fraction: float = 0.1,
     wanted = F.rint(F.col("_total") * fraction).cast("long")
     edges = _head_edge(keyed.select(group, "_key", "_draw"), [group], wanted)
     return (
-        lookup_join(keyed, edges, [group], "inner", salt_by=["_draw"])
+        lookup_join(keyed, edges, [group], "inner", salt_by=["_draw"], folder=folder)
         .where(F.struct("_draw", "_key") <= F.col("_edge"))
         .select(*df.columns)
     )

@@ -14,26 +14,29 @@ from tidemark.functions.fixed_values import TFIDF_PICKS
 from tidemark.functions.text import tally_words
 
 
-def tfidf_weights(docs: DataFrame, doc: str, words: str = "words", label: str = "class") -> DataFrame:
-    """One normalised weight per class, document and word.
+def word_tallies(docs: DataFrame, doc: str, words: str = "words", label: str = "class") -> DataFrame:
+    """One row per class, document and different word, with its count ``tf``.
 
     ``docs`` holds one row per document with its word array; documents without
-    words do not count.  The join on the word may be as skewed as the language
-    is; it is an inner join that adaptive execution splits.  Its other side has
-    one narrow row per word, so it is hashed rather than both sides sorted.
+    words do not count.  ``lead`` marks one word of each document.  The weights read
+    this table three times, so store it: the texts are then tokenised once.
     """
-    counts = tally_words(docs, [label, doc], words)
-    frequency = (
-        docs.select(label, F.explode(F.array_distinct(words)).alias("word"))
-        .groupBy(label, "word")
-        .agg(F.count("*").alias("df"))
-    )
+    return tally_words(docs, [label, doc], words, lead="lead")
+
+
+def tfidf_weights(tallies: DataFrame, doc: str, label: str = "class") -> DataFrame:
+    """One normalised weight per class, document and word, from :func:`word_tallies`.
+
+    The join on the word may be as skewed as the language is; it is an inner
+    join that adaptive execution splits.  Its other side has one narrow row per word.
+    """
+    frequency = tallies.groupBy(label, "word").agg(F.count("*").alias("df"))
     # One row per class.
-    sizes = docs.groupBy(label).agg(F.count_if(F.size(words) > 0).alias("n"))
+    sizes = tallies.groupBy(label).agg(F.count_if("lead").alias("n"))
     idf = frequency.join(F.broadcast(sizes), label).select(
         label, "word", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    weighted = counts.join(idf.hint("shuffle_hash"), ["word", label]).withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = tallies.join(idf, ["word", label]).withColumn("w", F.col("tf") * F.col("idf"))
     # A document's words, which fitted one row before.  The key with many values
     # comes first: sorting compares it without looking at the others.
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc, label)))

@@ -8,7 +8,6 @@ from pyspark.sql import SparkSession
 
 PARTITION_BYTES = 256 << 20
 MIN_PARTITIONS = 200
-MAX_PARTITIONS = 40_000
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,11 +29,9 @@ def shuffle_partitions_for(shuffled_bytes: int) -> int:
 
     Take the bytes of the largest shuffle, which for a cut that cannot be
     broadcast is the text of all posts.  Adaptive execution merges partitions
-    that turn out small, so a high number costs little up to
-    :data:`MAX_PARTITIONS`; beyond it the block tables weigh more than the
-    spilling of larger partitions.
+    that turn out small.
     """
-    return min(MAX_PARTITIONS, max(MIN_PARTITIONS, -(-shuffled_bytes // PARTITION_BYTES)))
+    return max(MIN_PARTITIONS, -(-shuffled_bytes // PARTITION_BYTES))
 
 
 def build_session(

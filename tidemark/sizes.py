@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder
-
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 256 << 20
 SALTS = 8
@@ -30,34 +29,14 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast ``df`` if it fits.
+    """Broadcast a stored table if it fits; a larger one is returned as it is.
 
-    Meant for side tables the user supplies (stop words, lemmas, lexicon,
-    communities).  A larger table is returned as it is, so that the join becomes
-    a shuffled one, which adaptive execution splits where it is skewed.
+    This counts the table at once, so it belongs into explicit steps of a job,
+    not into operators that only compose a plan.
     """
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
-def _small_by_estimate(df: DataFrame) -> bool:
-    """Whether Spark, from its own estimate, would broadcast ``df`` without a hint."""
-    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= threshold
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a table kept in fewer files than there are cores.
-
-    A small file is one task, which leaves the other cores idle in the costly
-    text steps.  A table in many files feeds all cores already and is not moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # Counted on the JVM side: a large table's file names stay there.
-    files = len(df._jdf.inputFiles())
-    return df.repartition(cores) if 0 < files < cores else df
-
-
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -65,25 +44,28 @@ def lookup_join(
     how: str = "left",
     salt_by: Sequence[str] | None = None,
     salts: int = SALTS,
+    folder: str | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which is derived and holds one row per key.
 
-    ``left`` carries the texts, so not having to shuffle it matters most.  Unless
-    Spark sees by itself that the right side is small, the right side is
-    checkpointed and measured: if it fits it is broadcast.
-
-    If not, one key may still hold a large part of ``left``.  Its rows are dealt
-    over ``salts`` sub-keys (a power of two), and the narrow right rows are
-    copied to each.  The salt depends on the row alone (on ``salt_by``, or all of
-    it), so a retried task deals the same rows to the same sub-keys.  Because the join is not partitioned by
-    the bare key, a later ``groupBy`` on that key does not forbid adaptive
-    execution to split the hot partitions further.
+    Without ``folder`` nothing runs: it is a plain join that adaptive execution
+    turns into a broadcast, or splits where a key is hot.
+
+    ``left`` carries the texts, so not having to shuffle it matters most.  With a
+    ``folder`` that all executors share, the right side is stored there first, as
+    a step of its own, and measured: if it fits it is broadcast.  If not, one key
+    may still hold a large part of ``left``.  Its rows are dealt over ``salts``
+    sub-keys (a power of two), and the narrow right rows are copied to each.  The
+    salt depends on the row alone (on ``salt_by``, or all of it), so a retried
+    task deals the same rows to the same sub-keys.  The folder is the caller's, who
+    removes it when the result is stored.
     """
     on = list(on)
-    if _small_by_estimate(right):
+    if folder is None:
         return left.join(right, on, how)
-    shared_folder(left.sparkSession)
-    right = right.checkpoint()
+    path = f"{folder}/lookup-{uuid.uuid4().hex}"
+    right.write.parquet(path)
+    right = right.sparkSession.read.schema(right.schema).parquet(path)
     if fits_broadcast(right):
         return left.join(F.broadcast(right), on, how)
     kept = left.columns + [c for c in right.columns if c not in on]

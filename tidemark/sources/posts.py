@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.fixed_values import ZSTD_WINDOW
-
 FIELDS = ["id", "author", "subreddit", "created_utc", "body", "selftext", "title"]
 # Every field is read as text: a number or a nested value keeps its JSON text,
 # so a field of an unexpected type does not make the line a bad one.
 LINE_SCHEMA = ", ".join(f"{name} string" for name in FIELDS) + ", _bad string"
-ARROW_BATCH_BYTES = 8 << 20
 
 
 def parse_lines(lines: DataFrame, mode: str = "tolerant", keep_raw: bool = False) -> DataFrame:
@@ -56,7 +52,7 @@ def folder_of_file(file_path: Column) -> Column:
 
 def _file_columns(lines: DataFrame, path: Column, block: Column, row: Column, positions: bool) -> DataFrame:
     name = F.element_at(F.split(path, "/"), -1)
-    position = [F.struct(block.alias("block"), row.alias("row")).alias("pos")] if positions else []
+    position = [F.struct(path.alias("file"), block.alias("block"), row.alias("row")).alias("pos")] if positions else []
     return lines.select("value", path.alias("file"), data_type(name).alias("data_type"), *position)
 
 
@@ -75,9 +71,9 @@ def read_posts(
     deals the raw lines out right after, so that parsing and all later work run
     at full width whatever the file sizes are.
 
-    ``positions`` adds ``pos``, which orders a file's lines as they stand in it:
-    the start of the split and a count within it, so a file may be read in many
-    splits.  It is an order, not a line number; store the posts before use.
+    ``positions`` adds ``pos``, which orders the lines of all files: by the file's
+    path, and within it by the start of the split and a count, so a file may be
+    read in many splits.  It is an order, not a line number; store the posts before use.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
@@ -89,66 +85,15 @@ def read_posts(
     return parse_lines(scanned, mode, keep_raw)
 
 
-def read_long_window_posts(
-    spark: SparkSession,
-    paths: Sequence[str],
-    mode: str = "tolerant",
-    pattern: str = "*.zst",
-    keep_raw: bool = False,
-    partitions: int | None = None,
-    positions: bool = False,
-    window: int = ZSTD_WINDOW,
-) -> DataFrame:
-    """:func:`read_posts` for zstd dumps made with a window above 128 MiB.
+def with_post_id(posts: DataFrame, name: str = "post_id") -> DataFrame:
+    """Add a key per post: its ``id``, or a digest if it has none.
 
-    Spark's own codec refuses such frames.  Here each file is streamed through
-    the ``zstandard`` package inside a task, which may hold up to ``window``
-    bytes of history; lines leave in Arrow batches.  Land the result as Parquet.
+    The digest is that of its fields, and of its file and position where the table
+    has them; with positions, equal posts have different keys.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    files = reader.load(list(paths)).select("path")
-    lines = files.mapInArrow(_line_decoder(window), "value string, path string, line bigint")
-    scanned = _file_columns(lines, F.col("path"), F.lit(0).cast("bigint"), F.col("line"), positions)
-    if partitions:
-        scanned = scanned.repartition(partitions)
-    return parse_lines(scanned, mode, keep_raw)
-
-
-def _line_decoder(window: int):
-    batch_bytes = ARROW_BATCH_BYTES
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
-        import pyarrow
-        import zstandard
-        from pyarrow import fs
-
-        def batch(lines: list[str], path: str, end: int) -> pyarrow.RecordBatch:
-            numbers = range(end - len(lines), end)
-            return pyarrow.record_batch({"value": lines, "path": [path] * len(lines), "line": list(numbers)})
-
-        for path in (p for b in batches for p in b.column("path").to_pylist()):
-            uri = path.replace("file:/", "file:///", 1) if not path.startswith("file://") else path
-            system, inner = fs.FileSystem.from_uri(uri)
-            with system.open_input_stream(inner, compression=None) as packed:
-                plain = zstandard.ZstdDecompressor(max_window_size=window).stream_reader(packed, read_across_frames=True)
-                lines, held, read = [], 0, 0
-                for line in io.TextIOWrapper(io.BufferedReader(plain, 1 << 20), encoding="utf-8", newline="\n"):
-                    lines.append(line.rstrip("\r\n"))
-                    held, read = held + len(line), read + 1
-                    if held >= batch_bytes:
-                        yield batch(lines, path, read)
-                        lines, held = [], 0
-                if lines:
-                    yield batch(lines, path, read)
-
-    return decode
-
-
-def with_post_id(posts: DataFrame, name: str = "post_id") -> DataFrame:
-    """Add a key per post: its ``id``, or a digest of its fields if it has none."""
-    digest = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS[1:])))
+    place = [F.to_json(F.struct(c)) for c in ("file", "pos") if c in posts.columns]
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS[1:]]
+    digest = F.md5(F.concat_ws("\x1f", *fields, *place))
     return posts.withColumn(name, F.coalesce("id", digest))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 AUTHOR_BUCKETS = 64
-COMMA_LIST_LIMIT = 1_000_000
 
 
 def write_author_json(posts: DataFrame, path: str, buckets: int = AUTHOR_BUCKETS, raw: str | None = None) -> None:
@@ -30,17 +29,6 @@ def write_names(names: DataFrame, path: str, separator: str = "\n", name: str =
     names.select(name).write.mode("overwrite").option("lineSep", separator).text(path)
 
 
-def write_comma_line(names: DataFrame, path: str, name: str = "author", limit: int = COMMA_LIST_LIMIT) -> None:
-    """Write a list of bounded size as a single comma-separated line; fails beyond ``limit`` names.
-
-    Larger lists go through :func:`write_names` with ``separator=","``.
-    """
-    if names.count() > limit:
-        raise ValueError(f"more than {limit} names for one line")
-    line = names.agg(F.expr(f"listagg(`{name}`, ',') within group (order by `{name}`)").alias("value"))
-    line.coalesce(1).write.mode("overwrite").text(path)
-
-
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     """Write CSV; arrays, maps and structs become JSON text, which CSV can hold."""
     nested = [c for c, kind in df.dtypes if kind.startswith(("array", "map", "struct"))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,12 +11,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DATED_SCHEMA = "uknwn string, date string, uid string, link string, text string"
+DATED_SCHEMA = "number string, date string, uid string, link string, text string"
 
 
-def read_dated_posts(spark: SparkSession, path: str) -> DataFrame:
-    """A headerless CSV of ``uknwn, date, uid, link, text`` with the date parsed."""
-    rows = spark.read.schema(DATED_SCHEMA).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
+def read_dated_posts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A headerless CSV of ``number, date, uid, link, text`` with the date parsed.
+
+    ``multi_line`` allows line breaks inside quoted fields; each file is then one task.
+    """
+    rows = spark.read.schema(DATED_SCHEMA).option("header", False).option("multiLine", multi_line).option("escape", '"').csv(path)
     return rows.withColumn("date", F.to_timestamp("date"))
 
 
@@ -34,13 +39,20 @@ def _complete(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], *made_from: object) -> DataFrame:
     """The Parquet table at ``path``, built and written first if it is not there.
 
+    ``made_from`` names what the table depends on: parameters, and a tag of the
+    input.  It is part of the stored name, so other values are another table and
+    what an earlier run left for its own values is not taken for this one's.
+
     Put ``path`` in storage all executors share: readers of the result survive
     the loss of the executors that built it.  What a broken-off write left is
     replaced.
     """
+    if made_from:
+        named = json.dumps(made_from, default=str)
+        path = f"{path}-{hashlib.md5(named.encode()).hexdigest()[:16]}"
     if not _complete(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
