@@ -69,7 +69,8 @@ def test_all_ways_of_joining_agree(spark, stored_lookups, monkeypatch, name, row
 def test_splits_of_large_files_are_kept(spark, tmp_path):
     """Three large files feed as many tasks as they have splits, without a shuffle of the texts."""
     for part in range(3):
-        rows = spark.range(4000).selectExpr("id AS doc_id", "repeat(uuid(), 20) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+        text = f"concat_ws(' ', transform(sequence(1, 20), i -> md5(concat(id, ' ', i, ' {part}')))) AS text"
+        rows = spark.range(4000).selectExpr("id AS doc_id", text, "'en' AS lang", "'s' AS source", "0L AS n_chars")
         rows.coalesce(1).write.option("parquet.block.size", 262144).mode("append").parquet(str(tmp_path / "documents.parquet"))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "524288")
