@@ -1,12 +1,14 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into segments of about ``log2`` of the number of codes, so
-a segment value is held by about one code, at any size.  Each code is indexed by
-each of its segments.  A query probes every segment value within a radius that
-grows from 0.  When all segments have been searched to radius ``s``, every code
-within distance ``m * (s + 1) - 1`` has been seen: with ``m`` segments, a code that
-differs by more than ``s`` in each of them differs by ``m * (s + 1)`` at least.  A
-query is done when its k-th verified distance is covered; the others go on.
+A code of 64 bits is cut into segments so long that a segment value is held by about
+:data:`PER_KEY` codes, at any size.  Each code is indexed by each of its ``m``
+segments.  A query probes every segment value within a radius that grows from 0.
+When the segments up to number ``j`` have been searched to radius ``s`` and the
+others to ``s - 1``, every code within distance ``m * s + j`` has been seen: one that
+was not differs by ``s + 1`` in the first ``j + 1`` segments and by ``s`` in the others
+at least.  So with its k-th verified distance a query knows which segments it still
+has to search at the next radius, and is done when there are none.  From then on
+only codes within that distance leave the join.
 
 Equal codes are one entry with the first ``k`` of their ids, and equal queries one
 query, so copies cost nothing.  A probe of radius ``s + 1`` flips one more bit after the
@@ -30,6 +32,7 @@ from tidemark.llm.tables import stored
 
 BITS = 64
 K = 10
+PER_KEY = 8
 
 
 def sign_code(vector: Column) -> Column:
@@ -43,7 +46,7 @@ def sign_code(vector: Column) -> Column:
 
 def segments(codes: int) -> list[tuple[int, int]]:
     """First bit and length of each segment for so many codes."""
-    count = min(16, max(2, round(BITS / math.log2(max(codes, 16)))))
+    count = min(16, max(2, round(BITS / math.log2(max(codes / PER_KEY, 16)))))
     edges = [BITS * part // count for part in range(count + 1)]
     return [(low, high - low) for low, high in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -86,29 +89,29 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, id_column: str = "vec
     asked = queries.where(queries[code].isNotNull()).select(queries[id_column].alias("query_id"), queries[code].alias("_query"))
     asked = stored(asked.distinct(), "queries")
     probes = asked.select("_query").distinct().select("_query", F.inline(_keys(parts, F.col("_query"))))
-    probes = stored(probes.withColumn("last", F.lit(-1)), "probes")
+    probes = stored(probes.select("*", F.lit(-1).alias("last"), F.lit(BITS).alias("bound")), "probes")
     ranked = Window.partitionBy("_query").orderBy("distance", "id")
     best, radius = None, 0
     while True:
         difference = F.col("code").bitwiseXOR(F.col("_query"))
         met = probes.join(index, ["segment", "key"]).where(
-            _first_found(parts, difference) == F.lit(radius * count) + F.col("segment")
+            (_first_found(parts, difference) == F.lit(radius * count) + F.col("segment"))
+            & (F.bit_count(difference) <= F.col("bound"))
         )
         met = met.select("_query", "code", F.bit_count(difference).alias("distance"))
         found = met.join(held.select("code", "id"), "code").select("_query", "id", "distance")
         found = found if best is None else best.unionByName(found)
         best = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
         best = stored(best.select("_query", "id", "distance"), "best")
-        covered = count * (radius + 1) - 1
-        done = best.groupBy("_query").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
-        done = done.where((F.col("_n") >= wanted) & (F.col("_far") <= covered))
-        going = probes.join(done, "_query", "left_anti").where(F.col("last") + 1 < F.col("length"))
+        bounds = best.groupBy("_query").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
+        bounds = bounds.select("_query", F.when(F.col("_n") >= wanted, F.col("_far")).alias("_bound"))
+        radius += 1
+        going = probes.join(bounds, "_query", "left").withColumn("bound", F.coalesce("_bound", F.lit(BITS)))
+        going = going.where((F.col("segment") <= F.col("bound") - radius * count) & (F.col("last") + 1 < F.col("length")))
         flips = F.explode(F.sequence(F.col("last") + 1, F.col("length") - 1))
-        probes = going.withColumn("last", flips).withColumn(
-            "key", F.col("key").bitwiseXOR(F.expr("shiftleft(1L, last)"))
-        )
+        probes = going.drop("_bound").withColumn("last", flips)
+        probes = probes.withColumn("key", F.col("key").bitwiseXOR(F.expr("shiftleft(1L, last)")))
         probes = stored(probes, "probes")
-        radius += 1
         if probes.isEmpty():
             break
     answers = best.withColumn("rank", F.row_number().over(ranked))
