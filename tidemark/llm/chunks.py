@@ -52,7 +52,7 @@ def in_chunks(docs: DataFrame, text: str, keep: Sequence[str], layout: Layout) -
     rows = docs.select(*keep, docs[text].alias("_text"), from_row.alias("_chunk"))
 
     def deal(batches):
-        for block in text_blocks(batches, "_text", 16 << 20):
+        for block in text_blocks(batches, "_text", 8 << 20):
             chunk = block.column("_chunk").to_numpy()
             order = np.argsort(chunk, kind="stable")
             ids, starts = np.unique(chunk[order], return_index=True)
@@ -71,6 +71,7 @@ def in_chunks(docs: DataFrame, text: str, keep: Sequence[str], layout: Layout) -
 
 def opened(blobs: pa.Table) -> pa.Table:
     """The documents of a chunk's blobs."""
+    pa.default_memory_pool().release_unused()  # what the chunk before has left
     return pa.concat_tables(pa.ipc.open_stream(blob.as_py()).read_all() for blob in blobs.column("_blob"))
 
 

@@ -33,18 +33,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.arrays import PrefixHash, U, flat_bytes, text_blocks
+from tidemark.llm.arrays import PrefixHash, U, flat_bytes, mix, text_blocks
 from tidemark.llm.chunks import ASKED, Answers, Layout, ask, asked_table, in_chunks, opened, packed, totals, unpacked, with_answers
 
 # Fixed value: the length of a repeated string.
 LENGTH = 200
 GRAM = 32
 SYMBOL = 50
-HOT = 5000
+HOT = 1000
 LONGEST_RUN = 256
+#: Bytes of runs in one index, or one anchor's runs.
+INDEX_BYTES = 1 << 18
 SHARDS = 8
 ANCHORS, STRINGS, RUNS = 1, 2, 3
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -95,7 +97,8 @@ class Runs:
         places = size + width - 1
         same = grams[ranges(first, places)] == np.repeat(anchor, places)
         weight = np.minimum(np.add.reduceat(same, np.cumsum(places) - places, dtype=np.int64), 2)
-        return Runs(data, offsets, hashes, anchor, first, size, weight)
+        # Least hashes are all small; mixed again they spread over the buckets.
+        return Runs(data, offsets, hashes, mix(anchor), first, size, weight)
 
     def content(self) -> np.ndarray:
         """A hash of the bytes that each run's strings cover."""
@@ -150,20 +153,35 @@ def distinct_runs(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray,
     return order[new], place
 
 
+def stable_order(key: np.ndarray, bits: int) -> np.ndarray:
+    """The places of ``key`` in stable order; keys are below ``2 ** bits``.
+
+    Key and place sorted as one number are quicker than a stable sort.
+    """
+    own = len(key).bit_length()
+    if bits + own > 64:
+        return np.argsort(key, kind="stable")
+    numbered = (key.astype(np.uint64) << U(own)) | np.arange(len(key), dtype=np.uint64)
+    return (np.sort(numbered) & U((1 << own) - 1)).astype(np.int64)
+
+
 def suffix_order(symbol: np.ndarray, successor: np.ndarray, shard: np.ndarray, longest: int) -> np.ndarray:
     """The suffixes of each shard in order, shard after shard.
 
-    ``symbol`` is 0 for the empty suffix at a text's end, which is its own successor.
+    ``symbol`` is 0 for the empty suffix at a text's end, which is its own successor;
+    others are numbers up to the count of suffixes.
     """
     rank, step, reach = symbol, successor, 1
+    bits = len(symbol).bit_length()
+    first = shard.astype(np.uint64) << U(2 * bits)
     while True:
-        order = np.lexsort((rank[step], rank, shard))
+        pair = first | (rank.astype(np.uint64) << U(bits)) | rank[step].astype(np.uint64)
+        order = stable_order(pair, 2 * bits + int(shard.max(initial=0)).bit_length())
         if 2 * reach >= longest:
             return order
-        a, b = order[1:], order[:-1]
-        changed = (shard[a] != shard[b]) | (rank[a] != rank[b]) | (rank[step[a]] != rank[step[b]])
+        ordered = pair[order]
         dense = np.empty(len(order), np.int64)
-        dense[order] = np.concatenate([[0], np.cumsum(changed)])
+        dense[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank, step, reach = dense, step[step], 2 * reach
 
 
@@ -176,22 +194,24 @@ def merge_transforms(
     the interleave take part in the refinement.
     """
     size = len(symbol)
+    symbol = np.unique(symbol, return_inverse=True)[1]
+    bits = size.bit_length()
     previous = np.full(size, -1, np.int64)
     inner = np.flatnonzero(symbol != 0)
     previous[successor[inner]] = inner
     order = suffix_order(symbol, successor, shard, longest)
     before = previous[order]
-    transform = np.where(before >= 0, symbol[before], U(0))
-    interleave = shard[order]  # at the start: shard after shard
+    transform = np.where(before >= 0, symbol[before], 0)
+    interleave = shard[order].astype(np.uint8)  # at the start: shard after shard
     block = np.zeros(size, np.int64)
-    ends = np.sort(shard[symbol == 0])
+    ends = np.sort(shard[symbol == 0]).astype(np.uint8)
     for _ in range(depth):
         # Read each shard's transform in its own order along the interleave.
         turn = np.argsort(interleave, kind="stable")
-        read = np.empty(size, np.uint64)
+        read = np.empty(size, np.int64)
         read[turn] = transform
-        moved = np.flatnonzero(read != 0)
-        moved = moved[np.argsort(read[moved], kind="stable")]
+        moved = np.flatnonzero(read)
+        moved = moved[stable_order(read[moved], bits)]
         new = np.ones(len(moved), bool)
         new[1:] = (read[moved[1:]] != read[moved[:-1]]) | (block[moved[1:]] != block[moved[:-1]])
         # Empty suffixes come first and stand alone.
@@ -252,11 +272,18 @@ def merge_runs(table: pa.Table) -> pa.Table:
     group = np.concatenate([[0], np.cumsum(anchor[first[1:]] != anchor[first[:-1]])]).astype(np.int64)
     indexed = np.flatnonzero((np.bincount(group, total == 1) > 0)[group])
     marks = [np.ones(size[run] - LENGTH + 1, bool) for run in first]
-    if len(indexed):
-        runs = first[indexed]
-        found = repeated_starts([text[starts[r] : starts[r] + size[r]] for r in runs], total[indexed], shard[runs])
-        for where, mark in zip(indexed, found, strict=True):
+    # Groups do not depend on each other, so an index is made of a few at a time.
+    volume = np.cumsum(size[first[indexed]])
+    while len(indexed):
+        stop = int(np.searchsorted(volume, INDEX_BYTES, "right"))
+        last = group[indexed[max(stop, 1) - 1]]
+        stop = int(np.searchsorted(group[indexed], last, "right" if stop == 0 or stop == len(indexed) else "left"))
+        stop = stop or int(np.searchsorted(group[indexed], last, "right"))
+        part, runs = indexed[:stop], first[indexed[:stop]]
+        found = repeated_starts([text[starts[r] : starts[r] + size[r]] for r in runs], total[part], shard[runs])
+        for where, mark in zip(part, found, strict=True):
             marks[where] = mark
+        indexed, volume = indexed[stop:], volume[stop:] - volume[stop - 1]
     bits, at = [], 0
     for n in held:
         own = [marks[place[run]] for run in range(at, at + n)]
@@ -325,11 +352,16 @@ def repeated_spans(
 
     def cover(blobs: pa.Table, answered: pa.Table) -> pa.Table:
         chunk, answers = Chunk(opened(blobs)), Answers(answered)
-        total = answers.totals(ANCHORS)
-        parts = list(chunk.suspects(total))
-        anchors = np.concatenate([*(r.anchor[m] for _, r, m, _ in parts), np.zeros(0, np.uint64)])
-        contents = np.concatenate([*(r.content()[m] for _, r, m, _ in parts), np.zeros(0, np.uint64)])
-        sizes = np.concatenate([*(r.size[m] for _, r, m, _ in parts), np.zeros(0, np.int64)]).astype(np.int64)
+        parts, anchor, content, size, hot = [], [], [], [], []
+        for block, runs, merged, counted in chunk.suspects(answers.totals(ANCHORS)):
+            anchor.append(runs.anchor[merged])
+            content.append(runs.content()[merged])
+            size.append(runs.size[merged])
+            hot.append(string_hashes(runs, counted))
+            parts.append((block, runs.data, runs.offsets, runs.start[merged], runs.size[merged]))
+        anchors = np.concatenate([*anchor, np.zeros(0, np.uint64)])
+        contents = np.concatenate([*content, np.zeros(0, np.uint64)])
+        sizes = np.concatenate([*size, np.zeros(0, np.int64)]).astype(np.int64)
         first, place = distinct_runs(anchors, contents)
         buckets = anchors[first] >> U(64 - bits)
         marks = []
@@ -338,17 +370,16 @@ def repeated_spans(
             marks.append(np.unpackbits(np.frombuffer(raw, np.uint8), count=int(sizes[first[low:high]].sum())))
         marks = np.concatenate([*marks, np.zeros(0, np.uint8)]).astype(bool)
         mark_at = np.cumsum(sizes[first]) - sizes[first]
-        hot = [string_hashes(r, c) for _, r, _, c in parts]
-        keys = np.unique(np.concatenate([*(h for _, h in hot), np.zeros(0, np.uint64)]))
+        keys = np.unique(np.concatenate([*(hashes for _, hashes in hot), np.zeros(0, np.uint64)]))
         twice = answers.totals(STRINGS) >= 2
         tables, at = [], 0
-        for (block, runs, merged, _), (starts, hashes) in zip(parts, hot, strict=True):
-            own = place[at : at + len(merged)]
-            at += len(merged)
-            found = ranges(runs.start[merged], runs.size[merged])[marks[ranges(mark_at[own], runs.size[merged])]]
+        for (block, data, offsets, start, size), (starts, hashes) in zip(parts, hot, strict=True):
+            own = place[at : at + len(start)]
+            at += len(start)
+            found = ranges(start, size)[marks[ranges(mark_at[own], size)]]
             if len(keys):
                 found = np.concatenate([found, starts[twice[np.searchsorted(keys, hashes)]]])
-            tables.append(_covered(block, runs, found, keep, whole_characters))
+            tables.append(_covered(block, data, offsets, found, keep, whole_characters))
         return pa.concat_tables(tables)
 
     counted = totals(chunks.groupBy("_chunk").applyInArrow(ask_anchors, ASKED), bits)
@@ -359,9 +390,10 @@ def repeated_spans(
     return with_answers(chunks, answers, cover, f"{kept}, {result}")
 
 
-def _covered(block: pa.RecordBatch, runs: Runs, starts: np.ndarray, keep, whole_characters: bool) -> pa.Table:
+def _covered(
+    block: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, keep, whole_characters: bool
+) -> pa.Table:
     """One block's rows of :func:`repeated_spans` from the starts of its repeated strings."""
-    data, offsets = runs.data, runs.offsets
     change = np.zeros(len(data) + 1, np.int8)
     change[starts] += 1
     change[starts + LENGTH] -= 1
