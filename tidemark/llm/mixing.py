@@ -5,13 +5,15 @@ Sources in code-point order, null last, weigh :data:`WEIGHTS` in turn and share
 words; the excess is shared by weight among the others until none is above, which
 is one water level: ``target = min(MOST * size, weight * level)``.
 
-A document is wanted ``target / source size`` times, times its own relative weight
-where one is given.  The whole part is certain: so many copies are allocated at
+A document is wanted ``target / source size`` times.  Where documents have weights of
+their own it is wanted by weight, up to :data:`MOST` times, so that the source's words
+still add up to the target.  The whole part is certain: so many copies are allocated at
 once.  For the rest each document has an inclusion probability, and documents are
 ranked by random odds over inclusion odds; the sample is the front of that order,
 as long as the middle of the next document is still inside the target.  Only the
-edge of the order is looked at row by row: two histograms of 65,536 cells each find
-the few rows around it, so that no source is ever sorted or gathered.
+edge of the order is looked at row by row: :data:`LEVELS` histograms of 1,024 cells,
+each within one cell of the last, find the few rows around it, so that no source is
+ever sorted or gathered.
 
 The draw is the md5 of seed and document id, so reruns agree.  Null texts have
 size 0.  Documents of size 0 take no words.  Rows equal in id and text share a draw
@@ -31,7 +33,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = "mix"
-CELLS = 65_536
+CELLS = 1024
+LEVELS = 3
 _BITS = 52
 
 
@@ -93,20 +96,46 @@ def targets(sources: DataFrame) -> DataFrame:
     return weighted.select("_source", "source_size", target.alias("target"))
 
 
-def _edge_rows(rows: DataFrame, by: list[str], place: Column) -> DataFrame:
+def _edge_rows(rows: DataFrame) -> DataFrame:
     """The rows of the cell in which a source's running total reaches its ``_need``.
 
-    ``_need`` becomes what is still needed within that cell.
+    ``_place`` is a row's place in the order, from 0 to 1; it becomes the place within
+    the cell, and ``_need`` what is still needed there.
     """
-    celled = rows.withColumn("_cell", F.floor(place * CELLS))
-    running = Window.partitionBy(*by).orderBy("_cell")
-    cells = celled.groupBy(*by, "_cell").agg(F.sum("_size").alias("_total"), F.first("_need").alias("_need"))
+    celled = rows.withColumn("_cell", F.floor(F.col("_place") * CELLS))
+    running = Window.partitionBy("_source_key").orderBy("_cell")
+    cells = celled.groupBy("_source_key", "_cell").agg(F.sum("_size").alias("_total"), F.first("_need").alias("_need"))
     edges = (
         cells.withColumn("_reached", F.sum("_total").over(running))
         .where((F.col("_reached") >= F.col("_need")) & (F.col("_reached") - F.col("_total") < F.col("_need")))
-        .select(*by, "_cell", (F.col("_need") - F.col("_reached") + F.col("_total")).alias("_left"))
+        .select("_source_key", "_cell", (F.col("_need") - F.col("_reached") + F.col("_total")).alias("_left"))
     )
-    return celled.join(checked_broadcast(edges), [*by, "_cell"]).drop("_need").withColumnRenamed("_left", "_need")
+    inside = celled.join(checked_broadcast(stored(edges, "mix-edges")), ["_source_key", "_cell"])
+    return inside.select(
+        "_source_key", "_size", "_rank", "_tie", F.col("_left").alias("_need"),
+        (F.col("_place") * CELLS - F.col("_cell")).alias("_place"),
+    )
+
+
+def _weighted_levels(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``_level`` of each source for documents with weights: ``least(MOST, _own * _level)`` copies make the target.
+
+    Each round counts the documents that are full at the last level and shares the rest of
+    the target among the others, so the level only rises, until no more are full.
+    """
+    while True:
+        full = F.col("_own") * F.col("_level") >= MOST
+        parts = rows.join(checked_broadcast(wanted), "_source_key").groupBy("_source_key").agg(
+            F.first("target").alias("target"), F.first("source_size").alias("source_size"),
+            F.first("_level").alias("_last"), F.sum(F.when(full, F.col("_size") * MOST).otherwise(0)).alias("_full"),
+            F.sum(F.when(full, 0.0).otherwise(F.col("_size") * F.col("_own"))).alias("_rest"),
+        )
+        risen = F.coalesce(F.try_divide(F.col("target") - F.col("_full"), F.col("_rest")), F.col("_last"))
+        risen = F.greatest(risen, F.when(F.col("_full") > 0, F.col("_last")).otherwise(F.lit(0.0)))
+        parts = stored(parts.withColumn("_level", risen), "mix-levels")
+        wanted = parts.select("_source_key", "source_size", "target", "_level")
+        if parts.where(F.abs(F.col("_level") - F.col("_last")) > 1e-9 * F.col("_last")).isEmpty():
+            return wanted
 
 
 def mix(
@@ -134,21 +163,20 @@ def mix(
         narrow.groupBy("_source_key").agg(
             F.first("_source", ignorenulls=True).alias("_source"),
             F.sum("_size").alias("source_size"),
-            F.sum(F.col("_size") * F.col("_own")).alias("_own_size"),
         ),
         "mix-totals",
     )
     wanted = targets(totals.select("_source", "source_size"))
     wanted = wanted.withColumn("_source_key", F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("null")))
-    wanted = stored(wanted.drop("_source").join(totals.select("_source_key", "_own_size"), "_source_key"), "mix-targets")
+    wanted = wanted.drop("_source").withColumn("_level", F.try_divide(F.col("target"), F.col("source_size").cast("double")))
+    wanted = stored(wanted.withColumn("_level", F.coalesce("_level", F.lit(0.0))), "mix-targets")
+    if weight is not None:
+        wanted = _weighted_levels(narrow, wanted.withColumn("_level", F.lit(0.0)))
     wanted = checked_broadcast(wanted)
 
     def ranked(table: DataFrame) -> DataFrame:
         """Adds whole copies and the rank key to rows with their source's target."""
-        times = F.least(
-            F.lit(float(MOST)),
-            F.when(F.col("_own_size") > 0, F.col("target") / F.col("_own_size") * F.col("_own")).otherwise(F.lit(0.0)),
-        )
+        times = F.least(F.lit(float(MOST)), F.col("_level") * F.col("_own"))
         joined = table.join(wanted, "_source_key").withColumn("_times", times)
         joined = joined.withColumn("_whole", F.floor("_times")).withColumn("_chance", F.col("_times") - F.col("_whole"))
         odds = (F.col("_draw") / (1 - F.col("_draw"))) / (F.col("_chance") / (1 - F.col("_chance")))
@@ -160,10 +188,9 @@ def mix(
     )
     order = drawn.where(F.col("_rank").isNotNull()).select("_source_key", "_size", "_rank", "_tie")
     order = order.join(checked_broadcast(stored(needs, "mix-needs")), "_source_key")
-    place = F.col("_rank") / (1 + F.col("_rank"))
-    edge = _edge_rows(order, ["_source_key"], place)
-    edge = edge.withColumn("_cell0", F.col("_cell"))
-    edge = _edge_rows(edge, ["_source_key", "_cell0"], place * CELLS - F.floor(place * CELLS))
+    edge = order.withColumn("_place", F.col("_rank") / (1 + F.col("_rank")))
+    for _ in range(LEVELS):
+        edge = _edge_rows(edge)
     before = Window.partitionBy("_source_key").orderBy("_rank", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     inside = edge.withColumn("_reached", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     inside = inside.withColumn("_in", F.col("_reached") + F.col("_size") / 2 < F.col("_need"))
