@@ -67,3 +67,14 @@ def test_merged_transforms_give_the_order_of_all_suffixes():
     assert [s[:4] for s in ordered] == sorted(s[:4] for s in suffix)
     for a, b, x, y in zip(ordered, ordered[1:], block, block[1:], strict=False):
         assert (x == y) == (len(a) >= 4 and a[:4] == b[:4])
+
+
+def test_anchors_spread_over_buckets():
+    import numpy as np
+    import pyarrow as pa
+
+    pick = random.Random(7)
+    text = "".join(pick.choices("abcdefghij ", k=200_000))
+    anchors = np.unique(repeats.Runs.of(pa.array([text])).anchor)
+    shares = np.bincount((anchors >> np.uint64(61)).astype(int), minlength=8) / len(anchors)
+    assert len(anchors) > 1000 and shares.min() > 0.08 and shares.max() < 0.18
