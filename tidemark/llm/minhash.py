@@ -12,10 +12,13 @@ Documents with equal sets are one node.  Nodes that agree in one of :data:`BANDS
 bands meet in a bucket.  Links are verified on full sets, in rounds that never write
 out all pairs of a bucket:
 
-1. each node of a bucket is compared with the bucket's first node;
-2. the same with another first node, only between different components so far;
+1. each node of a bucket is compared with the bucket's first node, the one that meets
+   most others;
+2. the same among the nodes outside of the bucket's largest component so far;
 3. what is still apart: the nodes outside of a bucket's largest component are
-   compared with the nodes of the other components, all of them.
+   compared with the nodes of the other components, but for those pairs whose
+   similarity is bounded below the threshold by what is known of each node alone:
+   the shingles it shares with any other, and with the bucket's first node.
 
 Only links between different components can change the result, so the components
 are those of all links that any bucket holds.  At the threshold of 0.8 a pair
@@ -28,7 +31,7 @@ in the choice of a group's first id.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,52 +117,106 @@ def full_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(work, "_set binary, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Columns ``a``, ``b``, ``common`` (the size of the intersection) and ``linked``, from full sets."""
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
     both = pairs.join(second, "b").join(first, "a")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = []
+            shared, linked = [], []
             for a, b in zip(batch.column("_a"), batch.column("_b"), strict=True):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 place = np.minimum(np.searchsorted(a, b), len(a) - 1)
                 common = int((a[place] == b).sum())
-                same.append(100 * common >= THRESHOLD * (len(a) + len(b) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+                shared.append(common)
+                linked.append(100 * common >= THRESHOLD * (len(a) + len(b) - common))
+            columns = [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "common", "linked"])
 
-    return both.select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long, common long, linked boolean")
 
 
-def _close(a: Column, b: Column) -> Column:
-    """Whether two sets of these sizes can be similar enough at all."""
-    return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
+def unshared(sets: DataFrame) -> DataFrame:
+    """Columns ``node`` and ``_alone``: how many shingles of a node no other of these nodes has."""
+
+    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(raw.as_buffer(), np.int64) for raw in batch.column("shingles")]
+            node = np.repeat(batch.column("node").to_numpy(), [len(one) for one in own])
+            flat = np.concatenate([*own, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(flat, pa.int64())], ["node", "shingle"])
+
+    spelt = sets.select("node", "shingles").mapInArrow(spell, "node long, shingle long")
+    held = spelt.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("node").alias("node")).where("_n = 1")
+    return held.groupBy("node").agg(F.count("*").alias("_alone"))
+
+
+def _close(common: Column, a: Column, b: Column) -> Column:
+    """Whether sets of sizes ``a`` and ``b`` with at most ``common`` shared members may be similar enough."""
+    return 100 * common >= THRESHOLD * (a + b - common)
 
 
-def _with_first(members: DataFrame, order: Column, apart: bool) -> DataFrame:
-    """Pairs of each node with the first node of its bucket by ``order``."""
-    first = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("_first"))
+def _bound(one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
+    """The most that two nodes of a bucket can share, from what is known of each alone.
+
+    ``shared`` counts a node's shingles that any other node has too, ``with_first`` those
+    that it shares with the bucket's first node (null if they were not compared).
+    """
+    shared = F.least(one("shared"), other("shared"))
+    rest = F.least(one("shared") - one("with_first"), other("shared") - other("with_first"))
+    by_first = F.least(one("with_first"), other("with_first")) + F.greatest(rest, F.lit(0))
+    both = one("with_first").isNotNull() & other("with_first").isNotNull()
+    return F.least(shared, F.when(both, by_first).otherwise(shared))
+
+
+def _with_first(members: DataFrame, bounded: bool) -> DataFrame:
+    """Pairs of each node with the most central node of its bucket: columns ``bucket``, ``a`` and ``b``."""
+    known = ["shared", "with_first"] if bounded else []
+    first = members.groupBy("bucket").agg(F.max(F.struct("score", "node", "n", *known)).alias("_first"))
     first = stored(first, "first")  # a plain table, so that a hot bucket can be split in the join
-    pairs = members.join(first, "bucket").where(F.col("node") != F.col("_first.node")).where(_close(F.col("n"), F.col("_first.n")))
-    if apart:
-        pairs = pairs.where(F.col("component") != F.col("_first.component"))
-    return pairs.select(F.col("_first.node").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.join(first, "bucket").where(F.col("node") != F.col("_first.node"))
+    if bounded:
+        most = _bound(F.col, lambda name: F.col(f"_first.{name}"))
+        pairs = pairs.where(_close(most, F.col("n"), F.col("_first.n")))
+    return pairs.select("bucket", F.col("_first.node").alias("a"), F.col("node").alias("b"))
 
 
-def _still_apart(members: DataFrame) -> DataFrame:
-    """Pairs of nodes outside of their bucket's largest component with the nodes of its other components."""
+def _outside(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their bucket's largest component as ``_largest``, and those outside of it."""
     parts = members.groupBy("bucket", "component").agg(F.count("*").alias("_size"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("_size", "component")).getField("component").alias("_largest"))
     marked = stored(members.join(stored(largest, "largest"), "bucket"), "marked")
-    outside = marked.where(F.col("component") != F.col("_largest")).select(
-        "bucket", F.col("node").alias("a"), F.col("n").alias("_n"), F.col("component").alias("_component")
-    )
-    pairs = marked.join(outside, "bucket").where(F.col("component") != F.col("_component")).where(_close(F.col("n"), F.col("_n")))
+    return marked, marked.where(F.col("component") != F.col("_largest"))
+
+
+def _known(members: DataFrame, sets: DataFrame, nodes: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Members with ``shared``, ``with_first`` and the ``bands`` of their node."""
+    own = members.select("node").distinct()
+    alone = unshared(sets.join(own, "node", "left_semi"))
+    met = firsts.select("bucket", F.col("b").alias("node"), F.col("common").alias("with_first"))
+    full = members.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("_alone", F.lit(0))).drop("_alone")
+    return stored(full.join(met, ["bucket", "node"], "left").join(nodes.select("node", "bands"), "node"), "known")
+
+
+def _still_apart(members: DataFrame) -> DataFrame:
+    """Pairs of nodes outside of their bucket's largest component with the nodes of its other components.
+
+    Pairs that are bounded below the threshold are left out, and a pair is looked at
+    in the first of its buckets only.
+    """
+    marked, outside = _outside(members)
+    names = ["node", "n", "component", "shared", "with_first", "bands"]
+    outside = outside.select("bucket", *(F.col(name).alias(f"_{name}") for name in names))
+    earlier = F.exists(F.slice(F.arrays_zip("bands", "_bands"), F.lit(1), F.col("band")), lambda z: z["bands"] == z["_bands"])
     # Of two nodes outside, only one order.
-    pairs = pairs.where((F.col("component") == F.col("_largest")) | (F.col("a") < F.col("node")))
-    return pairs.select("a", F.col("node").alias("b")).distinct()
+    once = (F.col("component") == F.col("_largest")) | (F.col("_node") < F.col("node"))
+    most = _bound(F.col, lambda name: F.col(f"_{name}"))
+    pairs = marked.join(outside, "bucket").where(
+        (F.col("component") != F.col("_component")) & once & _close(most, F.col("n"), F.col("_n")) & ~earlier
+    )
+    return pairs.select(F.col("_node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -187,9 +244,12 @@ def near_duplicates(
     )
     # Numbers instead of 128-bit names from here on; they are fixed by being stored.
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    full = placed.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1").select("bucket")
-    members = placed.join(stored(full, "buckets"), "bucket").withColumn("component", F.col("node"))
+    placed = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    full = placed.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1")
+    members = stored(placed.join(stored(full, "buckets"), "bucket"), "members")
+    # A node is the more central, the more others it meets.
+    score = members.groupBy("node").agg(F.sum("_size").alias("score"))
+    members = members.drop("_size").join(score, "node").withColumn("component", F.col("node"))
     members = stored(members, "members")
 
     # The texts behind the nodes that meet another one: one row for each.
@@ -202,13 +262,20 @@ def near_duplicates(
     sets = full_sets(rows.join(wanted, same, "left_semi").select("_text"), size).dropDuplicates(["_set"])
     sets = stored(sets.join(nodes.select("_set", "node"), "_set").select("node", "shingles"), "sets")
 
-    links = stored(verified(_with_first(members, F.col("node"), False), sets), "verified")
+    with_first = stored(_with_first(members, False), "firsts")
+    met = stored(compared(with_first.select("a", "b").distinct(), sets), "compared")
+    links = met.where("linked").select("a", "b")
     groups = components(links)
-    for pairs in (lambda left: _with_first(left, F.xxhash64("node"), True), _still_apart):
-        members = _mixed(members, groups)
-        if members.isEmpty():
-            break
-        links = links.union(stored(verified(pairs(members), sets), "verified"))
+    members = _mixed(members, groups)
+    if not members.isEmpty():
+        members = _known(members, sets, nodes, with_first.join(met, ["a", "b"]))
+        # Clusters beside a bucket's largest one find each other through their own first node.
+        second = _with_first(_outside(members)[1], True).select("a", "b").distinct()
+        links = links.union(stored(compared(second, sets).where("linked").select("a", "b"), "compared"))
+        members = _mixed(members, components(links))
+        if not members.isEmpty():
+            last = stored(compared(_still_apart(members), sets), "compared")
+            links = links.union(last.where("linked").select("a", "b"))
         groups = components(links)
     labelled = nodes.select("_set", "node", "_least").join(groups, "node", "left")
     labelled = stored(labelled.withColumn("group", F.coalesce("component", "node")), "groups")
