@@ -34,6 +34,31 @@ def test_labelled_documents(small):
     assert all(row.kept == (labels[row.doc_id] == 1) for row in rows if row.doc_id in labels)
 
 
+def test_planted_repeats_beside_clean_documents(texts_frame):
+    """Repeats below the fixed limit stand out where the others have none; one line said twice does not."""
+    pick = random.Random(5)
+    clean = [prose(pick, pick.randint(60, 600)) for _ in range(150)]
+    advert = [f"{prose(pick, words)} {'buy it here now ' * (words // 5)}" for words in (120, 140, 300, 600)]
+    line = prose(pick, 9)
+    twice = [f"{line}\n{prose(pick, words)}\n{line}" for words in (50, 100, 300)]
+    rows = quality.judge(texts_frame(clean + advert + twice)).orderBy("doc_id").collect()
+    assert not any(row.base_failed for row in rows)
+    assert [row.kept for row in rows] == [True] * 150 + [False] * 4 + [True] * 3
+
+
+def test_estimated_scatter_decides(texts_frame):
+    """The same word length is an outlier in a narrow source and none in a wide one."""
+    pick = random.Random(6)
+
+    def spread(length, words=400):
+        return " ".join("".join(pick.choices("abcdefghij", k=round(pick.gauss(length, 1)) or 1)) for _ in range(words))
+
+    narrow, wide = [spread(6) for _ in range(100)], [spread(pick.uniform(4, 9)) for _ in range(100)]
+    texts = [*narrow, spread(8), *wide, spread(8)]
+    rows = quality.judge(texts_frame(texts, source=["narrow"] * 101 + ["wide"] * 101)).orderBy("doc_id").collect()
+    assert (rows[100].kept, rows[-1].kept) == (False, True)
+
+
 def test_determinant_fit_against_plain_numpy(texts_frame, monkeypatch):
     """The last fit's mean is that of the half nearest to the fit before, as numpy finds it."""
     import numpy as np
@@ -59,5 +84,21 @@ def test_chi_squared():
     assert abs(quality.chi2_quantile(0.5, 4) - 3.356694) < 1e-5
 
 
+def test_chi_squared_of_odd_degrees():
+    for dof, found in ((1, 3.841459), (3, 7.814728), (5, 11.070498)):
+        assert abs(quality.chi2_quantile(0.95, dof) - found) < 1e-5
+
+
+def test_limit_is_wider_for_few_documents():
+    assert abs(quality.distance_limit(10**6) - quality.chi2_quantile(quality.CONFIDENCE, 4)) < 0.01
+    # scipy.stats.f.ppf is not at hand: the limit for 54 documents, put into the F tail by numeric integration.
+    import numpy as np
+
+    f = quality.distance_limit(54) / (4 * (54**2 - 1) / (54 * 50))
+    x = np.linspace(0, f, 400_001)
+    density = (4 / 50) ** 2 * 25 * 26 * x * (1 + 4 * x / 50) ** -27.0
+    assert abs(1 - np.trapezoid(density, x) - (1 - quality.CONFIDENCE)) < 1e-7
+
+
 def test_empty_table(texts_frame):
     assert quality.judge(texts_frame(["x"]).limit(0)).count() == 0

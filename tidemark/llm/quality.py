@@ -5,13 +5,21 @@ word length, the square root of symbols per word, the share of duplicate lines a
 the share of repeated words.  For each language and source the minimum covariance
 determinant is estimated over all documents: from a start at medians and quartile
 ranges, concentration steps refit mean and covariance to the half of the documents
-nearest to the last fit.  A document is rejected if its squared Mahalanobis
-distance exceeds the :data:`CONFIDENCE` quantile of chi-squared.
+nearest to the last fit; at last they are refitted to all documents within the
+:data:`INNER` quantile.  A document is rejected if its squared Mahalanobis
+distance exceeds the :data:`CONFIDENCE` quantile of Hotelling's T-squared, which is
+that of chi-squared for many documents and wider where few of them gave the scatter.
+
+A mean or share over few words scatters more, by the root of their number.  So a
+statistic is taken as its deviation from the group's median, times the root of
+``n_words / FULL_WORDS``, at most 1: a long text is held to no closer limit than one
+of :data:`FULL_WORDS` words, and a line said twice does not condemn a short one.
 
 A concentration step is one aggregate by group and distance cell, so a group may
 hold any share of the rows; what is fitted in Python is one group's cells, at most
-a few hundred rows.  :data:`FLOORS` bounds the spread of a statistic from below, so
-that a single symbol does not stand out where most texts have none.
+a few hundred rows.  Where most texts have no symbol, double line or repeated word at
+all, the scatter of that statistic is exactly zero and says nothing: :data:`FLOORS`
+stands in for it there, at about what one repeated line does in a short text.
 
 Groups of fewer than :data:`MIN_GROUP` documents are pooled by language, and what
 is then still too small in one rest group.  Null language and null source are
@@ -40,11 +48,13 @@ MAX_REPEATED = 50
 SYMBOLS = b"#*$%&|<>"
 
 STATISTICS = ("x0", "x1", "x2", "x3")
-#: Least standard deviation of each statistic.
-FLOORS = np.array([0.12, 0.08, 0.15, 0.15])
+#: Least standard deviation of each weighted statistic: a guard against a scatter of zero.
+FLOORS = np.array([0.005, 0.03, 0.08, 0.035])
+FULL_WORDS = 400
 MIN_GROUP = 50
 STEPS = 4
 CONFIDENCE = 0.9999
+INNER = 0.975
 #: Cells of squared distance per doubling; grid of the medians and quartiles.
 CELLS = 16
 GRID = 0.005
@@ -121,12 +131,13 @@ def statistics() -> list[Column]:
 
 
 def _chi2_tail(x: float, dof: int) -> float:
-    """P(chi-squared > x) for even degrees of freedom."""
-    term = total = 1.0
-    for k in range(1, dof // 2):
-        term *= x / 2 / k
+    """P(chi-squared > x)."""
+    odd = dof % 2
+    term, total = (math.sqrt(2 * x / math.pi), 0.0) if odd else (1.0, 0.0)
+    for k in range(dof // 2):
         total += term
-    return math.exp(-x / 2) * total
+        term *= x / (2 * k + 3) if odd else x / (2 * k + 2)
+    return math.exp(-x / 2) * total + (math.erfc(math.sqrt(x / 2)) if odd else 0.0)
 
 
 def chi2_quantile(share: float, dof: int) -> float:
@@ -137,14 +148,34 @@ def chi2_quantile(share: float, dof: int) -> float:
     return high
 
 
-def _fit_row(group, mean: np.ndarray, cov: np.ndarray) -> dict:
-    """A fit as one row: the mean and the whitening matrix, row by row."""
+def distance_limit(n: int) -> float:
+    """The :data:`CONFIDENCE` quantile of Hotelling's T-squared, if ``n`` documents gave the scatter."""
+    size = len(STATISTICS)
+    half = max(n - size, 1) / 2
+    # For four statistics, the tail of the F distribution is a power times a linear term.
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        x = (low + high) / 2
+        low, high = (x, high) if x**half * (1 + half * (1 - x)) < 1 - CONFIDENCE else (low, x)
+    return (1 / high - 1) * (n * n - 1) / n
+
+
+def _fit_row(group, mean: np.ndarray, cov: np.ndarray, n: int) -> dict:
+    """A fit to ``n`` documents as one row: the mean, the whitening matrix row by row, and the limit."""
     cov = cov + np.diag(np.maximum(FLOORS**2 - np.diag(cov), 0))
     white = np.linalg.inv(np.linalg.cholesky(cov))
-    return {"_group": group, "mean": mean.tolist(), "white": white.ravel().tolist()}
+    return {"_group": group, "mean": mean.tolist(), "white": white.ravel().tolist(), "limit": distance_limit(int(n))}
+
+
+_FIT = "_group string, mean array<double>, white array<double>, limit double"
 
 
-_FIT = "_group string, mean array<double>, white array<double>"
+def _weighted(rows: DataFrame, centre: DataFrame) -> DataFrame:
+    """Each statistic as its deviation from ``centre``, of less weight in a text of few words."""
+    weight = F.sqrt(F.least(F.col("n_words"), F.lit(FULL_WORDS)) / FULL_WORDS)
+    centre = centre.select("_group", F.col("mean").alias("_centre"))
+    found = {x: (F.col(x) - F.col("_centre")[k]) * weight for k, x in enumerate(STATISTICS)}
+    return rows.join(checked_broadcast(centre), "_group", "left").withColumns(found).drop("_centre")
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -162,7 +193,7 @@ def _start(rows: DataFrame) -> DataFrame:
                 own["_cell"].to_numpy()[np.searchsorted(reached, share * reached[-1])] * GRID for share in (0.25, 0.5, 0.75)
             )
             mean[which], spread[which] = middle, (high - low) / 1.349
-        return pd.DataFrame([_fit_row(key[0], mean, np.diag(spread**2))])
+        return pd.DataFrame([_fit_row(key[0], mean, np.diag(spread**2), reached[-1])])
 
     return counted.groupBy("_group").applyInPandas(fit, _FIT)
 
@@ -180,21 +211,23 @@ def _distance() -> Column:
     return total
 
 
-def _concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """One concentration step: refit to the nearest half of each group."""
+def _refit(rows: DataFrame, fit: DataFrame, share: float | None) -> DataFrame:
+    """Refit each group to its nearest ``share``, or to all within the quantile :data:`INNER`."""
     size = len(STATISTICS)
     pairs = [(i, j) for i in range(size) for j in range(i + 1)]
     near = rows.join(checked_broadcast(fit), "_group").withColumn("_cell", F.floor(CELLS * F.log2(1 + _distance())))
     sums = [F.sum(x).alias(f"s{k}") for k, x in enumerate(STATISTICS)]
     products = [F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"p{i}{j}") for i, j in pairs]
     cells = near.groupBy("_group", "_cell").agg(F.count("*").alias("n"), *sums, *products)
-    half = chi2_quantile(0.5, size)
-    consistent = 0.5 / (1 - _chi2_tail(half, size + 2))
+    edge = math.floor(CELLS * math.log2(1 + chi2_quantile(INNER, size)))
 
     def refit(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("_cell")
         reached = cells["n"].cumsum().to_numpy()
-        used = cells.iloc[: int(np.searchsorted(reached, reached[-1] / 2)) + 1]
+        nearest = int(np.searchsorted(reached, reached[-1] * (share or 0.5))) + 1
+        if share is None:
+            nearest = max(nearest, int(np.searchsorted(cells["_cell"], edge, "right")))
+        used = cells.iloc[:nearest]
         n = used["n"].sum()
         mean = np.array([used[f"s{k}"].sum() / n for k in range(size)])
         cov = np.zeros((size, size))
@@ -203,11 +236,20 @@ def _concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
         # Rounding may leave tiny negative directions.
         values, vectors = np.linalg.eigh(cov)
         cov = (vectors * np.maximum(values, 0)) @ vectors.T
-        return pd.DataFrame([_fit_row(key[0], mean, consistent * cov)])
+        # What was cut off is made up for in the dimensions that scatter; a constant statistic is none.
+        free = max(1, int((np.diag(cov) > 1e-9).sum()))
+        kept = share or INNER
+        consistent = kept / (1 - _chi2_tail(chi2_quantile(kept, free), free + 2))
+        return pd.DataFrame([_fit_row(key[0], mean, consistent * cov, n)])
 
     return cells.groupBy("_group").applyInPandas(refit, _FIT)
 
 
+def _concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """One concentration step: refit to the nearest half of each group."""
+    return _refit(rows, fit, 0.5)
+
+
 def judge(
     docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
@@ -239,14 +281,16 @@ def judge(
         "quality-levels",
     )
     levels = checked_broadcast(levels)
-    rows = fitted.join(levels, "_by_source").select("_group", *STATISTICS)
+    rows = fitted.join(levels, "_by_source").select("_group", "n_words", *STATISTICS)
+    centre = stored(_start(rows), "quality-centre")
+    rows = _weighted(rows, centre)
     fit = stored(_start(rows), "quality-fit")
     for _ in range(STEPS):
         fit = stored(_concentrate(rows, fit), "quality-fit")
-    judged = scored.join(levels, "_by_source").join(checked_broadcast(fit), "_group", "left")
-    limit = chi2_quantile(CONFIDENCE, len(STATISTICS))
+    fit = stored(_refit(rows, fit, None), "quality-fit")
+    judged = _weighted(scored.join(levels, "_by_source"), centre).join(checked_broadcast(fit), "_group", "left")
     distance = F.when(~F.col("base_failed"), _distance())
     return judged.select(
         *keep, *(c.split()[0] for c in COUNTS.split(", ")), "base_failed", distance.alias("distance"),
-        F.coalesce(~F.col("base_failed") & (distance <= limit), F.lit(False)).alias("kept"),
+        F.coalesce(~F.col("base_failed") & (distance <= F.col("limit")), F.lit(False)).alias("kept"),
     )
