@@ -33,6 +33,41 @@ def test_article_without_the_rest(page):
     assert html.main_text(f"<html><head><title>T</title></head><body>{page}</body></html>", TREE) == TEXT
 
 
+@pytest.mark.parametrize("name", ["layout no-sidebar", "has-sidebar", "with-banner", "menu-open", "menu", "sidebar-wrap", "ad-hoc"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_layout_around_an_article(name, tag):
+    page = ARTICLE.replace("article", tag)
+    assert html.main_text(f"<body><nav><a href=/>Home</a></nav><div class='{name}'>{page}</div></body>", TREE) == TEXT
+    inner = f"<{tag}><div id='{name}'><h1>Title</h1><p>First part of it.<p>Second &amp; last.</div></{tag}>"
+    assert name in ("menu", "sidebar-wrap") or html.main_text(inner, TREE) == TEXT
+    assert html.main_text(f"<form action=/x>{page}</form>", TREE) == TEXT
+
+
+@pytest.mark.parametrize("name", ["discussion", "related-work", "sharing-data", "related", "cookie-recipes"])
+def test_sections_of_an_article_named_like_asides(name):
+    long = "What we have found so far is in line with all that others saw before us."
+    page = f"<article><h1>Title</h1><section id='{name}'><h2 id='{name}-x'>More</h2><p>{long}</p></section><h2 id='{name}'>End</h2></article>"
+    assert html.main_text(page, TREE) == f"Title\nMore\n{long}\nEnd"
+
+
+@pytest.mark.parametrize(
+    "aside",
+    [
+        "<div class='site-sidebar'><p>{}</p></div>",
+        "<div id=comments><article class=comment><p>{}</p></article></div>",
+        "<div class='cookie-consent'><p>{}</p></div>",
+        "<div class='related-posts'><p><a href=/x>{}</a></p></div>",
+        "<div class=share>Share this now</div>",
+        "<p class='ad-box'>{}</p><p class=share>Share it</p>",
+        "<div hidden><main><p>{}</p></main></div>",
+    ],
+)
+def test_asides_still_go(aside):
+    aside = aside.format("Here is a long text of many words that nobody would want in the main text of it.")
+    assert html.main_text(f"<body>{ARTICLE}{aside}</body>", TREE) == TEXT
+    assert html.main_text(ARTICLE.replace("</article>", f"</p>{aside}</article>"), TREE) == TEXT
+
+
 def test_odd_pages():
     assert [html.main_text(page, TREE) for page in (None, "", "<p>", "<!-- never closed", "<script>", "<a")] == [""] * 6
     assert html.main_text("<", TREE) == "<"  # no tag, as in browsers

@@ -35,12 +35,24 @@ REGION_TAGS = BLOCK_TAGS - frozenset("p hr li dd dt option tr td th thead tbody
 RAW_TAGS = frozenset("script style textarea xmp iframe noembed noframes noscript template svg math object".split())
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog head title select fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored sponsors promo promotion banner "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager "
-    "comment comments commentlist reply replies respond disqus discussion share sharing social related recommended "
-    "recommendations widget widgets skip disclaimer paywall".split()
+#: How surely a region is no content: words that articles use as well, layout, adverts and comments, tags and roles.
+HINT, LAYOUT, SURE, TAG = 1, 2, 3, 4
+HINT_WORDS = frozenset(
+    "promotion advertising consent notice notices alert subscription discussion share sharing social related recommended "
+    "recommendations skip disclaimer respond reply replies".split()
+)
+LAYOUT_WORDS = frozenset(
+    "banner overlay modal sidebar rail menu nav navbar navigation footer masthead topbar toolbar widget widgets".split()
+)
+SURE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement adslot adsense sponsor sponsored sponsors promo cookie cookies gdpr popup "
+    "newsletter subscribe signup login breadcrumb breadcrumbs pagination pager comment comments commentlist disqus paywall".split()
+)
+#: A compound names an aside only if its other words are of these, or one letter.
+PART_WORDS = frozenset(
+    "site main page primary secondary left right top bottom side box block wrap wrapper container area list item items link "
+    "links button buttons bar section header head inner outer slot unit zone post posts article articles story stories text "
+    "title form icon icons group panel column col mobile desktop sticky fixed global wp md".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -56,41 +68,63 @@ class Block:
     linked: int
     words: int
     article: bool
-    aside: bool
+    aside: int  #: 0, 1 for a hint only, 2
     heading: bool
 
 
-def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
+def _named_aside(token: str) -> int:
+    """What a class or an id says: ``sidebar`` and ``main-menu`` name an aside, ``no-sidebar`` and ``related-work`` do not."""
+    words = [word.lower() for word in _WORD_CASE.findall(token)]
+    levels = [
+        SURE if word in SURE_WORDS else LAYOUT if word in LAYOUT_WORDS else HINT if word in HINT_WORDS else 0 for word in words
+    ]
+    others = (word for word, level in zip(words, levels, strict=True) if not level)
+    return max(levels, default=0) if all(len(word) == 1 or word in PART_WORDS for word in others) else 0
+
+
+def _aside_level(tag: str, attributes: str, in_article: bool) -> int:
     if tag in ASIDE_TAGS or (tag == "header" and not in_article):
-        return True
+        # Some pages wrap all they have in one form.
+        return LAYOUT if tag == "form" else TAG
     if tag in ("html", "body", "main", "article") or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
+    level = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ASIDE_ROLES):
-            return True
-        if name in ("class", "id") and any(word.lower() in ASIDE_WORDS for word in _WORD_CASE.findall(value)):
-            return True
-    return False
+            return TAG
+        if name in ("class", "id"):
+            level = max(level, *map(_named_aside, value.split()), 0)
+    # A heading's id is its title.
+    return 0 if tag in HEADINGS else level
+
+
+def _inherited(tag: str, level: int) -> int:
+    """What of a region's level goes on to a region inside: an article is none of the layout around it."""
+    if tag == "main":
+        return level if level == TAG else 0
+    return 0 if tag == "article" and level == LAYOUT else level
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, white space turned into single spaces."""
     found: list[Block] = []
-    regions: list[tuple[str, bool, bool]] = []  # tag, aside, article
+    regions: list[tuple[str, int, bool]] = []  # tag, aside level, article
     parts: list[tuple[str, bool]] = []
-    state = {"link": False, "heading": False}
+    state = {"link": False, "heading": False, "hint": 0}
 
-    def region() -> tuple[bool, bool]:
-        return (regions[-1][1], regions[-1][2]) if regions else (False, False)
+    def region() -> tuple[int, bool]:
+        return (regions[-1][1], regions[-1][2]) if regions else (0, False)
 
     def close_block() -> None:
         text = " ".join(entities.unescape("".join(part for part, _ in parts)).split())
         if text:
             linked = sum(len(entities.unescape(part).split()) for part, link in parts if link)
             aside, article = region()
-            found.append(Block(text, linked, len(text.split()), article, aside, state["heading"]))
+            level = min(max(aside, state["hint"]), 2)
+            found.append(Block(text, linked, len(text.split()), article, level, state["heading"]))
         parts.clear()
+        state["hint"] = 0
 
     at, size = 0, len(page)
     while at < size:
@@ -126,22 +160,25 @@ def blocks_of(page: str) -> list[Block]:
                 if not closing:
                     aside, article = region()
                     opens = tag in ("article", "main")
-                    regions.append((tag, aside or _is_aside(tag, attributes, article), article or (opens and not aside)))
+                    aside = max(_inherited(tag, aside), _aside_level(tag, attributes, article))
+                    regions.append((tag, aside, article or (opens and aside <= HINT)))
                 elif any(open_tag == tag for open_tag, _, _ in regions):
                     while regions.pop()[0] != tag:
                         pass
             elif not closing and tag in ("p", "li", "td", "tr", "dd"):
                 # No region of its own, but it may be marked as one that is no content.
                 aside, article = region()
-                if _is_aside(tag, attributes, article):
+                level = _aside_level(tag, attributes, article)
+                state["hint"] = level
+                if level > HINT:
                     end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
                     if end:
-                        at = end.end()
+                        at, state["hint"] = end.end(), 0
         elif not closing and tag in ("button", "label", "input", "audio", "video", "canvas"):
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
             if end and tag != "input":
                 at = end.end()
-        elif tag in ("span", "section") and not closing and _is_aside(tag, attributes, region()[1]):
+        elif tag in ("span", "section") and not closing and _aside_level(tag, attributes, region()[1]):
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
             if end:
                 at = end.end()
@@ -155,11 +192,20 @@ FEATURES = ("words", "density", "words_before", "density_before", "words_after",
 #: The labelled table: the features of a block, and whether it is main text.
 LABELLED = [
     # menus, headers, footers, adverts, forms, comments inside or outside of an article
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0), (3, 1.0, 2, 1.0, 9, 0.0, 0, 1, 0, 1, 0),
-    (9, 0.0, 2, 1.0, 8, 0.0, 0, 1, 0, 1, 0), (14, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 1, 0), (25, 0.1, 80, 0.0, 30, 0.0, 0, 1, 0, 1, 0),
-    (45, 0.0, 30, 0.0, 50, 0.0, 1, 1, 0, 1, 0), (120, 0.0, 90, 0.0, 70, 0.0, 1, 1, 0, 1, 0), (6, 0.0, 40, 0.0, 90, 0.0, 1, 1, 0, 1, 0),
-    (12, 0.5, 3, 0.0, 2, 1.0, 0, 1, 0, 0, 0), (60, 0.0, 30, 0.0, 40, 0.0, 0, 1, 0, 0, 0), (4, 0.0, 50, 0.0, 9, 0.0, 0, 1, 1, 1, 0),
-    (200, 0.0, 40, 0.0, 60, 0.0, 0, 1, 0, 0, 0), (5, 0.0, 20, 0.0, 8, 0.2, 1, 1, 1, 1, 0), (30, 0.0, 10, 0.0, 0, 0.0, 1, 1, 0, 1, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 2, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 2, 0, 1, 0), (3, 1.0, 2, 1.0, 9, 0.0, 0, 2, 0, 1, 0),
+    (9, 0.0, 2, 1.0, 8, 0.0, 0, 2, 0, 1, 0), (14, 0.0, 60, 0.0, 0, 0.0, 0, 2, 0, 1, 0), (25, 0.1, 80, 0.0, 30, 0.0, 0, 2, 0, 1, 0),
+    (45, 0.0, 30, 0.0, 50, 0.0, 1, 2, 0, 1, 0), (120, 0.0, 90, 0.0, 70, 0.0, 1, 2, 0, 1, 0), (6, 0.0, 40, 0.0, 90, 0.0, 1, 2, 0, 1, 0),
+    (12, 0.5, 3, 0.0, 2, 1.0, 0, 2, 0, 0, 0), (60, 0.0, 30, 0.0, 40, 0.0, 0, 2, 0, 0, 0), (4, 0.0, 50, 0.0, 9, 0.0, 0, 2, 1, 1, 0),
+    (200, 0.0, 40, 0.0, 60, 0.0, 0, 2, 0, 0, 0), (5, 0.0, 20, 0.0, 8, 0.2, 1, 2, 1, 1, 0), (30, 0.0, 10, 0.0, 0, 0.0, 1, 2, 0, 1, 0),
+    # where only a word hints that it is no content: long text without links is kept
+    (45, 0.0, 30, 0.0, 50, 0.0, 1, 1, 0, 1, 1), (120, 0.0, 5, 0.0, 70, 0.0, 1, 1, 0, 1, 1), (12, 0.0, 60, 0.0, 0, 0.0, 1, 1, 0, 1, 1),
+    (300, 0.05, 90, 0.0, 0, 0.0, 1, 1, 0, 1, 1), (25, 0.2, 40, 0.0, 9, 0.0, 1, 1, 0, 1, 1), (14, 0.0, 1, 0.0, 80, 0.0, 1, 1, 0, 1, 1),
+    (1, 0.0, 60, 0.0, 45, 0.0, 1, 1, 1, 1, 1), (2, 0.0, 90, 0.0, 12, 0.0, 1, 1, 1, 1, 1), (4, 0.0, 30, 0.0, 120, 0.0, 1, 1, 1, 1, 1),
+    (1, 0.0, 60, 0.0, 40, 0.0, 1, 1, 0, 1, 0), (5, 0.0, 120, 0.0, 0, 0.0, 1, 1, 0, 1, 0), (8, 0.0, 60, 0.0, 30, 0.0, 1, 1, 0, 1, 0),
+    (3, 1.0, 60, 0.0, 3, 1.0, 1, 1, 0, 1, 0), (12, 1.0, 60, 0.0, 14, 1.0, 1, 1, 0, 1, 0), (30, 0.8, 40, 0.0, 20, 0.0, 1, 1, 0, 1, 0),
+    (9, 0.0, 80, 0.0, 3, 1.0, 0, 1, 0, 1, 0), (60, 0.0, 80, 0.0, 40, 0.0, 0, 1, 0, 1, 0), (3, 0.0, 80, 0.0, 12, 1.0, 0, 1, 1, 1, 0),
+    (40, 0.0, 60, 0.0, 30, 0.0, 0, 1, 0, 0, 1), (150, 0.0, 30, 0.0, 0, 0.0, 0, 1, 0, 0, 1), (1, 0.0, 60, 0.0, 45, 0.0, 0, 1, 1, 0, 1),
+    (1, 0.0, 60, 0.0, 45, 0.0, 0, 1, 0, 0, 0), (3, 0.0, 60, 0.0, 40, 0.0, 0, 1, 0, 0, 0), (9, 1.0, 60, 0.0, 8, 1.0, 0, 1, 0, 0, 0), (30, 0.8, 60, 0.0, 9, 1.0, 0, 1, 0, 0, 0),
     # inside an article
     (8, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1, 1, 1), (1, 0.0, 2, 0.0, 90, 0.0, 1, 0, 0, 1, 1), (60, 0.0, 8, 0.0, 70, 0.0, 1, 0, 0, 1, 1),
     (150, 0.02, 60, 0.0, 1, 0.0, 1, 0, 0, 1, 1), (1, 0.0, 150, 0.0, 1, 0.0, 1, 0, 0, 1, 1), (40, 0.2, 30, 0.1, 12, 0.0, 1, 0, 0, 1, 1),
@@ -187,6 +233,10 @@ LABELLED = [
     (18, 0.7, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (8, 1.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
 ]
 
+# The same blocks in what surely is an aside are dropped, and those to be dropped are so where there is a hint, too.
+LABELLED += [(*row[:7], 2, *row[8:10], 0) for row in LABELLED if row[7] == 0]
+LABELLED += [(*row[:7], 1, *row[8:]) for row in LABELLED if row[7] == 0 and not row[10]]
+
 
 def features(page_blocks: list[Block]) -> np.ndarray:
     """One row of :data:`FEATURES` for each block; at the page's ends the missing neighbour is 0."""
