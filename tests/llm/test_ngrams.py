@@ -2,7 +2,7 @@ import pytest
 from brute import NGrams
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, ngrams
+from tidemark.llm import chunks, ngrams, queries
 
 
 @pytest.mark.parametrize(("order", "chunk"), [(1, 4 << 20), (2, 20_000), (3, 50_000)])
@@ -21,6 +21,13 @@ def test_scores_against_brute_force(small, monkeypatch, order, chunk):
         assert row.score == pytest.approx(model.score(texts[row.doc_id]))
 
 
+def test_query_uses_two_words_of_context(spark, small):
+    texts = {row.doc_id: row.text for row in small("documents").collect()}
+    rows = queries.QUERIES["op2_lm_score"](spark, "/root/testdata/sf0.001").collect()
+    model = NGrams([texts[row.doc_id] for row in rows if not row.held_out], 3)
+    assert [row.score for row in rows] == pytest.approx([model.score(texts[row.doc_id]) for row in rows])
+
+
 def test_odd_rows(texts_frame):
     texts = [None, "", " ", "a a a", "A a", "b"]
     docs = texts_frame(texts).withColumn("learn", F.col("doc_id") < 5)

@@ -13,7 +13,8 @@ failure arc leads to the shorter context and carries the log of the factor.
 
 The model grows with the corpus, so no task holds all of it.  Each chunk of
 documents gets the part of the automaton that its own texts can reach: the counts
-of its own n-grams over the corpus, and ``T`` of its own contexts.  It then runs one
+of its own n-grams over the corpus, and ``T`` of its own contexts that were counted
+twice; it is 1 for those counted once.  It then runs one
 traversal from left to right, all of its documents side by side, each carrying its
 state.
 
@@ -107,7 +108,9 @@ class Automaton:
             where[at[ends]] = ends
             context, shorter = below[where - 1], below[where]
             seen = self.count[size - 2]
-            followers = answers.totals(FOLLOWERS + size - 1)
+            # What was counted once has one follower.
+            followers = np.minimum(seen, 1)
+            followers[seen > 1] = answers.totals(FOLLOWERS + size - 1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 factor = np.where(seen > 0, DISCOUNT * followers / seen, 1.0)
                 own = np.maximum(self.count[size - 1] - DISCOUNT, 0) / seen[context]
@@ -190,7 +193,8 @@ def score_texts(
             where[at[ends]] = ends
             context = chunk.at[size - 2][where - 1]
             own = np.bincount(context[answers.first(size)], minlength=len(chunk.keys[size - 2]))
-            rows += ask(number, FOLLOWERS + size - 1, chunk.keys[size - 2], own, bits)
+            asked = answers.totals(size - 1) > 1
+            rows += ask(number, FOLLOWERS + size - 1, chunk.keys[size - 2][asked], own[asked], bits)
         return asked_table(rows)
 
     def score(blobs: pa.Table, answered: pa.Table) -> pa.Table:

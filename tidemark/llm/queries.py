@@ -29,9 +29,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+LM_ORDER = 3
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc("doc_id", 7) == 2)
-    return score_texts(docs.withColumn("learning", ~F.col("held_out")), "learning", keep=("doc_id", "held_out"))
+    return score_texts(docs.withColumn("learning", ~F.col("held_out")), "learning", keep=("doc_id", "held_out"), order=LM_ORDER)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
