@@ -17,7 +17,7 @@ A block of texts goes through three steps, each over all its bytes at once:
 Null texts are empty and give no pieces.  Rows are independent: repeated rows give
 repeated results, an empty table an empty one, and other columns of any name are
 left alone.  A text may be of any length: a block holds whole texts, words of any
-length are merged with a heap.
+length are merged (long ones with a heap).
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ import heapq
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +41,10 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: The model type that merges pairs.
 BPE = 2
 
-#: Words of at most so many characters are merged without a heap.
+#: Words of at most so many characters are merged many at a time, longer ones with a heap.
 SHORT = 48
 #: Bytes of distinct words whose pieces a task remembers.
-REMEMBERED = 16 << 20
+REMEMBERED = 8 << 20
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -175,9 +174,13 @@ class Normaliser:
         """Start, source length, and the pooled range of what it becomes, of each unit consumed from left to right."""
         inside = np.ones(len(data), bool)
         inside[offsets[1:] - 1] = False  # the byte after each text
+        if not len(self.units):
+            # Without a map every byte is copied.
+            starts = np.flatnonzero(inside)
+            return starts, starts, np.ones(len(starts), np.int64)
         starts = np.flatnonzero(inside & ((data & 0xC0) != 0x80))
         next_start = np.append(starts[1:], len(data))
-        limits = offsets[1:][np.searchsorted(offsets, starts, "right") - 1] - 1
+        limits = offsets[1:][owners(starts, offsets)] - 1
         plain = np.minimum(next_start, limits) - starts
         length, text = self.longest(data, starts, limits)
         # A match of several characters swallows the starts inside of it.
@@ -203,14 +206,16 @@ class Normaliser:
         first = np.cumsum(size) - size
         out = pool[spread(low, first, size)]
         source = np.repeat(starts, size)
-        owner = np.repeat(np.searchsorted(offsets, starts, "right") - 1, size)
+        text = owners(starts, offsets)
+        owner = np.repeat(text, size)
         # Texts that get a mark in front, and what it comes from: the first unit that is not a trimmed blank.
         solid = ~((size == 1) & (pool[low] == 32)) if self.model.trim_spaces else np.ones(len(starts), bool)
-        texts, at = np.unique(np.searchsorted(offsets, starts[solid], "right") - 1, return_index=True)
+        led = text[solid]
+        at = np.flatnonzero(np.diff(led, prepend=-1))
         if self.model.trim_spaces:
             keep = self._untrimmed(out, owner, first, size, offsets)
             out, source, owner = out[keep], source[keep], owner[keep]
-        return self._escaped(out, source, owner, len(offsets) - 1, texts, starts[solid][at])
+        return self._escaped(out, source, owner, len(offsets) - 1, led[at], starts[solid][at])
 
     def _untrimmed(self, out, owner, first, size, offsets) -> np.ndarray:
         """Bytes that stay when blanks at the start, at the end and after blanks go."""
@@ -274,46 +279,75 @@ def spread(low: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(low - first, size) + np.arange(int(size.sum()))
 
 
+def owners(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The text that each of the ascending places is in."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(places, offsets)))
+
+
 class Encoder:
-    """Pieces of words, each distinct word merged once as long as it is remembered."""
+    """Pieces of words, each distinct word merged once as long as it is remembered.
+
+    A symbol is the number of a piece, or :attr:`size` plus the code point of a
+    character that is no piece.
+    """
 
     def __init__(self, model: Model):
         self.model = model
         self.normaliser = Normaliser(model)
+        self.size = len(model.pieces)
         scores = sorted({-score for _, score, kind in model.pieces if kind == NORMAL})
         place = {score: k for k, score in enumerate(scores)}
         self.rank = {piece: place[-score] for piece, score, kind in model.pieces if kind == NORMAL}
         self.ids = {piece: k for k, (piece, _, kind) in enumerate(model.pieces) if kind == NORMAL}
         self.unknown = next((k for k, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
-        self.bytes = {_byte(piece)[0]: k for k, (piece, _, kind) in enumerate(model.pieces) if kind == BYTE}
+        self.bytes = np.full(256, self.unknown, np.int32)
+        for k, (piece, _, kind) in enumerate(model.pieces):
+            if kind == BYTE:
+                self.bytes[_byte(piece)[0]] = k
         self.surface = model.surfaces()
+        self.widths = np.array([len(piece.encode()) for piece, _, _ in model.pieces], np.int64)
+        self.single = np.arange(self.size, self.size + 0x110000, dtype=np.int32)
+        for piece, k in self.ids.items():
+            if len(piece) == 1:
+                self.single[ord(piece)] = k
+        self._tabulate()
         # ASCII characters that no longer piece holds; and whether a mark only ever leads a piece.
         inner = {c for piece in self.rank if len(piece) > 1 for c in piece}
         self.alone = np.zeros(256, bool)
         self.alone[[k for k in range(128) if chr(k) not in inner]] = True
         self.mark_leads = not any(SPACE in piece.lstrip(SPACE) for piece in self.rank)
-        self.known: dict[bytes, tuple[list[int], list[int]]] = {}
-        self.held = 0
-
-    def _short(self, word: str) -> list[str]:
-        rank, never = self.rank, len(self.rank)
-        parts = list(word)
-        pairs = [rank.get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs:
-            best = min(pairs)
-            if best == never:
-                break
-            at = pairs.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at:
-                pairs[at - 1] = rank.get(parts[at - 1] + parts[at], never)
-            if at < len(pairs):
-                pairs[at] = rank.get(parts[at] + parts[at + 1], never)
-        return parts
-
-    def _long(self, word: str) -> list[str]:
-        """The same with a heap and linked neighbours, for words of any length."""
+        self._forget()
+
+    def _symbol(self, part: str) -> int:
+        return self.ids[part] if part in self.ids else self.size + ord(part)
+
+    def _tabulate(self) -> None:
+        """All pairs of symbols that merge, by key, with rank and result."""
+        rows = [
+            (self._symbol(piece[:cut]), self._symbol(piece[cut:]), self.rank[piece], number)
+            for piece, number in self.ids.items()
+            for cut in range(1, len(piece))
+            if (cut == 1 or piece[:cut] in self.ids) and (cut == len(piece) - 1 or piece[cut:] in self.ids)
+        ]
+        table = np.array(sorted(rows) or [(0, 0, 0, 0)], np.int64)
+        self.span = self.size + 0x110000
+        # The last entry is no pair: its rank says never.
+        self.pair_keys = np.append(table[:, 0] * self.span + table[:, 1], np.iinfo(np.int64).max)
+        self.never = len(self.rank) + 1
+        self.pair_ranks = np.append(table[:, 2], self.never).astype(np.int32)
+        self.pair_results = np.append(table[:, 3], 0).astype(np.int32)
+        if not rows:
+            self.pair_ranks[0] = self.never
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of merging each left symbol with its right one."""
+        keys = left.astype(np.int64) * self.span + right
+        at = np.searchsorted(self.pair_keys, keys)
+        at[self.pair_keys[at] != keys] = len(self.pair_keys) - 1
+        return self.pair_ranks[at], self.pair_results[at]
+
+    def _long(self, word: str) -> list[int]:
+        """The symbols of one word of any length, by a heap and linked neighbours."""
         parts: list[str | None] = list(word)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[int, int, int, int]] = []
@@ -336,23 +370,115 @@ class Encoder:
                 before[after[left]] = left
             propose(before[left], left)
             propose(left, after[left])
-        return [part for part in parts if part is not None]
-
-    def word(self, raw: bytes) -> tuple[list[int], list[int]]:
-        """Ids of a word and the end of each piece in its bytes."""
-        text = raw.decode(errors="replace")
-        ids, ends, at = [], [], 0
-        for part in self._short(text) if len(text) <= SHORT else self._long(text):
-            found = self.ids.get(part)
-            coded = part.encode()
-            if found is not None or not self.model.byte_fallback:
-                ids.append(self.unknown if found is None else found)
-                ends.append(at + len(coded))
-            else:
-                ids.extend(self.bytes[byte] for byte in coded)
-                ends.extend([at] * (len(coded) - 1) + [at + len(coded)])
-            at += len(coded)
-        return ids, ends
+        return [self._symbol(part) for part in parts if part is not None]
+
+    def _short(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of many words at once, one merge a word and round; also how many symbols each word is left with.
+
+        ``size`` has the characters of each word, one at least.
+        """
+        number = np.arange(len(size))
+        start = np.cumsum(size) - size
+        rank, result = self._pairs(symbols, np.append(symbols[1:], 0))
+        rank[start + size - 1] = self.never
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(size):
+            best = np.minimum.reduceat(rank, start)
+            over = best == self.never
+            if over.any():
+                gone = np.repeat(over, size)
+                done.append((number[over], size[over], symbols[gone]))
+                symbols, rank, result = symbols[~gone], rank[~gone], result[~gone]
+                number, size, best = number[~over], size[~over], best[~over]
+                start = np.cumsum(size) - size
+                if not len(size):
+                    break
+            equal = np.flatnonzero(rank == np.repeat(best, size))
+            at = equal[np.searchsorted(equal, start)]  # the leftmost of each word
+            symbols[at] = result[at]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, rank, result = symbols[keep], rank[keep], result[keep]
+            at = at - np.arange(len(at))
+            size = size - 1
+            start = np.cumsum(size) - size
+            rank[at] = self.never
+            right = at[at + 1 < start + size]
+            rank[right], result[right] = self._pairs(symbols[right], symbols[right + 1])
+            left = at[at > start] - 1
+            rank[left], result[left] = self._pairs(symbols[left], symbols[left + 1])
+        numbers = np.concatenate([row[0] for row in done] or [number])
+        sizes = np.concatenate([row[1] for row in done] or [size])
+        flat = np.concatenate([row[2] for row in done] or [symbols])
+        order = np.argsort(numbers, kind="stable")
+        firsts = np.cumsum(sizes) - sizes
+        sizes, firsts = sizes[order], firsts[order]
+        return flat[spread(firsts, np.cumsum(sizes) - sizes, sizes)], sizes
+
+    def words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces of all words, the end of each in its word's bytes, and how many each word has."""
+        text = b"".join(raw).decode()
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        bytes_each = np.array([len(word) for word in raw], np.int64)
+        lengths = (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000) + 1
+        bounds = np.searchsorted(np.cumsum(lengths), np.cumsum(bytes_each), "left") + 1
+        size = np.diff(bounds, prepend=0)
+        short = size <= SHORT
+        symbols, counts = self._short(self.single[points[np.repeat(short, size)]], size[short])
+        if not short.all():
+            # Long words go between the others.
+            others = iter(np.split(symbols, np.cumsum(counts)[:-1]))
+            pieces = [
+                next(others) if quick else np.array(self._long(word.decode()), np.int32)
+                for word, quick in zip(raw, short.tolist(), strict=True)
+            ]
+            symbols, counts = np.concatenate(pieces), np.array([len(own) for own in pieces], np.int64)
+        return self._coded(symbols, counts)
+
+    def _coded(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols as ids: characters outside of the vocabulary as byte pieces."""
+        owner = np.repeat(np.arange(len(counts)), counts)
+        foreign = symbols >= self.size
+        points = np.where(foreign, symbols - self.size, 0)
+        lengths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        widths = np.where(foreign, lengths, self.widths[np.where(foreign, 0, symbols)])
+        ends = np.cumsum(widths)
+        before = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
+        ends = ends - before[owner]
+        if not foreign.any():
+            return symbols, ends, counts
+        if not self.model.byte_fallback:
+            return np.where(foreign, self.unknown, symbols).astype(np.int32), ends, counts
+        tokens = np.where(foreign, lengths, 1)
+        ids = np.repeat(symbols, tokens)
+        places = np.repeat(ends - np.where(foreign, widths, 0), tokens)  # byte pieces stand at the character's start
+        last = np.cumsum(tokens) - 1
+        places[last] = ends
+        raw = "".join(map(chr, points[foreign].tolist())).encode()
+        ids[np.repeat(foreign, tokens)] = self.bytes[np.frombuffer(raw, np.uint8)]
+        return ids, places, np.bincount(owner, tokens, len(counts)).astype(np.int64)
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.held = 0
+        self.flat_ids, self.flat_ends = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _remembered(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word in what is remembered; new words are merged together."""
+        if self.held > REMEMBERED:
+            self._forget()
+        known = self.known
+        fresh = [word for word in words if word not in known]
+        if fresh:
+            ids, ends, counts = self.words(fresh)
+            self.first = np.append(self.first, len(self.flat_ids) + np.cumsum(counts) - counts)
+            self.count = np.append(self.count, counts)
+            self.flat_ids = np.append(self.flat_ids, ids.astype(np.int32))
+            self.flat_ends = np.append(self.flat_ends, ends.astype(np.int32))
+            self.held += sum(map(len, fresh))
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def _words(self, norm: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Where words start: texts, marks after other characters, and around characters that stand alone."""
@@ -379,36 +505,21 @@ class Encoder:
         edges = np.append(words, len(norm)).astype(np.int64)
         buffers = [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(norm.tobytes())]
         coded = pa.Array.from_buffers(pa.large_binary(), len(words), buffers).dictionary_encode()
-        found = [self._remembered(raw) for raw in coded.dictionary.to_pylist()]
-        which = coded.indices.to_numpy()
-        sizes = np.array([len(ids) for ids, _ in found], np.int64)
-        firsts = np.cumsum(sizes) - sizes
-        ids = np.fromiter(chain.from_iterable(ids for ids, _ in found), np.int32, int(sizes.sum()))
-        ends = np.fromiter(chain.from_iterable(ends for _, ends in found), np.int64, int(sizes.sum()))
-        count = sizes[which]
+        which = self._remembered(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        count = self.count[which]
         first = np.cumsum(count) - count
-        take = spread(firsts[which], first, count)
-        ends = ends[take] + np.repeat(words, count)
+        take = spread(self.first[which], first, count)
+        ids = self.flat_ids[take]
+        ends = self.flat_ends[take] + np.repeat(words, count)
         # Ends in the source; an end that closes a text closes its source too.
-        text = np.searchsorted(places, words, "right") - 1
-        owner = np.repeat(text, count)
+        owner = np.repeat(owners(words, places), count)
         closes = ends == places[owner + 1]
         ends = np.where(closes, offsets[owner + 1] - 1, source[np.minimum(ends, len(source) - 1)]) - offsets[owner]
         tokens = np.bincount(owner, minlength=len(offsets) - 1)
         bounds = np.concatenate([[0], np.cumsum(tokens)])
         begins = np.append(0, ends[:-1])
         begins[bounds[:-1][tokens > 0]] = source[places[:-1][tokens > 0]] - offsets[:-1][tokens > 0]
-        return ids[take], begins, ends, bounds
-
-    def _remembered(self, raw: bytes) -> tuple[list[int], list[int]]:
-        found = self.known.get(raw)
-        if found is None:
-            if self.held > REMEMBERED:
-                self.known.clear()
-                self.held = 0
-            found = self.known[raw] = self.word(raw)
-            self.held += len(raw)
-        return found
+        return ids, begins, ends, bounds
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.surface.__getitem__, ids)).decode(errors="replace")
