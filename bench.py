@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from catalog.queries import QUERIES  # noqa: E402
+from catalog.queries import QUERIES, TEXT_PARTITIONS  # noqa: E402
 from tidemark.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -31,6 +31,8 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session("bench", f"local[{cpus}]", cpus, spark_ui_enabled="false", spark_driver_memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
+    # Each test table is one file of one row group, which no reader can split.
+    spark.conf.set(TEXT_PARTITIONS, str(cpus))
     seconds = {}
     for name in names:
         runs = []

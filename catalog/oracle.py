@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from catalog.side_tables import COMMUNITIES, LEMMAS, LEXICON, SOURCES, STOP_TABLE
-from tidemark.functions.fixed_values import AFFECTS, CUSTOM_STOPWORDS, EMOTIONS, ENGLISH_STOPWORDS, POLARITIES
+from catalog.side_tables import COMMUNITIES, IRREGULAR, LEMMAS, LEXICON, SOURCES, STOP_TABLE
+from tidemark.functions.fixed_values import AFFECTS, CUSTOM_STOPWORDS, EMOTIONS, ENGLISH_STOPWORDS, NOUN_RULES, POLARITIES
 
 SPACE = r"\t-\r\x1C-\x20\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
@@ -150,6 +150,24 @@ def oracle_sql() -> dict[str, str]:
         zs AS (SELECT feature, n1, n2, u, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5e0)
                       / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM u)"""
 
+    rules = ", ".join(f"({place}, '{suffix}', '{ending}')" for place, (suffix, ending) in enumerate(NOUN_RULES))
+    # Every form that two rounds of rules make of a word; the first in the dictionary counts.
+    ruled = f"""RECURSIVE w0 AS ({words("documents", "doc_id")}),
+        own AS (SELECT word AS surface, count(*) AS n FROM w0 GROUP BY word),
+        known AS (SELECT DISTINCT word FROM ({words("benchmark", "item_id")})),
+        rules(rule, suffix, ending) AS (VALUES {rules}),
+        irregular(surface, lemma) AS (VALUES {_values(IRREGULAR)}),
+        forms AS (SELECT surface, 0 AS round, -1 AS rule, surface AS form FROM own
+            UNION ALL
+            SELECT f.surface, f.round + 1, r.rule, left(f.form, length(f.form) - length(r.suffix)) || r.ending
+            FROM forms f JOIN rules r ON suffix(f.form, r.suffix) AND length(f.form) > length(r.suffix) WHERE f.round < 2),
+        hits AS (SELECT * FROM forms WHERE form IN (SELECT word FROM known)
+            UNION ALL SELECT surface, -1, -1, lemma FROM irregular
+            WHERE surface IN (SELECT surface FROM own) AND lemma IN (SELECT word FROM known)),
+        lemmas AS (SELECT surface, form AS lemma FROM (
+            SELECT *, row_number() OVER (PARTITION BY surface ORDER BY round, length(form), rule, form) AS k FROM hits)
+            WHERE k = 1)"""
+
     def tail(doc: str, n: int) -> str:
         return f"array_to_string({doc}[greatest(len({doc}) - {n - 1}, 1):], ' ')"
 
@@ -190,6 +208,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CAST(count(k.word) AS INTEGER) AS n_tokens,
                    coalesce(string_agg(k.word, ' ' ORDER BY k.at), '') AS joined
             FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id""",
+        "lemma_rules": f"""WITH {ruled} SELECT coalesce(l.lemma, o.surface) AS word, CAST(sum(o.n) AS BIGINT) AS n
+            FROM own o LEFT JOIN lemmas l ON o.surface = l.surface GROUP BY 1""",
+        "lemma_rules_tokens": f"""WITH {ruled},
+            p AS ({pieces("(SELECT doc_id, text FROM documents)", "doc_id")}),
+            n AS (SELECT doc_id, word, row_number() OVER () AS at FROM p),
+            k AS (SELECT n.doc_id, n.at, coalesce(l.lemma, n.word) AS word FROM n LEFT JOIN lemmas l ON n.word = l.surface
+                  WHERE n.word NOT IN ({stop}) AND length(n.word) > 1)
+            SELECT d.doc_id, CAST(count(k.word) AS INTEGER) AS n_tokens,
+                   coalesce(string_agg(k.word, ' ' ORDER BY k.at), '') AS joined
+            FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id""",
         "encoded_texts": """SELECT doc_id, CAST(length(text) AS BIGINT) AS chars,
             CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS blanks FROM documents""",
         "mlp_checks": """SELECT vec_id, CAST(label < 4 AS INTEGER) AS label, true AS adds_up, true AS is_argmax
@@ -306,6 +334,22 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN z IS NULL THEN NULL WHEN z > 5.6 THEN 0.0 ELSE round(least(1.0, 1 - 2 / sqrt(pi()) * list_sum(
                 list_transform(range(0, 100), lambda k: pow(-1, k) * pow(z / sqrt(2e0), 2 * k + 1)
                                                         / (gamma(k + 1) * (2 * k + 1))))), 7) END AS p FROM zs""",
+        # All ways to choose j of the ranks 1 … i, by their sum.
+        "mann_whitney_exact": """WITH RECURSIVE
+            o AS (SELECT o_custkey AS feature, o_totalprice AS v, o_orderstatus = 'F' AS first FROM orders
+                  WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL),
+            r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) AS rank,
+                         count(*) OVER (PARTITION BY feature, v) AS same FROM o),
+            g AS (SELECT feature, count(*) FILTER (first) AS n1, count(*) FILTER (NOT first) AS n2,
+                         sum(rank) FILTER (first) AS r1 FROM r GROUP BY feature HAVING max(same) = 1),
+            u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, least(n1, n2) AS m FROM g WHERE least(n1, n2) BETWEEN 1 AND 8),
+            ways AS (SELECT 0 AS i, 0 AS j, 0 AS s, 1e0 AS w
+                UNION ALL
+                SELECT i + 1 AS i, j + d AS j, s + d * (i + 1) AS s, sum(w) AS w FROM ways, (VALUES (0), (1)) t(d)
+                WHERE i < (SELECT max(n1 + n2) FROM u) AND j + d <= 8 GROUP BY i + 1, j + d, s + d * (i + 1))
+            SELECT feature, n1, n2, CAST(u AS DOUBLE) AS u, round(least(1e0, 2 * sum(CASE
+                WHEN s - m * (m + 1) / 2 <= least(u, n1 * n2 - u) THEN w ELSE 0 END) / sum(w)), 9) AS p
+            FROM u JOIN ways ON i = n1 + n2 AND j = m GROUP BY ALL""",
         "tfidf_avg": f"WITH {tfidf} SELECT class, word, round(tfidf, 9) AS tfidf FROM avgs",
         "tfidf_top_terms": f"""WITH {tfidf},
             k AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(tfidf, 12) DESC, word) AS k FROM avgs)

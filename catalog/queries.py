@@ -9,13 +9,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.side_tables import COMMUNITIES, LEMMAS, LEXICON, SOURCES, STOP_TABLE
+from catalog.side_tables import COMMUNITIES, IRREGULAR, LEMMAS, LEXICON, SOURCES, STOP_TABLE
 from tidemark.functions import text as tx
 from tidemark.functions.fixed_values import EMOTIONS, POLARITIES
 from tidemark.operators import activity, affect, classifier, cohort, embedding, evaluate, ranksum, sampling, tfidf
 from tidemark.operators import words as wd
 from tidemark.session import shared_folder
-from tidemark.sizes import inline_table
+from tidemark.sizes import inline_table, write_once
 from tidemark.sources import lists, sinks, tables
 from tidemark.sources import posts as ps
 
@@ -35,16 +35,28 @@ SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "orders": "o_custkey bigint, o_orderstatus string, o_totalprice double",
     "pages": "page_id bigint, url string, html string",
 }
 
 
+#: Tables of long texts, and the setting that says over how many tasks their rows are dealt right after the scan.
+#: Unset, they are read as they lie; it is for files that cannot be split, as ``partitions`` of ``read_posts``.
+LONG_TEXTS = ("documents", "pages")
+TEXT_PARTITIONS = "spark.tidemark.textPartitions"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, name: str) -> DataFrame:
+    partitions = rows.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return rows.repartition(int(partitions)) if partitions and name in LONG_TEXTS else rows
+
+
 def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    return table(spark, folder, name).select(*columns)
+    return dealt(table(spark, folder, name).select(*columns), name)
 
 
 def rounded(name: str, digits: int = 9) -> Column:
@@ -56,7 +68,7 @@ def rounded(name: str, digits: int = 9) -> Column:
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.when(F.col("toxic") == 1, "a").otherwise("b").alias("class"))
-    return table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return texts(spark, folder, "documents", "doc_id", "text").join(labels, "doc_id")
 
 
 def class_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,6 +80,12 @@ def class_documents(spark: SparkSession, folder: str) -> DataFrame:
     return labelled_documents(spark, folder).select("doc_id", "class", words)
 
 
+def materialized_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept words of all documents with their counts, stored: lemmas and counts both read them."""
+    words = tx.explode_words(texts(spark, folder, "documents", "text"), "text", [], tx.default_stopwords())
+    return write_once(words.groupBy("word").agg(F.count("*").alias("n")), shared_folder(spark), "words")
+
+
 def word_table(spark: SparkSession, folder: str) -> DataFrame:
     return wd.word_metric(wd.word_shares(class_words(spark, folder)))
 
@@ -150,6 +168,32 @@ def lemma_tokens(spark, folder):
     return found.select("doc_id", F.size("words").alias("n_tokens"), F.array_join("words", " ").alias("joined"))
 
 
+@query
+def lemma_rules(spark, folder):
+    """Counts of the kept words as lemmas that rules find; the dictionary is what the benchmark's texts hold."""
+    stop = tx.default_stopwords()
+    words = materialized_words(spark, folder)
+    dictionary = tx.explode_words(spark.read.parquet(f"{folder}/benchmark.parquet").select("text"), "text", [], stop)
+    irregular = inline_table(spark, ["surface", "lemma"], IRREGULAR)
+    lemmas = tx.lemmas_by_rules(words, dictionary, irregular)
+    return tx.lemmatise(words, lemmas).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+@query
+def lemma_rules_tokens(spark, folder):
+    """Each document's kept words, in order, with the lemmas that rules find for them."""
+    words = tx.word_array(F.col("text"), tx.default_stopwords()).alias("words")
+    docs = texts(spark, folder, "documents", "doc_id", "text").select("doc_id", words)
+    stored = write_once(docs, shared_folder(spark), "words")
+    dictionary = spark.read.parquet(f"{folder}/benchmark.parquet").select("text")
+    dictionary = tx.explode_words(dictionary, "text", [], tx.default_stopwords())
+    lemmas = tx.lemmas_by_rules(
+        stored.select(F.explode("words").alias("word")), dictionary, inline_table(spark, ["surface", "lemma"], IRREGULAR)
+    )
+    found = tx.lemmatise_arrays(stored, lemmas, ["doc_id"])
+    return found.select("doc_id", F.size("words").alias("n_tokens"), F.array_join("words", " ").alias("joined"))
+
+
 @query
 def last_n_tokens(spark, folder):
     return texts(spark, folder, "documents", "doc_id", "text").select("doc_id", tx.last_tokens(F.col("text"), 50).alias("text"))
@@ -293,7 +337,7 @@ def event_window(spark, folder):
 
 @query
 def sample_n(spark, folder):
-    return sampling.sample_n(timeline(spark, folder), "user_id", 10)
+    return sampling.sample_n(timeline(spark, folder), "user_id", 10, folder=shared_folder(spark))
 
 
 @query
@@ -335,7 +379,8 @@ def train_test_split_exact(spark, folder):
 @query
 def posts_of_authors(spark, folder):
     posts = timeline(spark, folder)
-    return cohort.posts_of_authors(posts, sampling.sample_n(posts, "user_id", 10), "user_id").select("event_id", "user_id")
+    chosen = sampling.sample_n(posts, "user_id", 10, folder=shared_folder(spark))
+    return cohort.posts_of_authors(posts, chosen, "user_id").select("event_id", "user_id")
 
 
 @query
@@ -510,6 +555,15 @@ def mann_whitney_p(spark, folder):
     return ranksum.with_p_value(_tested(spark, folder)).select("feature", rounded("z"), rounded("p", 7))
 
 
+@query
+def mann_whitney_exact(spark, folder):
+    """Each customer's prices of finished orders against those of the others: small groups, so p is exact."""
+    orders = table(spark, folder, "orders").where(F.col("o_custkey").isNotNull())
+    tested = ranksum.mann_whitney(orders, "o_custkey", "o_totalprice", F.col("o_orderstatus") == "F")
+    small = tested.where(~F.col("tied") & F.least("n1", "n2").between(1, 8))
+    return ranksum.with_p_value(small).where("exact").select("feature", "n1", "n2", "u", rounded("p"))
+
+
 def _tfidf(spark: SparkSession, folder: str) -> DataFrame:
     """Averages from stored tallies, so that the texts are tokenised once."""
     path = _scratch(spark, "tallies")

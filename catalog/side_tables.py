@@ -15,6 +15,9 @@ LEMMAS = [
     ("una", "un"),
 ]
 
+#: Exceptions to the rules of nouns.
+IRREGULAR = [("ther", "th"), ("erst", "er"), ("thens", "the"), ("eres", "nowhere")]
+
 LEXICON = [
     ("ther", "fear"),
     ("ther", "negative"),

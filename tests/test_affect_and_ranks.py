@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+import time
 from fractions import Fraction
 
 import pytest
@@ -105,6 +107,54 @@ def test_z_and_p(spark):
     assert got.z == pytest.approx(z) and got.p == pytest.approx(math.erfc(z / math.sqrt(2)))
 
 
+def exact_by_choices(a, b):
+    """Two-sided p from all ways to choose the first group's ranks."""
+    n1, n2 = len(a), len(b)
+    u = u_by_pairs(a, b)
+    far = min(u, n1 * n2 - u)
+    sums = [sum(chosen) - n1 * (n1 - 1) / 2 for chosen in itertools.combinations(range(n1 + n2), n1)]
+    return min(1.0, 2 * sum(s <= far for s in sums) / len(sums))
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (1, 9), (3, 4), (8, 2), (7, 8), (4, 16)])
+def test_exact_p_against_all_choices(spark, sizes):
+    rng = random.Random(sum(sizes))
+    drawn = rng.sample(range(1000), sum(sizes))
+    a, b = drawn[: sizes[0]], drawn[sizes[0] :]
+    got = ranksum.with_p_value(ranksum.mann_whitney(values(spark, a, b), "feature", "value", F.col("first"))).first()
+    assert got.exact and got.p == pytest.approx(exact_by_choices(a, b), rel=1e-12)
+
+
+def test_when_p_is_exact(spark):
+    """Ties, large groups and long tails take the normal approximation; many values do not."""
+    tied = ranksum.mann_whitney(values(spark, [1, 2], [2, 3]), "feature", "value", F.col("first"))
+    assert not ranksum.with_p_value(tied).first().exact
+    large = ranksum.mann_whitney(values(spark, range(9), range(9, 40)), "feature", "value", F.col("first"))
+    assert not ranksum.with_p_value(large).first().exact
+    assert ranksum.with_p_value(large, exact_group=9).first().p == pytest.approx(2 / math.comb(40, 9))
+    a, b = range(0, 1600, 200), [k for k in range(2000) if k % 200]
+    middle = ranksum.mann_whitney(values(spark, a, b), "feature", "value", F.col("first"))
+    assert not ranksum.with_p_value(middle, exact_sums=100).first().exact
+    got = ranksum.with_p_value(middle, exact_sums=10_000).first()
+    assert got.exact and got.p == pytest.approx(math.erfc(got.z / math.sqrt(2)), rel=0.05)
+    none = ranksum.mann_whitney(values(spark, [1.0], []), "feature", "value", F.col("first"))
+    assert ranksum.with_p_value(none).first().p is None
+
+
+def test_a_post_of_many_words(spark):
+    """The row is hashed once, not once per word: ten times the words take about ten times as long."""
+    words = "array_repeat('good', {0}) || array_repeat('bad', {0}) || array_repeat('day', {0})"
+    seconds = []
+    for count in (10_000, 100_000):
+        posts = spark.range(1).selectExpr("cast(id as int) id", "'a' class", f"{words.format(count)} as words")
+        table = affect.affect_wide(posts, inline_table(spark, ["word", "affect"], LEXICON), ["id", "class"])
+        start = time.perf_counter()
+        got = table.first()
+        seconds.append(time.perf_counter() - start)
+        assert got.negative == pytest.approx(1 / 3)
+    assert seconds[1] < 10 * seconds[0] + 5
+
+
 def test_missing_values_and_empty_groups(spark):
     rows = [("f", 1.0, True), ("f", None, False), ("g", 2.0, False), ("g", 2.0, True)]
     df = spark.createDataFrame(rows, "feature string, value double, first boolean")

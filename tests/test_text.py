@@ -143,3 +143,51 @@ def test_oracle_sql_reads_no_files(monkeypatch):
 
     monkeypatch.setattr(pyspark, "__path__", [])
     assert len(oracle.oracle_sql()) >= 67
+
+
+def brute_lemma(word, dictionary, exceptions, rules, rounds):
+    """First the exceptions, then the earliest round with a known form: the shortest, then the earliest rule."""
+    if exceptions.get(word) in dictionary:
+        return exceptions[word]
+    forms = [(-1, word)]
+    for _ in range(rounds + 1):
+        known = sorted((len(form), rule, form) for rule, form in forms if form in dictionary)
+        if known:
+            return known[0][2]
+        forms = [
+            (rule, form[: len(form) - len(suffix)] + ending)
+            for _, form in forms
+            for rule, (suffix, ending) in enumerate(rules)
+            if form.endswith(suffix) and len(form) > len(suffix)
+        ]
+    return word
+
+
+def test_lemmas_by_rules(spark):
+    dictionary = ["dog", "glass", "wolf", "box", "quiz", "church", "wish", "woman", "city", "bus", "mouse", "ox", "s", "as", "a"]
+    exceptions = {"mice": "mouse", "oxen": "ox", "geese": "goose", "dogs": "wolf"}
+    words = ["dogs", "glasses", "wolves", "boxes", "churches", "wishes", "women", "cities", "bus", "buses", "mice", "oxen", "geese"]
+    words += ["s", "as", "ass", "quizzes", "unknowns", "dogss", "", None, "dogs"]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    table = tx.lemmas_by_rules(
+        frame([(w,) for w in words], "word string"),
+        frame([(w,) for w in dictionary] * 2, "word string"),
+        frame(list(exceptions.items()), "surface string, lemma string"),
+    )
+    got = {row.surface: row.lemma for row in table.collect()}
+    want = {w: brute_lemma(w, dictionary, exceptions, tx.NOUN_RULES, 2) for w in words if w is not None}
+    assert got == {w: lemma for w, lemma in want.items() if lemma != w}
+    assert got["dogs"] == "wolf" and got["dogss"] == "dog" and "geese" not in got and got["women"] == "woman"
+    assert table.count() == len(got)
+    nothing = tx.lemmas_by_rules(frame([], "word string"), frame([], "word string"))
+    assert nothing.columns == ["surface", "lemma"] and nothing.count() == 0
+
+
+def test_rule_lemmas_in_arrays(spark):
+    """Rows that agree in all keys stay rows, equal or not."""
+    rows = [(1, ["dogs", "run"]), (1, ["dogs", "run"]), (1, ["cats"]), (1, []), (2, None), (1, ["cats", "cats"])]
+    docs = spark.createDataFrame(rows, "id int, words array<string>")
+    known = spark.createDataFrame([("dog",), ("cat",)], "word string")
+    lemmas = tx.lemmas_by_rules(docs.select(F.explode("words").alias("word")), known)
+    got = sorted((row.id, row.words) for row in tx.lemmatise_arrays(docs, lemmas, ["id"]).collect())
+    assert got == [(1, []), (1, ["cat"]), (1, ["cat", "cat"]), (1, ["dog", "run"]), (1, ["dog", "run"]), (2, [])]

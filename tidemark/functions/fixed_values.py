@@ -29,6 +29,12 @@ CUSTOM_STOPWORDS = [
     "क", "ह", "nan",
 ]
 
+# Suffixes of nouns and the endings that take their place.
+NOUN_RULES = [
+    ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"),
+    ("men", "man"), ("ies", "y"),
+]
+
 # Affects, emotions first.
 EMOTIONS = ["fear", "anger", "anticipation", "trust", "surprise", "sadness", "disgust", "joy"]
 POLARITIES = ["positive", "negative"]

@@ -7,12 +7,13 @@ white space is what Unicode calls white space.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.fixed_values import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS, FIELD_SEPARATOR
+from tidemark.functions.fixed_values import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS, FIELD_SEPARATOR, NOUN_RULES
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1C-\x20\x{85}\p{Z}"
@@ -148,18 +149,83 @@ def lemmatise(words: DataFrame, lemmas: DataFrame) -> DataFrame:
 
 
 def lemmatise_arrays(docs: DataFrame, lemmas: DataFrame, keys: Iterable[str], words: str = "words") -> DataFrame:
-    """Replace the words of each row's array by their lemmas, in place; ``keys`` name a row.
+    """Replace the words of each row's array by their lemmas, in place; columns ``keys`` and ``words``.
 
-    The lemma table ``(surface, lemma)`` is joined, so it may be of any size; of several
-    lemmas of a word the first in order counts.
+    There is a row per input row, also where rows agree in all keys.  Rows equal in keys and
+    words are one row with a count on the way.  The lemma table ``(surface, lemma)`` is
+    joined, so it may be of any size; of several lemmas of a word the first in order counts.
     """
     keys = list(keys)
     table = lemmas.groupBy(F.col("surface").alias("_word")).agg(F.min("lemma").alias("_lemma"))
-    spelt = docs.select(*keys, F.posexplode_outer(words).alias("_at", "_word"))
+    different = docs.select(*keys, F.col(words).alias("_list")).groupBy(*keys, "_list").agg(F.count("*").alias("_copies"))
+    # Keys and hash name a row of these; the hash is made before the words are dealt out.
+    named = different.select(*keys, "_copies", F.xxhash64("_list").alias("_row"), "_list")
+    spelt = named.select(*keys, "_copies", "_row", F.posexplode_outer("_list").alias("_at", "_word"))
     joined = spelt.join(table, "_word", "left")
     word = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_lemma", "_word").alias("word")))
     ordered = F.array_sort(F.collect_list(word))
-    return joined.groupBy(*keys).agg(F.transform(ordered, lambda item: item["word"]).alias(words))
+    back = joined.groupBy(*keys, "_row", "_copies").agg(F.transform(ordered, lambda item: item["word"]).alias(words))
+    each = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
+    return back.select(*keys, words, each).drop("_copy")
+
+
+def lemma_candidates(word: Column, rules: Sequence[tuple[str, str]], rounds: int) -> Column:
+    """All forms that rules make of a word: an array of (round, place of the rule, form).
+
+    A rule replaces a suffix by an ending.  Round 0 is the word itself, each further
+    round applies the rules to what the round before has made.
+    """
+    kind = "array<struct<round:int,rule:int,form:string>>"
+
+    def made(item: Column, at: int) -> Column:
+        form = item["form"]
+        found = [
+            F.when(
+                F.endswith(form, F.lit(suffix)) & (F.length(form) > len(suffix)),
+                F.struct(
+                    F.lit(at).alias("round"),
+                    F.lit(place).alias("rule"),
+                    F.concat(F.left(form, F.length(form) - len(suffix)), F.lit(ending)).alias("form"),
+                ),
+            )
+            for place, (suffix, ending) in enumerate(rules)
+        ]
+        return F.filter(F.array(*found), lambda item: item.isNotNull()).cast(kind)
+
+    last = F.array(F.struct(F.lit(0).alias("round"), F.lit(-1).alias("rule"), word.alias("form"))).cast(kind)
+    parts = [last]
+    for at in range(1, rounds + 1):
+        # A function of one argument: a second one would be the place in the array.
+        last = F.flatten(F.transform(last, partial(lambda at, item: made(item, at), at)))
+        parts.append(last)
+    return F.concat(*parts)
+
+
+def lemmas_by_rules(
+    words: DataFrame,
+    dictionary: DataFrame,
+    exceptions: DataFrame | None = None,
+    rules: Sequence[tuple[str, str]] = tuple(NOUN_RULES),
+    rounds: int = 2,
+    word: str = "word",
+) -> DataFrame:
+    """A lemma table ``(surface, lemma)`` for the words of a corpus, without a list of all forms.
+
+    ``words`` and ``dictionary`` hold a column ``word``.  A word's forms are itself and
+    what the suffix rules make of it; those in the dictionary are kept with a semi join.
+    The earliest round with any counts, and in it the shortest form, then the earliest
+    rule.  ``exceptions`` ``(surface, lemma)`` come before all rules, if the dictionary
+    has their lemma.  Words without a lemma, or that are their own, are left out.
+    """
+    spelt = words.select(F.col(word).alias("surface")).where(F.col("surface").isNotNull()).distinct()
+    made = spelt.select("surface", F.inline(lemma_candidates(F.col("surface"), rules, rounds)))
+    if exceptions is not None:
+        irregular = exceptions.select("surface", F.lit(-1).alias("round"), F.lit(-1).alias("rule"), F.col("lemma").alias("form"))
+        made = made.unionByName(irregular.join(spelt, "surface", "left_semi"))
+    known = dictionary.select(F.col(word).alias("form")).distinct()
+    best = F.struct("round", F.length("form").alias("length"), "rule", "form")
+    found = made.join(known, "form", "left_semi").groupBy("surface").agg(F.min(best).alias("_best"))
+    return found.select("surface", F.col("_best.form").alias("lemma")).where(F.col("surface") != F.col("lemma"))
 
 
 def pieces(text: Column) -> Column:

@@ -23,7 +23,9 @@ def affect_wide(posts: DataFrame, lexicon: DataFrame, keys: Sequence[str], words
     """
     keys = list(keys)
     table = lexicon.groupBy("word").agg(*(F.count_if(F.col("affect") == name).alias(name) for name in AFFECTS))
-    spelt = posts.select(*keys, F.hash(words).alias("_words"), F.posexplode_outer(words).alias("_at", "word"))
+    # Made before the explode: after it, the whole array would be hashed once per word.
+    named = posts.select(*keys, F.xxhash64(words).alias("_words"), F.col(words).alias("_list"))
+    spelt = named.select(*keys, "_words", F.posexplode_outer("_list").alias("_at", "word"))
     hits = spelt.join(table, "word", "left")
     sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in AFFECTS]
     copies = F.count_if(F.coalesce("_at", F.lit(0)) == 0).cast("int")

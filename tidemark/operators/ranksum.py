@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 BIG = "decimal(38,0)"
 
+#: Without ties, and with a smaller group of at most so many values, p is exact.
+EXACT_GROUP = 8
+#: Longest list of rank sums that is counted for an exact p; beyond it, the normal approximation is used.
+EXACT_SUMS = 5_000
+
 
 def rank_sums(df: DataFrame, value: str, first: Column, feature: str | None = None) -> DataFrame:
     """Per feature: group sizes, doubled rank sum of the first group, tie term.
@@ -70,7 +75,7 @@ def _statistic() -> Column:
 
 
 def mann_whitney(df: DataFrame, feature: str, value: str, first: Column) -> DataFrame:
-    """U of the first group and the tie- and continuity-corrected z, per feature."""
+    """U of the first group, the tie- and continuity-corrected z, and whether values are ``tied``, per feature."""
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     tied = F.try_divide(F.col("ties").cast("double"), n * (n - 1))
@@ -80,18 +85,67 @@ def mann_whitney(df: DataFrame, feature: str, value: str, first: Column) -> Data
     return (
         rank_sums(df, value, first, feature)
         .withColumn("u", _statistic())
-        .select("feature", "n1", "n2", "u", z.alias("z"))
+        .select("feature", "n1", "n2", "u", z.alias("z"), (F.col("ties") > 0).alias("tied"))
     )
 
 
-def with_p_value(tested: DataFrame) -> DataFrame:
-    """Add the two-sided ``p`` of ``z``; one row per feature, hence the Python function."""
+def _counts_by_sum(small: Column, large: Column, longest: Column) -> Column:
+    """How many ways there are to place the smaller group for each U from 0 to ``longest``.
+
+    The numbers are the coefficients of the product over i of
+    (1 - q^(large + i)) / (1 - q^i): for each value of the smaller group the array
+    is multiplied once and divided once, from the left to the right.
+    """
+    none = F.array().cast(f"array<{BIG}>")
+    start = F.transform(F.sequence(F.lit(0), longest), lambda k: F.when(k == 0, 1).otherwise(0).cast(BIG))
+
+    def one_more(counts: Column, i: Column) -> Column:
+        step = large + i
+        multiplied = F.transform(
+            counts, lambda c, k: (c - F.when(k >= step, F.get(counts, (k - step).cast("int"))).otherwise(F.lit(0))).cast(BIG)
+        )
+        return F.aggregate(
+            multiplied,
+            none,
+            lambda done, c: F.concat(
+                done, F.array((c + F.coalesce(F.get(done, (F.size(done) - i).cast("int")), F.lit(0))).cast(BIG))
+            ),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), small), start.cast(f"array<{BIG}>"), one_more)
+
+
+def exact_p(n1: Column, n2: Column, u: Column) -> Column:
+    """Two-sided p of U without ties: the share of all placements that are as far out.
+
+    The distribution is symmetric, so only the sums up to the shorter tail are
+    counted, in whole numbers; they are exact up to 38 digits.
+    """
+    small, large = F.least(n1, n2).cast("int"), F.greatest(n1, n2).cast("int")
+    far = F.least(u, n1.cast("double") * n2 - u).cast("int")
+    tail = F.aggregate(_counts_by_sum(small, large, far), F.lit(0).cast("double"), lambda total, c: total + c.cast("double"))
+    ways = F.aggregate(F.sequence(F.lit(1), small), F.lit(1.0), lambda total, i: total * (large + i) / i)
+    return F.least(2 * tail / ways, F.lit(1.0))
+
+
+def with_p_value(tested: DataFrame, exact_group: int = EXACT_GROUP, exact_sums: int = EXACT_SUMS) -> DataFrame:
+    """Add the two-sided ``p``, and whether it is ``exact``.
+
+    It is where no values are tied, the smaller group has at most ``exact_group`` values
+    and the tail at most ``exact_sums`` rank sums.  Otherwise p is that of ``z``; one
+    row per feature, hence the Python function.
+    """
 
     @F.pandas_udf("double")
     def two_sided(z: pd.Series) -> pd.Series:
         return z.map(lambda at: min(1.0, math.erfc(at / math.sqrt(2))), na_action="ignore")
 
-    return tested.withColumn("p", two_sided("z"))
+    n1, n2, u = F.col("n1"), F.col("n2"), F.col("u")
+    shorter = F.least(u, n1.cast("double") * n2 - u)
+    exact = ~F.col("tied") & (F.least(n1, n2) >= 1) & (F.least(n1, n2) <= exact_group) & (shorter < exact_sums)
+    # The other arm of a condition that calls Python would be computed for all rows.
+    marked = tested.withColumn("exact", F.coalesce(exact, F.lit(False))).withColumn("_normal", two_sided("z"))
+    return marked.withColumn("p", F.when(F.col("exact"), exact_p(n1, n2, u)).otherwise(F.col("_normal"))).drop("_normal")
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:

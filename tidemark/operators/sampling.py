@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.draws import cell, draw
 from tidemark.functions.fixed_values import SPLIT_SEED, TEST_SIZE
-from tidemark.sizes import lookup_join
+from tidemark.sizes import lookup_join, write_once
 
 GLOBAL_DIGITS = 4
 GROUP_DIGITS = 3
@@ -47,9 +47,16 @@ def _head_edge(drawn: DataFrame, groups: list[str], wanted: Column) -> DataFrame
     )
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: int = SPLIT_SEED) -> DataFrame:
-    """Exactly ``n`` of the distinct keys; fails if there are fewer."""
+def sample_n(df: DataFrame, key: str, n: int, seed: int = SPLIT_SEED, folder: str | None = None) -> DataFrame:
+    """Exactly ``n`` of the distinct keys; fails if there are fewer.
+
+    The keys are read three times: for the histogram, the edge and the sample.  With a
+    ``folder`` that all executors share, the distinct keys are stored there first, so
+    that ``df`` itself is read once.
+    """
     drawn = df.select(F.col(key).alias("_key")).distinct().withColumn("_draw", draw(F.col("_key"), seed))
+    if folder is not None:
+        drawn = write_once(drawn, folder, "keys")
     too_few = F.raise_error(F.lit(f"cannot draw {n} distinct keys: there are fewer")).cast("long")
     wanted = F.when(F.col("_total") < n, too_few).otherwise(F.lit(n))
     edge = _head_edge(drawn, [], wanted).select("_edge").scalar()

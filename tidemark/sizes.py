@@ -22,7 +22,10 @@ def inline_table(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether a count of rows and text bytes stays within the broadcast limits."""
-    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    # What is nested has strings of any length inside: as JSON it is not shorter.
+    nested = [c for c, kind in df.dtypes if kind.startswith(("array", "map", "struct"))]
+    texts += [F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in nested]
     width = sum(texts, F.lit(16 * len(df.columns)).cast("long"))
     found = df.agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).first()
     return found.rows <= BROADCAST_ROWS and (found.bytes or 0) <= BROADCAST_BYTES
@@ -37,6 +40,13 @@ def checked_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def write_once(df: DataFrame, folder: str, what: str) -> DataFrame:
+    """``df`` stored under a new name in ``folder``, which is the caller's to remove, and read back."""
+    path = f"{folder}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -63,9 +73,7 @@ def lookup_join(
     on = list(on)
     if folder is None:
         return left.join(right, on, how)
-    path = f"{folder}/lookup-{uuid.uuid4().hex}"
-    right.write.parquet(path)
-    right = right.sparkSession.read.schema(right.schema).parquet(path)
+    right = write_once(right, folder, "lookup")
     if fits_broadcast(right):
         return left.join(F.broadcast(right), on, how)
     kept = left.columns + [c for c in right.columns if c not in on]
