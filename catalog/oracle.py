@@ -231,6 +231,21 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN lang = 'en' THEN 'comments' ELSE 'submissions' END AS data_type FROM documents""",
         "author_json_roundtrip": """SELECT source AS author, text AS body, doc_id AS created_utc,
             CASE WHEN lang = 'en' THEN 'comments' ELSE 'submissions' END AS kind FROM documents""",
+        "author_json_batches": "SELECT source AS author, text AS body, doc_id AS created_utc FROM documents",
+        "cohort_by_author": """WITH e AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id % 7 = 0)
+            SELECT user_id, event_id, 'new' AS kind FROM events WHERE event_type = 'error' AND user_id % 7 = 0
+            UNION ALL SELECT user_id, event_id, event_type FROM events WHERE user_id NOT IN (SELECT user_id FROM e)""",
+        "line_numbers": """SELECT author, doc_id, line_number FROM (
+            SELECT source AS author, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line_number
+            FROM documents) WHERE doc_id % 7 <> 3""",
+        "cut_by_line": f"""WITH l AS (
+                SELECT *, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts DESC, event_id DESC) AS line FROM events),
+            c AS (SELECT *, min(CASE WHEN event_type IN ({listed}) THEN line END) OVER (PARTITION BY user_id) AS cut FROM l)
+            SELECT event_id, user_id FROM c WHERE cut IS NULL OR line < cut""",
+        "csv_quoted_lines": """SELECT doc_id, source, 'say "' || source || '",' || chr(10) || text AS text FROM documents""",
+        "network_checks": """SELECT vec_id, CAST(label < 4 AS INTEGER) AS label, true AS adds_up, true AS is_argmax FROM (
+            SELECT *, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) AS k, count(*) OVER () AS n FROM embeddings)
+            WHERE k <= ceil(0.2e0 * n)""",
         "name_list_roundtrip": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS author FROM events",
         "csv_new_users": """SELECT strftime(f, '%Y-%m-%d') AS day, count(*) AS n
             FROM (SELECT min(ts) AS f FROM events GROUP BY user_id) GROUP BY 1""",

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from catalog.side_tables import COMMUNITIES, IRREGULAR, LEMMAS, LEXICON, SOURCES, STOP_TABLE
 from tidemark.functions import text as tx
 from tidemark.functions.fixed_values import EMOTIONS, POLARITIES
-from tidemark.operators import activity, affect, classifier, cohort, embedding, evaluate, ranksum, sampling, tfidf
+from tidemark.operators import activity, affect, classifier, cohort, embedding, evaluate, network, ranksum, sampling, tfidf
 from tidemark.operators import words as wd
+from tidemark.plans import jobs
 from tidemark.session import shared_folder
 from tidemark.sizes import inline_table, write_once
 from tidemark.sources import lists, sinks, tables
@@ -255,6 +256,74 @@ def author_json_roundtrip(spark, folder):
     return back.select("author", "body", "created_utc", kind)
 
 
+@query
+def author_json_batches(spark, folder):
+    """Appends by language, each of them made twice and one of them torn, read back."""
+    path = _scratch(spark, "author_json")
+    docs = texts(spark, folder, "documents", "doc_id", "source", "lang", "text").select(
+        F.col("source").alias("author"),
+        F.col("text").alias("body"),
+        F.col("doc_id").alias("created_utc"),
+        F.lit("comments").alias("data_type"),
+        F.coalesce("lang", F.lit("none")).alias("lang"),
+    )
+    for lang in ["en", "de", "en", "rest", "rest"]:
+        chosen = ~F.col("lang").isin("en", "de") if lang == "rest" else F.col("lang") == lang
+        sinks.write_author_json(docs.where(chosen).drop("lang"), path, batch=lang)
+    # What a run leaves that ends before its batch is listed.
+    docs.drop("lang").write.json(f"{path}/data/torn")
+    back = ps.read_posts(spark, sinks.author_json_paths(spark, path), pattern="*.json")
+    return back.select("author", "body", "created_utc")
+
+
+@query
+def cohort_by_author(spark, folder):
+    """A cohort of all events of which some users get new rows: these in place of theirs, the rest as it was."""
+    path, work = _scratch(spark, "cohort"), shared_folder(spark)
+    rows = timeline(spark, folder).select("user_id", "event_id", F.col("event_type").alias("kind"))
+    sinks.replace_authors(rows, path, work, 16, "user_id")
+    replacing = rows.where("kind = 'error' AND user_id % 7 = 0").withColumn("kind", F.lit("new"))
+    sinks.replace_authors(replacing, path, work, 16, "user_id")
+    return spark.read.parquet(path).select("user_id", "event_id", "kind")
+
+
+@query
+def line_numbers(spark, folder):
+    """Documents as JSON lines, a file for each source with one line in seven broken, and each good line's number in its file."""
+    path = _scratch(spark, "lines")
+    docs = table(spark, folder, "documents")
+    line = F.to_json(F.struct(F.col("source").alias("author"), F.col("doc_id").alias("created_utc"), F.col("text").alias("body")))
+    lines = docs.select("source", "doc_id", F.when(F.col("doc_id") % 7 == 3, F.lit("broken")).otherwise(line).alias("value"))
+    ordered = lines.repartition("source").sortWithinPartitions("source", "doc_id")
+    ordered.select("source", "value").write.partitionBy("source").text(path)
+    posts = ps.read_posts(spark, [path], line_numbers=shared_folder(spark))
+    return posts.select("author", F.col("created_utc").alias("doc_id"), "line_number")
+
+
+@query
+def cut_by_line(spark, folder):
+    """Each user's events before the line of the first listed one, in files whose lines run backwards in time."""
+    path = _scratch(spark, "lines")
+    rows = timeline(spark, folder).select((F.col("user_id") % 8).alias("part"), "user_id", "event_id", "event_type", "ts")
+    line = F.to_json(F.struct(F.col("user_id").alias("author"), F.col("event_type").alias("subreddit"), F.col("event_id").alias("created_utc")))
+    ordered = rows.repartition("part").sortWithinPartitions("part", F.desc("ts"), F.desc("event_id"))
+    ordered.select("part", line.alias("value")).write.partitionBy("part").text(path)
+    posts = ps.read_posts(spark, [path], line_numbers=shared_folder(spark))
+    kept = cohort.cut_by_position(posts, COMMUNITIES, "author", "subreddit", "line_number")
+    return kept.select(F.col("created_utc").alias("event_id"), F.col("author").cast("long").alias("user_id"))
+
+
+@query
+def csv_quoted_lines(spark, folder):
+    """Documents as CSV with line breaks and quotes inside of fields, read back in splits."""
+    path, work = _scratch(spark, "quoted"), shared_folder(spark)
+    docs = texts(spark, folder, "documents", "doc_id", "text", "source")
+    quoted = F.concat(F.lit('say "'), F.col("source"), F.lit('",\n'), F.col("text"))
+    sinks.write_csv(docs.select("doc_id", F.lit("2024-01-01 00:00:00"), "source", F.lit("x"), quoted.alias("text")), path, header=False)
+    rows = tables.read_dated_posts(spark, path, multi_line=True, folder=work)
+    return rows.select(F.col("number").cast("long").alias("doc_id"), F.col("uid").alias("source"), "text")
+
+
 @query
 def name_list_roundtrip(spark, folder):
     path = _scratch(spark, "names")
@@ -568,7 +637,7 @@ def _tfidf(spark: SparkSession, folder: str) -> DataFrame:
     """Averages from stored tallies, so that the texts are tokenised once."""
     path = _scratch(spark, "tallies")
     tallies = tables.materialize(spark, path, lambda: tfidf.word_tallies(class_documents(spark, folder), "doc_id"))
-    return tfidf.tfidf_average(tfidf.tfidf_weights(tallies, "doc_id"))
+    return tfidf.tfidf_average(tfidf.tfidf_weights(tallies, "doc_id", folder=shared_folder(spark)))
 
 
 @query
@@ -643,6 +712,28 @@ def mlp_predict(spark, folder):
     return classifier.predict(model, split.where("split = 'test'")).select("vec_id", "label", "probability", "prediction")
 
 
+def _network(spark, folder):
+    """Two epochs over the embeddings."""
+    rows = table(spark, folder, "embeddings").withColumn("label", (F.col("label") < 4).cast("int"))
+    plan = network.Plan(64, (32, 16, 8), batch=128)
+    return jobs.classify_with_network(spark, rows, _scratch(spark, "network"), plan, 2, "vec_id")
+
+
+@query
+def network_history(spark, folder):
+    return _network(spark, folder)[2]
+
+
+@query
+def network_checks(spark, folder):
+    """What must hold for a network's answers on the test part, whatever it learnt."""
+    p = F.col("probability")
+    return _network(spark, folder)[0].select(
+        "vec_id", "label", (F.abs(p[0] + p[1] - 1) < 1e-9).alias("adds_up"),
+        (F.col("prediction") == F.when(p[1] > p[0], 1).otherwise(0)).alias("is_argmax"),
+    )
+
+
 @query
 def argmax_class(spark, folder):
     return scored(spark, folder).select("vec_id", "prediction")

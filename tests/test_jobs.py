@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import session
+from tidemark.functions.text import lemmas_by_rules
 from tidemark.operators import cohort
+from tidemark.operators.network import Plan
 from tidemark.plans import jobs
 from tidemark.sizes import inline_table
 
@@ -125,6 +127,26 @@ def test_documents_embed_classify(spark, cohorts, tmp_path):
     assert report.columns == ["accuracy", "f1", "roc_auc"] and report.count() == 1
 
 
+def test_network_in_place_of_the_classifier(spark, cohorts, tmp_path):
+    dataset = jobs.embed_cohorts(*cohorts, ["Bad"], "id").cache()
+    plan = Plan(768, (16, 8), dropout=0.1, rate=0.02, batch=32)
+    scored, report, history = jobs.classify_with_network(spark, dataset, str(tmp_path), plan, 3)
+    assert scored.count() == -(-dataset.count() // 5) and report.count() == 1
+    rows = history.orderBy("epoch").collect()
+    assert [row.epoch for row in rows] == [1, 2, 3] and {row.n_valid for row in rows} == {scored.count()}
+    hits = scored.where(F.col("label") == F.col("prediction")).count()
+    assert rows[-1].accuracy == pytest.approx(hits / scored.count())
+
+
+def test_rule_lemmas_in_a_comparison(spark, cohorts):
+    words = spark.createDataFrame([("angrys",), ("happys",)], "word string")
+    known = spark.createDataFrame([("angry",)], "word string")
+    plural = [df.withColumn("body", F.regexp_replace("body", "angry|happy", "$0s")) for df in cohorts]
+    tokens = jobs.tokenised_posts(*plural, ["Bad"], "id", [], lemmas=lemmas_by_rules(words, known))
+    found = {row.word for row in tokens.select(F.explode("words").alias("word")).distinct().collect()}
+    assert {"angry", "happys"} <= found and "angrys" not in found
+
+
 def test_shuffle_partitions():
     assert session.shuffle_partitions_for(10) == 200
     assert session.shuffle_partitions_for(2**40) == 4096

@@ -19,7 +19,7 @@ def con():
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"embed_texts", "mlp_predict"}
+    assert set(QUERIES) - set(SQL) == {"embed_texts", "mlp_predict", "network_history"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -85,3 +85,7 @@ TEST_SIZE = 0.2
 SPLIT_SEED = 42
 BATCH_SIZE = 256
 EPOCHS = 10
+DROPOUT = 0.5
+LEARNING_RATE = 1e-3
+# Decay of the two moments, the least divisor, and weight decay.
+ADAMW = (0.9, 0.999, 1e-8, 0.01)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import TFIDF_PICKS
 from tidemark.functions.text import tally_words
+from tidemark.sizes import lookup_join
 
 
 def word_tallies(docs: DataFrame, doc: str, words: str = "words", label: str = "class") -> DataFrame:
@@ -24,11 +25,14 @@ def word_tallies(docs: DataFrame, doc: str, words: str = "words", label: str = "
     return tally_words(docs, [label, doc], words, lead="lead")
 
 
-def tfidf_weights(tallies: DataFrame, doc: str, label: str = "class") -> DataFrame:
+def tfidf_weights(tallies: DataFrame, doc: str, label: str = "class", folder: str | None = None) -> DataFrame:
     """One normalised weight per class, document and word, from :func:`word_tallies`.
 
-    The join on the word may be as skewed as the language is; it is an inner
-    join that adaptive execution splits.  Its other side has one narrow row per word.
+    Two narrow tables are joined to the tallies: a weight for each word, and a length for each
+    document, which its words add up to within their partition.  With a ``folder`` that
+    all executors share both are stored there and measured; what fits is broadcast,
+    so that the tallies themselves are not shuffled at all.  Otherwise they are by the
+    word, a join that adaptive execution splits, and by the document.
     """
     frequency = tallies.groupBy(label, "word").agg(F.count("*").alias("df"))
     # One row per class.
@@ -36,11 +40,11 @@ def tfidf_weights(tallies: DataFrame, doc: str, label: str = "class") -> DataFra
     idf = frequency.join(F.broadcast(sizes), label).select(
         label, "word", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    weighted = tallies.join(idf, ["word", label]).withColumn("w", F.col("tf") * F.col("idf"))
-    # A document's words, which fitted one row before.  The key with many values
-    # comes first: sorting compares it without looking at the others.
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc, label)))
-    return weighted.select(label, doc, "word", "n", (F.col("w") / length).alias("weight"))
+    weighted = lookup_join(tallies, idf, ["word", label], "inner", salt_by=[doc], folder=folder)
+    weighted = weighted.withColumn("w", F.col("tf") * F.col("idf"))
+    lengths = weighted.groupBy(doc, label).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_length"))
+    scaled = lookup_join(weighted, lengths, [doc, label], "inner", salt_by=["word"], folder=folder)
+    return scaled.select(label, doc, "word", "n", (F.col("w") / F.col("_length")).alias("weight"))
 
 
 def tfidf_average(weights: DataFrame, label: str = "class") -> DataFrame:

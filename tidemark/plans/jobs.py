@@ -4,6 +4,7 @@ Each step that several later steps read is stored below ``folder``, which must b
 storage all executors share (see :func:`tidemark.session.shared_folder`).  ``tag``
 names the input: with another tag, or other parameters, the steps are built anew in
 the same folder instead of being taken from the earlier run.
+:func:`tidemark.sources.tables.input_tag` makes one from the input's files.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.fixed_values import ENCODER_TOKENS, PLACEHOLDER_AUTHOR
+from tidemark.functions.fixed_values import ENCODER_TOKENS, EPOCHS, PLACEHOLDER_AUTHOR
 from tidemark.functions.text import (
     clean_text,
     default_stopwords,
@@ -22,7 +23,7 @@ from tidemark.functions.text import (
     token_source,
     word_array,
 )
-from tidemark.operators import affect, classifier, cohort, embedding, evaluate, ranksum, sampling, tfidf, words
+from tidemark.operators import affect, classifier, cohort, embedding, evaluate, network, ranksum, sampling, tfidf, words
 from tidemark.operators.activity import distinct_authors, event_window, new_users
 from tidemark.sources.tables import materialize
 
@@ -106,7 +107,7 @@ def compare_cohorts(
     wide = materialize(spark, f"{folder}/affects", lambda: affect.affect_wide(stored, lexicon, [key, "class"]), key, tag)
     tallies = materialize(spark, f"{folder}/tallies", lambda: tfidf.word_tallies(stored, key), key, tag)
     averages = materialize(
-        spark, f"{folder}/tfidf", lambda: tfidf.tfidf_average(tfidf.tfidf_weights(tallies, key)), key, tag
+        spark, f"{folder}/tfidf", lambda: tfidf.tfidf_average(tfidf.tfidf_weights(tallies, key, folder=folder)), key, tag
     )
     by_affect = affect.affect_per_post(wide, [key, "class"])
     tested = ranksum.mann_whitney(by_affect, "affect", "freq", F.col("class") == "a")
@@ -188,3 +189,26 @@ def classify(
         size, training, key, tag,
     )
     return scored, evaluate.report(scored)
+
+
+def classify_with_network(
+    spark: SparkSession,
+    dataset: DataFrame,
+    folder: str,
+    plan: network.Plan,
+    epochs: int = EPOCHS,
+    key: str = "author",
+    tag: str = "",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`classify` with the network of mini-batches; returns predictions, the report and a history per epoch."""
+    split = materialize(spark, f"{folder}/split", lambda: sampling.exact_split(dataset, key), key, tag)
+    train, test = (split.where(F.col("split") == part).drop("split") for part in ("train", "test"))
+    state, history = network.train_network(train, test, folder, plan, epochs, key, tag=tag)
+    answer = classifier.argmax_class(F.col("probability"))
+    scored = materialize(
+        spark,
+        f"{folder}/network-predictions",
+        lambda: network.predict_network(plan, state, test).withColumn("prediction", answer).withColumn("score", F.col("probability")[1]),
+        plan, epochs, key, tag,
+    )
+    return scored, evaluate.report(scored), history

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.splits import scanned_lines, with_line_numbers
+
 FIELDS = ["id", "author", "subreddit", "created_utc", "body", "selftext", "title"]
 # Every field is read as text: a number or a nested value keeps its JSON text,
 # so a field of an unexpected type does not make the line a bad one.
@@ -50,10 +52,9 @@ def folder_of_file(file_path: Column) -> Column:
     return F.element_at(F.split(file_path, "/"), -2)
 
 
-def _file_columns(lines: DataFrame, path: Column, block: Column, row: Column, positions: bool) -> DataFrame:
-    name = F.element_at(F.split(path, "/"), -1)
-    position = [F.struct(path.alias("file"), block.alias("block"), row.alias("row")).alias("pos")] if positions else []
-    return lines.select("value", path.alias("file"), data_type(name).alias("data_type"), *position)
+def _file_columns(lines: DataFrame, places: list[Column]) -> DataFrame:
+    name = F.element_at(F.split("file", "/"), -1)
+    return lines.select("value", "file", data_type(name).alias("data_type"), *places)
 
 
 def read_posts(
@@ -64,6 +65,7 @@ def read_posts(
     keep_raw: bool = False,
     partitions: int | None = None,
     positions: bool = False,
+    line_numbers: str | None = None,
 ) -> DataFrame:
     """Posts of all files below ``paths`` with ``file`` and ``data_type``.
 
@@ -74,12 +76,23 @@ def read_posts(
     ``positions`` adds ``pos``, which orders the lines of all files: by the file's
     path, and within it by the start of the split and a count, so a file may be
     read in many splits.  It is an order, not a line number; store the posts before use.
+
+    ``line_numbers`` is a folder all executors share: the lines are stored there and
+    numbered from 1 in each file, bad lines included, as ``line_number``.
     """
-    reader = spark.read.option("recursiveFileLookup", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-    scanned = _file_columns(reader.text(list(paths)), F.col("_metadata.file_path"), block, row, positions)
+    place = F.struct("file", "block", "row").alias("pos")
+    if line_numbers is not None:
+        lines = with_line_numbers(scanned_lines(spark, paths, line_numbers, pattern), line_numbers)
+        scanned = _file_columns(lines, [F.col("line_number"), *([place] if positions else [])])
+    else:
+        reader = spark.read.option("recursiveFileLookup", True)
+        if pattern:
+            reader = reader.option("pathGlobFilter", pattern)
+        path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+        lines = reader.text(list(paths)).select(
+            "value", path.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("row")
+        )
+        scanned = _file_columns(lines, [place] if positions else [])
     if partitions:
         scanned = scanned.repartition(partitions)
     return parse_lines(scanned, mode, keep_raw)
