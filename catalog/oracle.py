@@ -218,6 +218,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CAST(count(k.word) AS INTEGER) AS n_tokens,
                    coalesce(string_agg(k.word, ' ' ORDER BY k.at), '') AS joined
             FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id""",
+        "trained_texts": f"""WITH p AS (SELECT doc_id, unnest({split_doc("lower(text)")}) AS word FROM documents),
+            k AS (SELECT word FROM p GROUP BY word HAVING count(*) >= 40)
+            SELECT d.doc_id, count(k.word) AS known, CAST(16 AS INTEGER) AS dim, true AS is_unit
+            FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN k ON p.word = k.word GROUP BY d.doc_id""",
         "encoded_texts": """SELECT doc_id, CAST(length(text) AS BIGINT) AS chars,
             CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS blanks FROM documents""",
         "mlp_checks": """SELECT vec_id, CAST(label < 4 AS INTEGER) AS label, true AS adds_up, true AS is_argmax

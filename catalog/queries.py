@@ -676,6 +676,22 @@ def embed_texts(spark, folder):
     return embedding.embed_hashed(docs).select("conv_id", "embedding")
 
 
+@query
+def trained_texts(spark, folder):
+    """Documents as means of word vectors learnt from them: how many of their words are known, and that the means are unit vectors."""
+    docs, work = texts(spark, folder, "documents", "doc_id", "text"), shared_folder(spark)
+    vectors = write_once(embedding.train_word_vectors(docs, size=16, min_count=40), work, "vectors")
+    found = embedding.embed_averaged(docs, vectors, "doc_id", 16, folder=work)
+    words = docs.select("doc_id", F.explode(tx.pieces(F.lower("text"))).alias("word"))
+    known = words.join(vectors.select("word"), "word").groupBy("doc_id").agg(F.count("*").alias("known"))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x)
+    rows = found.join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    return rows.select(
+        "doc_id", "known", F.size("embedding").alias("dim"),
+        F.when(F.col("known") == 0, norm == 0).otherwise(F.abs(norm - 1) < 1e-5).alias("is_unit"),
+    )
+
+
 @query
 def encoded_texts(spark, folder):
     """An encoder that can be checked: a text's length and its number of blanks."""

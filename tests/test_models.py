@@ -98,3 +98,24 @@ def test_train_and_predict(spark, points):
     assert report.accuracy > 95 and report.roc_auc > 0.99
     losses = [r.loss for r in classifier.history(model, points).orderBy("epoch").collect()]
     assert losses[-1] < losses[0]
+
+
+def test_trained_vectors(spark):
+    """Words of one topic lie closer to one another than to the other topic's; texts do too."""
+    pick = random.Random(1)
+    topics = [["cat", "dog", "cow", "pig"], ["red", "blue", "green", "pink"]]
+    rows = [(k, " ".join(pick.choices(topics[k % 2], k=30) + ["the"] * 5)) for k in range(400)] + [(900, "unheard"), (901, None), (902, "")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    vectors = embedding.train_word_vectors(docs, size=8, partitions=1).cache()
+    by_word = {row.word: (row.vector.toArray(), row.weight) for row in vectors.collect()}
+    assert set(by_word) == {*topics[0], *topics[1], "the"}
+    share = 400 * 5 / (400 * 35 + 1)
+    assert by_word["the"][1] == pytest.approx(1e-3 / (1e-3 + share))
+    near = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    assert near(by_word["cat"][0], by_word["dog"][0]) > near(by_word["cat"][0], by_word["red"][0])
+    found = {row.id: np.array(row.embedding) for row in embedding.embed_averaged(docs, vectors, "id", 8).collect()}
+    assert len(found) == 403 and all(not found[k].any() for k in (900, 901, 902))
+    words = rows[0][1].split()
+    plain = sum(by_word[w][0] * by_word[w][1] for w in words)
+    np.testing.assert_allclose(found[0], plain / np.linalg.norm(plain), atol=1e-5)
+    assert near(found[0], found[2]) > near(found[0], found[1])

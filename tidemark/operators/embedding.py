@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import HashingTF, Normalizer, Word2Vec
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from tidemark.functions.fixed_values import EMBEDDING_SIZE
-from tidemark.functions.text import pieces
+from tidemark.functions.fixed_values import EMBEDDING_SIZE, SPLIT_SEED
+from tidemark.functions.text import pieces, tally_words
+from tidemark.sizes import lookup_join
+
+#: Share of a word from which its weight is less than a half.
+SMOOTH = 1e-3
 
 
 def embed_with(
@@ -43,6 +48,50 @@ def embed_hashed(docs: DataFrame, text: str = "text", size: int = EMBEDDING_SIZE
     return scaled.withColumn(name, vector_to_array("_unit", "float32")).drop("_pieces", "_counts", "_unit")
 
 
+def train_word_vectors(
+    docs: DataFrame, text: str = "text", size: int = 100, min_count: int = 5, partitions: int = 8, seed: int = SPLIT_SEED
+) -> DataFrame:
+    """Word vectors learnt from the texts: ``word``, ``vector`` and ``weight``.
+
+    The words are those that stand at least ``min_count`` times; Spark ML holds their
+    vectors on the driver, so ``min_count`` bounds the model: raise it with the corpus.
+    ``weight`` is the smooth inverse frequency ``1e-3 / (1e-3 + share of the word)``.
+    Store the result: it is read more than once, and training is not repeated then.
+    """
+    split = docs.select(pieces(F.lower(F.coalesce(text, F.lit("")))).alias("_pieces"))
+    learner = Word2Vec(
+        vectorSize=size, minCount=min_count, numPartitions=partitions, seed=seed, inputCol="_pieces", outputCol="_vector"
+    )
+    counts = split.select(F.explode("_pieces").alias("word")).groupBy("word").agg(F.count("*").alias("_n"))
+    share = F.col("_n") / counts.agg(F.sum("_n")).scalar()
+    weighted = counts.where(F.col("_n") >= min_count).select("word", (F.lit(SMOOTH) / (F.lit(SMOOTH) + share)).alias("weight"))
+    return learner.fit(split).getVectors().join(weighted, "word").select("word", "vector", "weight")
+
+
+def embed_averaged(
+    docs: DataFrame,
+    vectors: DataFrame,
+    key: str,
+    size: int,
+    text: str = "text",
+    name: str = "embedding",
+    folder: str | None = None,
+) -> DataFrame:
+    """Add the weighted mean of the vectors of a text's words, scaled to length 1; zeros without a known word.
+
+    ``vectors`` comes from :func:`train_word_vectors`, ``key`` must be unique.  A text's
+    words are counted within its row.  With a ``folder`` that all executors share, the
+    vectors are measured and broadcast if they fit; otherwise words and vectors meet by word.
+    """
+    tallies = tally_words(docs.select(key, pieces(F.lower(text)).alias("_pieces")), [key], "_pieces")
+    found = lookup_join(tallies, vectors, ["word"], "inner", salt_by=[key], folder=folder)
+    mean = Summarizer.mean(F.col("vector"), F.col("tf") * F.col("weight")).alias("_mean")
+    means = Normalizer(inputCol="_mean", outputCol="_unit").transform(found.groupBy(key).agg(mean))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), size)
+    both = docs.join(means.select(key, vector_to_array("_unit", "float32").alias("_found")), key, "left")
+    return both.withColumn(name, F.coalesce("_found", zeros)).select(*docs.columns, name)
+
+
 def labelled_dataset(cohorts: dict[int, DataFrame], text: str = "text", label: str = "label") -> DataFrame:
     """Union of embedded cohorts with integer labels, without the texts."""
     parts = [df.withColumn(label, F.lit(value).cast("int")).drop(text) for value, df in cohorts.items()]

@@ -224,12 +224,15 @@ def history_row(predictions: DataFrame, epoch: int, train_losses: Sequence[float
     """One row of an epoch: mean training loss of its batches, and scores over all of ``predictions``."""
     p = F.col("probability")
     softened = F.log(F.exp(p[0]) + F.exp(p[1])) - F.when(F.col("label") == 1, p[1]).otherwise(p[0])
-    ones = class_metrics(predictions).where(F.col("class") == 1).select("accuracy", "precision", "recall", "f1")
-    loss = predictions.agg(F.avg(softened).alias("valid_loss"), F.count("*").alias("n_valid"))
-    mean = float(np.mean(train_losses))
-    return loss.crossJoin(ones).select(
-        F.lit(epoch).alias("epoch"), F.lit(mean).alias("train_loss"), "valid_loss", "n_valid", "accuracy", "precision", "recall", "f1"
-    )
+    loss = predictions.agg(F.avg(softened).alias("loss"), F.count("*").alias("n"))
+    ones = class_metrics(predictions).where(F.col("class") == 1)
+    return ones.select(
+        F.lit(epoch).alias("epoch"),
+        F.lit(float(np.mean(train_losses))).alias("train_loss"),
+        loss.select("loss").scalar().alias("valid_loss"),
+        loss.select("n").scalar().alias("n_valid"),
+        "accuracy", "precision", "recall", "f1",
+    )
 
 
 def train_network(
