@@ -1,3 +1,8 @@
+import html as entities
+import re
+import time
+
+import numpy as np
 import pytest
 
 from tidemark.llm import html
@@ -8,8 +13,6 @@ TEXT = "Title\nFirst part of it.\nSecond & last."
 
 
 def test_tree_learns_its_table():
-    import numpy as np
-
     table = np.array(html.LABELLED, float)
     assert (html.decide(TREE, table[:, :-1]) == table[:, -1]).all()
 
@@ -68,6 +71,84 @@ def test_asides_still_go(aside):
     assert html.main_text(ARTICLE.replace("</article>", f"</p>{aside}</article>"), TREE) == TEXT
 
 
+def kept(body, extra=""):
+    return html.main_text(f"<body>{extra}<article><h1>Title</h1>{body}<p>The end of this article is here.</p></article></body>", TREE).split("\n")[1:-1]
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        '<div style="overflow:hidden">', '<div data-id="comments">', '<div data-hidden="false">', "<div title='class=ad'>",
+        '<div aria-hidden="false">', "<div data-class=ad>", '<div onclick="hidden()">', "<div \"class=ad\">",
+    ],
+)
+def test_only_whole_attributes_count(opening):
+    assert html.main_text(f"<body>{opening}{ARTICLE}</div></body>", TREE) == TEXT
+    assert kept(f"{opening}<p>Inside of it there is text.</p></div>") == ["Inside of it there is text."]
+
+
+@pytest.mark.parametrize("opening", ["<div hidden>", "<div HIDDEN=''>", "<div data-x class = 'ad'>", "<div\nclass=ad id=x>", "<div id='comments'/>"])
+def test_marked_regions_go(opening):
+    assert kept(f"{opening}<p>Inside of it there is text.</p></div>") == []
+
+
+def test_marks_end_where_their_tags_do():
+    assert kept('<p class="ad">Buy now<p>Real paragraph') == ["Real paragraph"]
+    assert kept('<ul><li class="ad">Buy now<li>Real item of a list</ul>') == ["Real item of a list"]
+    assert kept('<ul><li class="ad"><span>Buy now<li>Real item of a list</ul>') == ["Real item of a list"]
+    assert kept('<table><tr><td class="ad">Buy<td>Real cell of it<tr><td>Next row</table>') == ["Real cell of it", "Next row"]
+    assert kept('<p>Words <span class="share">half share of it</span> and more') == ["Words half share of it and more"]
+    assert kept('<p>One <span class="ad">two <span>three</span> four</span> five') == ["One two three four five"]
+    assert kept('<p><span class="ad">Buy now</span></p><p>Real paragraph') == ["Real paragraph"]
+    assert kept('<span class="ad"><div>Buy now</div></span><p>Real paragraph') == ["Real paragraph"]
+    assert kept('<p><span class="ad">Buy <p>Real paragraph') == ["Real paragraph"]
+    assert kept("<p>Name <label>of the field</label> and <button>its key</button> here") == ["Name of the field and its key here"]
+    assert kept("<p>A film <video>cannot be shown</video> of it <canvas>open") == ["A film of it open"]
+    blocks = html.blocks_of("<div><p><a href=x>linked <p>Words without a link<div><a href=y><p>in a link</p></div>after")
+    assert [(block.text, block.linked) for block in blocks] == [("linked", 1), ("Words without a link", 0), ("in a link", 3), ("after", 0)]
+    assert kept("<p>Text</section></b></div> goes on") == ["Text", "goes on"]
+
+
+def seconds(page):
+    start = time.perf_counter()
+    html.blocks_of(page)
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<div></section>", "<p class=ad>", "<a ", "<span><hr>", "<video>", "<div><span><li></li>", "<a '\">", "<!-", "<", "<li><span>", "</p>",
+     "<p class=ad><span>x", "&amp;", "<b>x</b> "],
+)
+def test_time_is_linear(unit):
+    """Four times the page takes about four times as long; quadratic would be sixteen."""
+    small, large = (min(seconds(unit * count) for _ in range(2)) for count in (20_000, 80_000))
+    assert large < 9 * small + 0.2
+
+
+def test_a_page_of_ten_megabytes():
+    part = "<div class=x><p>Some words <a href='/y'>and a link</a> of it.</p></div>"
+    page = f"<article>{part * (10_000_000 // len(part))}</article>"
+    assert seconds(page) < 60
+    deep = "<div>" * 500_000 + "words " * 500_000 + "</section>" * 500_000
+    assert len(html.blocks_of(deep)) == 1
+
+
+def plain(page):
+    """The article of a page of the test tables, by cutting its markup out."""
+    article = re.search(r"<article>(.*?)(</article>|<footer>|$)", page or "", re.S)
+    blocks = re.split(r"</?(?:p|h1|article)(?=[\s>])[^>]*>", re.sub(r"<!--.*?-->", "", article.group(1)) if article else "")
+    texts = [" ".join(entities.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", block))).split()) for block in blocks]
+    return "\n".join(text for text in texts if text)
+
+
+def test_pages_equal_a_plain_extraction(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {row.page_id: row.text for row in html.extract_text(pages).collect()}
+    want = {row.page_id: plain(row.html) for row in pages.collect()}
+    assert len(want) > 100 and {k for k in want if want[k] != got[k]} == set()
+
+
 def test_odd_pages():
     assert [html.main_text(page, TREE) for page in (None, "", "<p>", "<!-- never closed", "<script>", "<a")] == [""] * 6
     assert html.main_text("<", TREE) == "<"  # no tag, as in browsers

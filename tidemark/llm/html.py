@@ -9,13 +9,14 @@ small decision tree, trained when the operator is built on the labelled table
 Null and empty pages give an empty text.  Markup that is cut off or never closed
 ends with the page; a script or comment that never ends swallows the rest of the
 page, as browsers have it.  Pages are independent: repeated rows give repeated
-results, and a page may be of any length.
+results.  Time is linear in a page's length, whatever its markup is.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,9 +31,19 @@ BLOCK_TAGS = frozenset(
     "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section "
     "select summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Tags that open a region; others end by themselves.
-REGION_TAGS = BLOCK_TAGS - frozenset("p hr li dd dt option tr td th thead tbody tfoot legend optgroup".split())
+#: Block tags without an inside.
+EMPTY_TAGS = frozenset(["hr"])
+#: What an opening tag ends if it stands on top: a paragraph ends at any block, the parts of lists and tables at the next one.
+ENDS = {
+    tag: frozenset(group.split())
+    for group in ("li", "dd dt", "option optgroup", "td th")
+    for tag in group.split()
+} | {tag: frozenset("td th tr".split()) for tag in ("tr", "tbody", "thead", "tfoot")}
 RAW_TAGS = frozenset("script style textarea xmp iframe noembed noframes noscript template svg math object".split())
+#: What browsers show in place of the text inside; without an end tag they hold nothing.
+SHOWN_TAGS = frozenset("audio video canvas".split())
+#: Inline tags that may be marked as no content; they do not end a block.
+INLINE_TAGS = frozenset("span button".split())
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog head title select fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: How surely a region is no content: words that articles use as well, layout, adverts and comments, tags and roles.
@@ -58,7 +69,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _MARK = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)|<[!?/][^>]*+>")
 _OPEN_END = re.compile(r"<(?:[!?/]|[a-zA-Z])[^<>]*\Z")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: A whole attribute: its name, and its value as it stands.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["'][^"']*["']?""")
 _WORD_CASE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -86,6 +98,8 @@ def _aside_level(tag: str, attributes: str, in_article: bool) -> int:
     if tag in ASIDE_TAGS or (tag == "header" and not in_article):
         # Some pages wrap all they have in one form.
         return LAYOUT if tag == "form" else TAG
+    if tag == "button":
+        return TAG
     if tag in ("html", "body", "main", "article") or "=" not in attributes and "hidden" not in attributes:
         return 0
     level = 0
@@ -106,84 +120,137 @@ def _inherited(tag: str, level: int) -> int:
     return 0 if tag == "article" and level == LAYOUT else level
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order, white space turned into single spaces."""
-    found: list[Block] = []
-    regions: list[tuple[str, int, bool]] = []  # tag, aside level, article
-    parts: list[tuple[str, bool]] = []
-    state = {"link": False, "heading": False, "hint": 0}
+class _Page:
+    """Blocks found so far, the regions that are open, and the text of the block that is being read."""
+
+    def __init__(self) -> None:
+        self.found: list[Block] = []
+        self.regions: list[tuple[str, int, bool]] = []  # tag, level, article
+        self.open: Counter[str] = Counter()
+        self.parts: list[tuple[str, bool, int]] = []  # text, link, level
+        self.link = self.heading = False
+        self.link_depth = 0  # how many regions were open where the link began
 
-    def region() -> tuple[int, bool]:
-        return (regions[-1][1], regions[-1][2]) if regions else (0, False)
+    def region(self) -> tuple[int, bool]:
+        return self.regions[-1][1:] if self.regions else (0, False)
 
-    def close_block() -> None:
-        text = " ".join(entities.unescape("".join(part for part, _ in parts)).split())
+    def add(self, text: str) -> None:
+        self.parts.append((text, self.link, self.region()[0]))
+
+    def end_block(self) -> None:
+        whole = "".join(part for part, _, _ in self.parts)
+        text = " ".join(entities.unescape(whole).split())
         if text:
-            linked = sum(len(entities.unescape(part).split()) for part, link in parts if link)
-            aside, article = region()
-            level = min(max(aside, state["hint"]), 2)
-            found.append(Block(text, linked, len(text.split()), article, level, state["heading"]))
-        parts.clear()
-        state["hint"] = 0
-
-    at, size = 0, len(page)
+            shown = [part for part in self.parts if part[0].strip()]
+            linked = sum(len(entities.unescape(part).split()) for part, link, _ in shown if link)
+            # A part of a sentence that is marked does not mark the sentence.
+            level = min(part[2] for part in shown)
+            self.found.append(Block(text, linked, len(text.split()), self.region()[1], min(level, 2), self.heading))
+        self.parts.clear()
+
+    def enter(self, tag: str, attributes: str) -> None:
+        level, article = self.region()
+        own = _aside_level(tag, attributes, article)
+        level = max(_inherited(tag, level), own)
+        article = article or (tag in ("article", "main") and level <= HINT)
+        self.regions.append((tag, level, article))
+        self.open[tag] += 1
+
+    def leave(self) -> str:
+        tag = self.regions.pop()[0]
+        self.open[tag] -= 1
+        self.link = self.link and len(self.regions) >= self.link_depth
+        return tag
+
+    def anchor(self, opens: bool) -> None:
+        """A link lasts to its end tag, or to the end of the region it begins in."""
+        self.link, self.link_depth = opens, len(self.regions)
+
+    def start(self, tag: str, attributes: str) -> None:
+        """A block tag opens."""
+        self.end_block()
+        # No block stands inside of a paragraph, so an open one has nothing but inline tags above it.
+        if self.open["p"]:
+            while self.leave() != "p":
+                pass
+        ended = ENDS.get(tag, frozenset())
+        top = next((k for k in range(1, min(4, len(self.regions)) + 1) if self.regions[-k][0] not in INLINE_TAGS), 0)
+        while ended and top and self.regions and self.regions[-min(top, len(self.regions))][0] in ended:
+            for _ in range(top):
+                self.leave()
+            top = 1
+        self.heading = tag in HEADINGS
+        if tag not in EMPTY_TAGS:
+            self.enter(tag, attributes)
+
+    def end(self, tag: str) -> None:
+        """A block tag closes, with all that is open inside of it."""
+        self.end_block()
+        self.heading = False
+        if self.open[tag]:
+            while self.leave() != tag:
+                pass
+
+
+def blocks_of(text: str) -> list[Block]:
+    """The page's text blocks in order, white space turned into single spaces."""
+    page = _Page()
+    ended: dict[str, re.Pattern[str]] = {}
+    never: set[str] = set()  # tags that are not closed any more
+
+    def after(tag: str, at: int) -> int | None:
+        """The place after the next end tag."""
+        if tag in never:
+            return None
+        if tag not in ended:
+            ended[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE)
+        end = ended[tag].search(text, at)
+        if end is None:
+            never.add(tag)
+            return None
+        return end.end()
+
+    at, size = 0, len(text)
+    # Behind the last > there are no tags: looking for one there would go to the end each time.
+    last = text.rfind(">")
     while at < size:
-        mark = _MARK.search(page, at)
+        mark = _MARK.search(text, at, last + 1)
         if mark is None:
-            rest = page[at:]
-            cut = _OPEN_END.search(rest)
-            parts.append((rest[: cut.start()] if cut else rest, state["link"]))
+            rest = text[at:]
+            cut = _OPEN_END.search(rest, max(0, rest.rfind("<")))
+            open_at = min(cut.start(), rest.find("<!--")) if cut and "<!--" in rest else cut.start() if cut else rest.find("<!--")
+            page.add(rest if open_at < 0 else rest[:open_at])
             break
         if mark.start() > at:
-            parts.append((page[at : mark.start()], state["link"]))
+            page.add(text[at : mark.start()])
         at = mark.end()
         if mark.group() == "<!--":
-            end = page.find("-->", at)
-            at = size if end < 0 else end + 3
+            close = text.find("-->", at)
+            at = size if close < 0 else close + 3
             continue
         if mark.group(2) is None:
             continue
         closing, tag, attributes = bool(mark.group(1)), mark.group(2).lower(), mark.group(3)
         if tag == "a":
-            state["link"] = not closing
+            page.anchor(not closing)
         elif tag == "br":
-            parts.append((" ", state["link"]))
-        elif tag in RAW_TAGS:
+            page.add(" ")
+        elif tag in RAW_TAGS or tag in SHOWN_TAGS:
             if not closing and not attributes.endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else size
+                close = after(tag, at)
+                at = close if close is not None else size if tag in RAW_TAGS else at
+        elif tag in INLINE_TAGS:
+            if not closing:
+                page.enter(tag, attributes)
+            elif page.regions and page.regions[-1][0] == tag:
+                page.leave()
         elif tag in BLOCK_TAGS:
-            close_block()
-            state["heading"] = tag in HEADINGS and not closing
-            if tag in REGION_TAGS:
-                state["link"] = False
-                if not closing:
-                    aside, article = region()
-                    opens = tag in ("article", "main")
-                    aside = max(_inherited(tag, aside), _aside_level(tag, attributes, article))
-                    regions.append((tag, aside, article or (opens and aside <= HINT)))
-                elif any(open_tag == tag for open_tag, _, _ in regions):
-                    while regions.pop()[0] != tag:
-                        pass
-            elif not closing and tag in ("p", "li", "td", "tr", "dd"):
-                # No region of its own, but it may be marked as one that is no content.
-                aside, article = region()
-                level = _aside_level(tag, attributes, article)
-                state["hint"] = level
-                if level > HINT:
-                    end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                    if end:
-                        at, state["hint"] = end.end(), 0
-        elif not closing and tag in ("button", "label", "input", "audio", "video", "canvas"):
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            if end and tag != "input":
-                at = end.end()
-        elif tag in ("span", "section") and not closing and _aside_level(tag, attributes, region()[1]):
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            if end:
-                at = end.end()
-    close_block()
-    return found
+            if closing:
+                page.end(tag)
+            else:
+                page.start(tag, attributes)
+    page.end_block()
+    return page.found
 
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "article", "aside",
