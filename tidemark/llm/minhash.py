@@ -12,10 +12,12 @@ Documents with equal sets are one node.  Nodes that agree in one of :data:`BANDS
 bands meet in a bucket.  Links are verified on full sets, in rounds that never write
 out all pairs of a bucket:
 
-1. each node of a bucket is compared with the bucket's first node, the one that meets
-   most others;
-2. the same among the nodes outside of the bucket's largest component so far;
-3. what is still apart: the nodes outside of a bucket's largest component are
+1. the first node of a bucket is the one that meets most others; each node is compared
+   with one of its buckets' first nodes, again the one that meets most;
+2. in buckets that hold several components after that, each node is compared with
+   the bucket's first node;
+3. the same among the nodes outside of the bucket's largest component so far;
+4. what is still apart: the nodes outside of a bucket's largest component are
    compared with the nodes of the other components, but for those pairs whose
    similarity is bounded below the threshold by what is known of each node alone:
    the shingles it shares with any other, and with the bucket's first node.
@@ -183,6 +185,13 @@ def _with_first(members: DataFrame, bounded: bool) -> DataFrame:
     return pairs.select("bucket", F.col("_first.node").alias("a"), F.col("node").alias("b"))
 
 
+def _nearest_first(members: DataFrame) -> DataFrame:
+    """Pairs of each node with the most central of the first nodes of its buckets: columns ``a`` and ``b``."""
+    first = stored(members.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("_first")), "first")
+    met = members.select("bucket", "node").join(first, "bucket").where(F.col("node") != F.col("_first.node"))
+    return met.groupBy(F.col("node").alias("b")).agg(F.max("_first").alias("_first")).select(F.col("_first.node").alias("a"), "b")
+
+
 def _outside(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with their bucket's largest component as ``_largest``, and those outside of it."""
     parts = members.groupBy("bucket", "component").agg(F.count("*").alias("_size"))
@@ -262,11 +271,17 @@ def near_duplicates(
     sets = full_sets(rows.join(wanted, same, "left_semi").select("_text"), size).dropDuplicates(["_set"])
     sets = stored(sets.join(nodes.select("_set", "node"), "_set").select("node", "shingles"), "sets")
 
-    with_first = stored(_with_first(members, False), "firsts")
-    met = stored(compared(with_first.select("a", "b").distinct(), sets), "compared")
+    met = stored(compared(_nearest_first(members), sets), "compared")
     links = met.where("linked").select("a", "b")
     groups = components(links)
     members = _mixed(members, groups)
+    if not members.isEmpty():
+        with_first = stored(_with_first(members, False), "firsts")
+        pairs = with_first.select("a", "b").distinct().join(met, ["a", "b"], "left_anti")
+        met = met.union(stored(compared(pairs, sets), "compared"))
+        links = met.where("linked").select("a", "b")
+        groups = components(links)
+        members = _mixed(members, groups)
     if not members.isEmpty():
         members = _known(members, sets, nodes, with_first.join(met, ["a", "b"]))
         # Clusters beside a bucket's largest one find each other through their own first node.
