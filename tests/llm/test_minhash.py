@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from brute import groups
+from pyspark.sql import functions as F
 
 from tidemark.llm import minhash
 
@@ -54,6 +55,43 @@ def test_equal_coordinates_follow_the_similarity():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
 
 
+def test_cells_bound_what_is_shared(spark):
+    """The bound is never under the intersection, and close to it for sets of everyday size."""
+    pick = np.random.default_rng(3)
+    rows, shared = [], []
+    for k, (size, both) in enumerate([(300, 200), (300, 0), (40, 40), (2000, 900), (5, 1), (60_000, 10)]):
+        base = pick.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64)
+        rows += [(2 * k, np.sort(base[:size]).tobytes()), (2 * k + 1, np.sort(base[size - both :]).tobytes())]
+        shared.append((size, both))
+    cells = minhash.cells_of(spark.createDataFrame(rows, "node long, shingles binary"))
+    other = cells.selectExpr("node - 1 node", "cells _cells", "beyond _beyond")
+    pairs = cells.where("node % 2 = 0").join(other, "node").orderBy("node")
+    got = [row[0] for row in pairs.select(minhash._by_cells(F.col, lambda name: F.col(f"_{name}"))).collect()]
+    for (size, both), bound in zip(shared, got, strict=True):
+        assert both <= bound <= size
+    assert got[0] < 240 and got[1] < 70 and got[3] < 1780
+
+
+def test_a_hot_bucket_of_unlike_texts_stays_linear(spark, monkeypatch):
+    """Texts that share a long passage but are no near copies: few pairs are compared in full."""
+    pick, compared = random.Random(9), []
+    words = [f"w{k}" for k in range(3000)]
+    passage = pick.choices(words, k=60)
+    texts = [" ".join(passage + pick.choices(words, k=pick.randint(18, 24))) for _ in range(500)]
+    real = minhash.compared
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return real(pairs, sets)
+
+    monkeypatch.setattr(minhash, "compared", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = minhash.near_duplicates(frame, 4).collect()
+    want = groups(enumerate(texts), 4)
+    assert {row.doc_id: (row.n_shingles, row.component_id) for row in rows} == want
+    assert sum(compared) < 32 * 500
+
+
 def test_null_and_repeated_ids(spark):
     text = "a b c d e f g h"
     rows = [(None, text), (3, text), (3, text), (1, "other words stand here instead of them"), (None, None), (2, "")]

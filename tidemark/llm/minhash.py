@@ -20,7 +20,8 @@ out all pairs of a bucket:
 4. what is still apart: the nodes outside of a bucket's largest component are
    compared with the nodes of the other components, but for those pairs whose
    similarity is bounded below the threshold by what is known of each node alone:
-   the shingles it shares with any other, and with the bucket's first node.
+   the shingles it shares with any other, those with the bucket's first node, and which
+   of :data:`CELLS` hashed cells its shingles fall into.
 
 Only links between different components can change the result, so the components
 are those of all links that any bucket holds.  At the threshold of 0.8 a pair
@@ -49,6 +50,8 @@ COORDINATES = 128
 BANDS = 32
 #: Links have 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 80
+#: Two sets share at most as many members as they share cells, and the lesser number of members beyond one a cell.
+CELLS = 2048
 ROUND_SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F))
 
 
@@ -155,6 +158,30 @@ def unshared(sets: DataFrame) -> DataFrame:
     return held.groupBy("node").agg(F.count("*").alias("_alone"))
 
 
+def cells_of(sets: DataFrame) -> DataFrame:
+    """Columns ``node``, ``cells`` (a set's cells as bits of longs) and ``beyond`` (members beyond one a cell)."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, beyond = [], []
+            for raw in batch.column("shingles"):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                taken = np.zeros(CELLS, np.uint8)
+                taken[(own >> U(40)) % U(CELLS)] = 1
+                found.append(np.packbits(taken).view(np.int64))
+                beyond.append(len(own) - int(taken.sum()))
+            columns = [batch.column("node"), pa.array(found, pa.list_(pa.int64())), pa.array(beyond, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "cells", "beyond"])
+
+    return sets.select("node", "shingles").mapInArrow(count, "node long, cells array<long>, beyond long")
+
+
+def _by_cells(one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
+    """The most that two sets can share by their cells."""
+    both = (F.bit_count(one("cells")[k].bitwiseAND(other("cells")[k])) for k in range(CELLS // 64))
+    return sum(both, F.least(one("beyond"), other("beyond")))
+
+
 def _close(common: Column, a: Column, b: Column) -> Column:
     """Whether sets of sizes ``a`` and ``b`` with at most ``common`` shared members may be similar enough."""
     return 100 * common >= THRESHOLD * (a + b - common)
@@ -175,13 +202,14 @@ def _bound(one: Callable[[str], Column], other: Callable[[str], Column]) -> Colu
 
 def _with_first(members: DataFrame, bounded: bool) -> DataFrame:
     """Pairs of each node with the most central node of its bucket: columns ``bucket``, ``a`` and ``b``."""
-    known = ["shared", "with_first"] if bounded else []
+    known = ["shared", "with_first", "cells", "beyond"] if bounded else []
     first = members.groupBy("bucket").agg(F.max(F.struct("score", "node", "n", *known)).alias("_first"))
     first = stored(first, "first")  # a plain table, so that a hot bucket can be split in the join
     pairs = members.join(first, "bucket").where(F.col("node") != F.col("_first.node"))
     if bounded:
         most = _bound(F.col, lambda name: F.col(f"_first.{name}"))
-        pairs = pairs.where(_close(most, F.col("n"), F.col("_first.n")))
+        by_cells = _by_cells(F.col, lambda name: F.col(f"_first.{name}"))
+        pairs = pairs.where(_close(most, F.col("n"), F.col("_first.n")) & _close(by_cells, F.col("n"), F.col("_first.n")))
     return pairs.select("bucket", F.col("_first.node").alias("a"), F.col("node").alias("b"))
 
 
@@ -200,30 +228,31 @@ def _outside(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked, marked.where(F.col("component") != F.col("_largest"))
 
 
-def _known(members: DataFrame, sets: DataFrame, nodes: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Members with ``shared``, ``with_first`` and the ``bands`` of their node."""
-    own = members.select("node").distinct()
-    alone = unshared(sets.join(own, "node", "left_semi"))
+def _known(members: DataFrame, sets: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Members with ``shared``, ``with_first``, and ``cells`` and ``beyond`` of their node."""
+    own = sets.join(members.select("node").distinct(), "node", "left_semi")
     met = firsts.select("bucket", F.col("b").alias("node"), F.col("common").alias("with_first"))
-    full = members.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("_alone", F.lit(0))).drop("_alone")
-    return stored(full.join(met, ["bucket", "node"], "left").join(nodes.select("node", "bands"), "node"), "known")
+    full = members.join(unshared(own), "node", "left").withColumn("shared", F.col("n") - F.coalesce("_alone", F.lit(0)))
+    return stored(full.drop("_alone").join(met, ["bucket", "node"], "left").join(cells_of(own), "node"), "known")
 
 
 def _still_apart(members: DataFrame) -> DataFrame:
     """Pairs of nodes outside of their bucket's largest component with the nodes of its other components.
 
-    Pairs that are bounded below the threshold are left out, and a pair is looked at
-    in the first of its buckets only.
+    Pairs that are bounded below the threshold are left out.
     """
     marked, outside = _outside(members)
-    names = ["node", "n", "component", "shared", "with_first", "bands"]
+    names = ["node", "n", "component", "shared", "with_first", "cells", "beyond"]
     outside = outside.select("bucket", *(F.col(name).alias(f"_{name}") for name in names))
-    earlier = F.exists(F.slice(F.arrays_zip("bands", "_bands"), F.lit(1), F.col("band")), lambda z: z["bands"] == z["_bands"])
     # Of two nodes outside, only one order.
     once = (F.col("component") == F.col("_largest")) | (F.col("_node") < F.col("node"))
     most = _bound(F.col, lambda name: F.col(f"_{name}"))
+    by_cells = _by_cells(F.col, lambda name: F.col(f"_{name}"))
     pairs = marked.join(outside, "bucket").where(
-        (F.col("component") != F.col("_component")) & once & _close(most, F.col("n"), F.col("_n")) & ~earlier
+        (F.col("component") != F.col("_component"))
+        & once
+        & _close(most, F.col("n"), F.col("_n"))
+        & _close(by_cells, F.col("n"), F.col("_n"))
     )
     return pairs.select(F.col("_node").alias("a"), F.col("node").alias("b")).distinct()
 
@@ -283,7 +312,7 @@ def near_duplicates(
         groups = components(links)
         members = _mixed(members, groups)
     if not members.isEmpty():
-        members = _known(members, sets, nodes, with_first.join(met, ["a", "b"]))
+        members = _known(members, sets, with_first.join(met, ["a", "b"]))
         # Clusters beside a bucket's largest one find each other through their own first node.
         second = _with_first(_outside(members)[1], True).select("a", "b").distinct()
         links = links.union(stored(compared(second, sets).where("linked").select("a", "b"), "compared"))
