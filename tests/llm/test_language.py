@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tidemark.llm import language
@@ -30,3 +32,16 @@ def test_nothing_to_learn(texts_frame):
 def test_one_language(texts_frame):
     docs = texts_frame(["some words", "more words"])
     assert {row.lang_pred for row in language.predict_languages(docs, language.train(docs)).collect()} == {"en"}
+
+
+def test_many_rows_without_or_with_one_id(spark):
+    """What is learnt does not hang on the ids: all null, all equal, or a third of them equal."""
+    pick = random.Random(4)
+    words = {"en": "the cat and a dog of house that was here", "fr": "le chat et un chien de la maison qui est ici"}
+    rows = [(lang, " ".join(pick.choices(words[lang].split(), k=12)) + f" {k}") for lang in words for k in range(3000)]
+    for key in (lambda k: None, lambda k: 0, lambda k: k if k % 3 else 7):
+        docs = spark.createDataFrame([(key(k), *row) for k, row in enumerate(rows)], "doc_id long, lang string, text string")
+        model = language.train(docs)
+        assert sorted(model.languages) == ["en", "fr"]
+        asked = docs.where("text like '%99'")
+        assert all(row.lang == row.lang_pred for row in language.predict_languages(asked, model, keep=("lang",)).collect())

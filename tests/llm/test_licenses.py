@@ -47,6 +47,8 @@ def test_base_places_on_documents(small):
         ("MIT or Apache-2.0 and ISC", ["MIT", "Apache-2.0", "ISC", "and", "or"]),
         ("(MIT OR Apache-2.0) AND ISC", ["MIT", "Apache-2.0", "or", "ISC", "and"]),
         ("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT */", ["GPL-2.0-only", "Classpath-exception-2.0", "with", "MIT", "or"]),
+        ("MIT and see the file", ["MIT"]), ("MIT or later", ["MIT"]), ("mit and (isc or bsd)", ["mit", "isc", "bsd", "or", "and"]),
+        ("GPL-2.0 WITH (A OR B)", None), ("MIT AND unheard", ["MIT", "unheard", "and"]),
         ("(MIT", None), ("MIT)", None), ("OR MIT", None), ("MIT AND", None), ("", None), ("()", None),
     ],
 )
@@ -60,3 +62,11 @@ def test_evaluation_takes_the_stricter_or_the_freer_side():
     labels, limit = licenses.evaluate("MIT AND (GPL-2.0-only WITH Classpath-exception-2.0)")
     assert labels == {"mit", "gpl"} and limit < licenses.LIMITS["gpl"]
     assert licenses.scan("SPDX-License-Identifier: MIT AND (", licenses.automaton())[5] == "unparsed"
+
+
+def test_both_spellings_of_the_tag():
+    machine = licenses.automaton()
+    for spelling in ("License", "Licence"):
+        assert licenses.scan(f"see SPDX-{spelling}-Identifier: MIT\nmore", machine)[5] == "mit"
+    assert licenses.scan("SPDX-License-Identifier: GPL-2.0 WITH (A OR B)", machine)[5] == "unparsed"
+    assert licenses.scan("SPDX-License-Identifier: MIT and see the file", machine)[5] == "mit"

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from compare import differences, duck
 
 from tidemark.llm import mixing
@@ -46,3 +47,13 @@ def test_odd_tables(texts_frame):
     assert mixing.mix(texts_frame([None, ""])).agg({"taken": "sum"}).first()[0] == 0
     both = mixing.mix(docs.union(docs)).collect()
     assert len({row.taken for row in both}) == 1
+
+
+def test_rows_without_an_id(texts_frame):
+    """Rows with a null id are drawn by their texts, so their source meets its target."""
+    docs = texts_frame([f"w{k} " * 10 for k in range(400)], source=["a"] * 200 + ["b"] * 100 + ["c"] * 100)
+    rows = mixing.mix(docs.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    for source in "abc":
+        own = [row for row in rows if row.source == source]
+        assert abs(sum(row.taken for row in own) - own[0].target) <= 10
+        assert source == "a" or len({row.taken for row in own}) == 2

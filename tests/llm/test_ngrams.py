@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from brute import NGrams
 from pyspark.sql import functions as F
@@ -38,3 +39,14 @@ def test_odd_rows(texts_frame):
     assert ngrams.score_texts(docs.limit(0), "learn").count() == 0
     nothing = ngrams.score_texts(docs.withColumn("learn", F.lit(False)), "learn").collect()
     assert {row.score for row in nothing} == {0.0} and {row.train_tokens for row in nothing} == {0}
+
+
+def test_totals_above_four_bytes(spark):
+    """Sums of counts are whole numbers of 64 bits, wherever they go."""
+    keys = np.array([5, 9, 1 << 63], np.uint64)
+    rows = [row for chunk in range(3) for row in chunks.ask(chunk, 1, keys, np.array([1, 1 << 31, 3_000_000_000]), 1)]
+    asked = spark.createDataFrame([tuple(bytes(v) if isinstance(v, bytes) else v for v in row) for row in rows], chunks.ASKED)
+    table = chunks.totals(asked, 1).where("_chunk = 2").toArrow()
+    answers = chunks.Answers(table)
+    assert answers.totals(1).tolist() == [3, 3 << 31, 9_000_000_000]
+    assert answers.corpus(1) == (3, 3 + (3 << 31) + 9_000_000_000) and answers.first(1).tolist() == [False] * 3

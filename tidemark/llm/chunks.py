@@ -46,6 +46,16 @@ def unpacked(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def packed_totals(values: np.ndarray) -> bytes:
+    """Totals in four bytes each, in eight where one of them needs more; the first byte says which."""
+    kind = np.uint64 if len(values) and values.max() >= 1 << 32 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + packed(values.astype(kind))
+
+
+def unpacked_totals(raw: bytes) -> np.ndarray:
+    return unpacked(raw[1:], np.uint64 if raw[0] == 8 else np.uint32).astype(np.int64)
+
+
 def in_chunks(docs: DataFrame, text: str, keep: Sequence[str], layout: Layout) -> DataFrame:
     """Rows ``_chunk`` and ``_blob``: documents (``keep`` and ``_text``) as compressed Arrow, dealt by chunk."""
     from_row = F.pmod(F.xxhash64(docs[text], *(docs[c] for c in keep)), F.lit(layout.chunks)).cast("int")
@@ -115,9 +125,9 @@ def totals(asked: DataFrame, bits: int, others: dict[int, Callable[[pa.Table], p
         new = np.ones(len(keys), bool)
         new[1:] = keys[order[1:]] != keys[order[:-1]]
         group = np.cumsum(new) - 1
-        sums = np.bincount(group, counts[order], minlength=int(new.sum())).astype(np.int64)
-        answer = np.empty(len(keys), np.uint32)
-        answer[order] = np.minimum(sums[group], 0xFFFFFFFF)
+        sums = np.add.reduceat(counts[order], np.flatnonzero(new)) if len(keys) else np.zeros(0, np.int64)
+        answer = np.empty(len(keys), np.int64)
+        answer[order] = sums[group]
         # The first counting chunk of each key: rows are in chunk order and the sort is stable.
         counted = np.flatnonzero(counts[order] > 0)
         first = np.zeros(len(keys), np.uint8)
@@ -132,7 +142,7 @@ def totals(asked: DataFrame, bits: int, others: dict[int, Callable[[pa.Table], p
             "_chunk": table.column("_chunk"),
             "_kind": table.column("_kind"),
             "_bucket": pa.array([bucket] * rows, pa.int32()),
-            "_totals": pa.array([packed(answer[s]) for s in slices], pa.binary()),
+            "_totals": pa.array([packed_totals(answer[s]) for s in slices], pa.binary()),
             "_first": pa.array([np.packbits(first[s]).tobytes() for s in slices], pa.binary()),
             "_distinct": pa.array([int((sums > 0).sum())] * rows, pa.int64()),
             "_sum": pa.array([int(sums.sum())] * rows, pa.int64()),
@@ -152,14 +162,15 @@ class Answers:
         return self.table.filter(pa.array(self.kinds == kind))
 
     def totals(self, kind: int) -> np.ndarray:
-        found = [unpacked(raw.as_py(), np.uint32) for raw in self._rows(kind).column("_totals")]
-        return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+        found = [unpacked_totals(raw.as_py()) for raw in self._rows(kind).column("_totals")]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def first(self, kind: int) -> np.ndarray:
         rows = self._rows(kind)
         parts = []
         for marks, raw in zip(rows.column("_first"), rows.column("_totals"), strict=True):
-            size = len(raw.as_py()) // 4
+            totals = raw.as_py()
+            size = (len(totals) - 1) // totals[0]
             parts.append(np.unpackbits(np.frombuffer(marks.as_py(), np.uint8), count=size).astype(bool))
         return np.concatenate(parts) if parts else np.zeros(0, bool)
 

@@ -188,14 +188,16 @@ def bounded_sample(docs: DataFrame, text: str, lang: str, order: Column) -> Data
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """A model from all rows of ``docs`` that have a language; ``key`` only orders the sample."""
+    """A model from all rows of ``docs`` that have a language; ``key`` and text order the sample, whatever ids are null or equal."""
     learning = docs.where(docs[lang].isNotNull() & docs[text].isNotNull())
     counted = {row.cell: row.df for row in document_frequencies(learning, text).collect()}  # at most FEATURES + 1 rows
     total = counted.pop(-1, 0)
     idf = np.full(FEATURES, np.log(1.0 + total) + 1)
     for cell, df in counted.items():
         idf[cell] = np.log((1 + total) / (1 + df)) + 1
-    sample = bounded_sample(learning, text, lang, F.xxhash64(docs[key].cast("string"), F.lit("language")))
+    # Rows that share an id, or have none, are drawn by their texts.
+    order = F.xxhash64(docs[key].cast("string"), docs[text], F.lit("language"))
+    sample = bounded_sample(learning, text, lang, order)
 
     def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer()

@@ -56,7 +56,7 @@ NOTICE_PHRASES = {
     "proprietary and confidential": "proprietary",
     "no part of this publication may be reproduced": "reserved",
 }
-TAG_PHRASE = "spdx license identifier"
+TAG_PHRASES = ("spdx license identifier", "spdx licence identifier")
 
 #: How far a label limits re-use.
 LIMITS = {
@@ -84,15 +84,22 @@ def family(identifier: str) -> str:
     return name.strip("-") or identifier.lower()
 
 
+def _names_licence(token: str) -> bool:
+    """Whether a word behind an operator in small letters is meant as a licence."""
+    return token == "" or token == "(" or any(c.isdigit() for c in token) or family(token) in LIMITS
+
+
 def postfix(expression: str) -> list[str] | None:
     """Shunting-yard: operands and operators in postfix order, or None if the expression is malformed."""
     out: list[str] = []
     waiting: list[str] = []
     operand_next = True
-    for token in _TOKEN.findall(expression):
+    tokens = _TOKEN.findall(expression)
+    for token, following in zip(tokens, [*tokens[1:], ""], strict=False):
         word = token.lower()
         if token == "(":
-            if not operand_next:
+            # An exception is one name, no expression.
+            if not operand_next or (waiting and waiting[-1] == "with"):
                 return None
             waiting.append(token)
         elif token == ")":
@@ -106,6 +113,8 @@ def postfix(expression: str) -> list[str] | None:
         elif word in _RANK:
             if operand_next:
                 return None
+            if token == word and word != "with" and not _names_licence(following):
+                break  # a sentence goes on after the expression
             while waiting and waiting[-1] != "(" and _RANK[waiting[-1]] >= _RANK[word]:
                 out.append(waiting.pop())
             waiting.append(word)
@@ -148,7 +157,7 @@ def automaton():
     import ahocorasick
 
     found: dict[str, list[tuple[str, bool]]] = {}
-    for phrases, base in ((BASE_PHRASES, True), (NOTICE_PHRASES, False), ({TAG_PHRASE: ""}, False)):
+    for phrases, base in ((BASE_PHRASES, True), (NOTICE_PHRASES, False), (dict.fromkeys(TAG_PHRASES, ""), False)):
         for phrase, label in phrases.items():
             found.setdefault(phrase, []).append((label, base))
     machine = ahocorasick.Automaton()

@@ -15,8 +15,8 @@ edge of the order is looked at row by row: :data:`LEVELS` histograms of 1,024 ce
 each within one cell of the last, find the few rows around it, so that no source is
 ever sorted or gathered.
 
-The draw is the md5 of seed and document id, so reruns agree.  Null texts have
-size 0.  Documents of size 0 take no words.  Rows equal in id and text share a draw
+The draw is the md5 of seed and document id (of the text's md5 where the id is null),
+so reruns agree.  Null texts have size 0.  Documents of size 0 take no words.  Rows equal in id and text share a draw
 and are taken together.  A source without words has target 0.
 """
 
@@ -155,7 +155,7 @@ def mix(
     rows = docs.select(
         F.struct(*(docs[c] for c in own_columns)).alias("_doc"),
         docs[source].alias("_source"), source_key.alias("_source_key"), word_count(docs[text]).alias("_size"),
-        own.alias("_own"), draw(docs[key]).alias("_draw"),
+        own.alias("_own"), draw(F.coalesce(docs[key].cast("string"), F.md5(docs[text]))).alias("_draw"),
         F.struct(docs[key].alias("key"), F.md5(docs[text]).alias("text")).alias("_tie"),
     )
     narrow = stored(rows.select("_source", "_source_key", "_size", "_own", "_draw", "_tie"), "mix-rows")
@@ -217,7 +217,7 @@ MIX_SQL = f"""
     WITH sized AS (
         SELECT doc_id, source,
                coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-               (('0x' || substr(md5('{SEED}:' || doc_id::VARCHAR), 1, {_BITS // 4}))::BIGINT + 0.5)
+               (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, {_BITS // 4}))::BIGINT + 0.5)
                    / {float(1 << _BITS)!r}::DOUBLE AS u
         FROM documents),
     sources AS (
