@@ -76,4 +76,4 @@ def test_registered(spark):
     import __spark_entry__ as contract
 
     assert contract.queries()["pipeline"] is corpus_pipeline.run
-    assert len([name for name in contract.queries() if name.startswith("op")]) == 10
+    assert len([name for name in contract.queries() if name.startswith("op")]) == 13

@@ -7,6 +7,8 @@ that is longer, so memory follows the block, not the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,6 +42,13 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def give_back() -> None:
+    """Return memory that is free but still held by this Python worker, which serves one stage after another."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library offers it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import U, text_blocks
+from tidemark.llm.arrays import U, give_back, text_blocks
 
 CHUNK_BYTES = 4 << 20
 
@@ -81,7 +81,7 @@ def in_chunks(docs: DataFrame, text: str, keep: Sequence[str], layout: Layout) -
 
 def opened(blobs: pa.Table) -> pa.Table:
     """The documents of a chunk's blobs."""
-    pa.default_memory_pool().release_unused()  # what the chunk before has left
+    give_back()  # what the chunk before has left
     return pa.concat_tables(pa.ipc.open_stream(blob.as_py()).read_all() for blob in blobs.column("_blob"))
 
 

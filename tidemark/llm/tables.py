@@ -23,8 +23,3 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_of(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` with only the columns ``names``, whatever else it brings along."""
-    return df.select(*names)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.arrays import PrefixHash, U, flat_bytes, text_blocks
+from tidemark.llm.arrays import PrefixHash, U, flat_bytes, give_back, text_blocks
 
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -169,6 +169,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tu
     rows = docs.select(*keep, docs[text].alias("_text"))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = Vocabulary(*shared.value)
         encoder, table = Encoder(own), own.bytes_of()
         for block in text_blocks(batches, "_text"):
