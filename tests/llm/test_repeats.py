@@ -78,3 +78,28 @@ def test_anchors_spread_over_buckets():
     anchors = np.unique(repeats.Runs.of(pa.array([text])).anchor)
     shares = np.bincount((anchors >> np.uint64(61)).astype(int), minlength=8) / len(anchors)
     assert len(anchors) > 1000 and shares.min() > 0.08 and shares.max() < 0.18
+
+
+def test_runs_against_each_window():
+    """Runs found by edges and sliding extremes are those of a plain walk over all strings."""
+    import numpy as np
+    import pyarrow as pa
+
+    pick = random.Random(11)
+    texts = odd_texts() + ["x" * 199, "x" * 200, "x" * 199 + "é", "".join(pick.choices("ab", k=2000))]
+    found = repeats.Runs.of(pa.array(texts))
+    block = repeats.Bytes(pa.array(texts))
+    grams, width = block.hashes.windows(repeats.GRAM).tolist(), repeats.LENGTH - repeats.GRAM + 1
+    plain = []
+    for low, high in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
+        for start in range(low, high - repeats.LENGTH):
+            least = min(grams[start : start + width])
+            if start > low and plain[-1][0] == least and plain[-1][2] < repeats.LONGEST_RUN:
+                plain[-1][2] += 1
+            else:
+                plain.append([least, start, 1])
+    weights = [min(2, grams[start : start + size + width - 1].count(least)) for least, start, size in plain]
+    assert found.start.tolist() == [start for _, start, _ in plain]
+    assert found.size.tolist() == [size for _, _, size in plain]
+    assert found.weight.tolist() == weights
+    assert found.anchor.tolist() == repeats.mix(np.array([least for least, _, _ in plain], np.uint64)).tolist()

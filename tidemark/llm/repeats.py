@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,8 @@ LONGEST_RUN = 256
 INDEX_BYTES = 1 << 18
 SHARDS = 8
 ANCHORS, STRINGS, RUNS = 1, 2, 3
-BLOCK = 1 << 19
+#: Bytes of text whose hashes are at hand at once: their arrays then stay in memory that the worker already has.
+BLOCK = 1 << 17
 
 
 def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -55,13 +57,30 @@ def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
+def sliding(of: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum (or maximum) of each window of ``width`` values, by its start."""
+    count = len(values) - width + 1
+    rows = np.concatenate([values, np.repeat(values[-1:], -len(values) % width)]).reshape(-1, width)
+    front = of.accumulate(rows, axis=1).ravel()
+    back = of.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return of(back[:count], front[width - 1 : width - 1 + count])
+
+
+class Bytes:
+    """The bytes of one block of documents, hashed once they are asked for."""
+
+    def __init__(self, texts: pa.Array):
+        self.data, self.offsets = flat_bytes(texts)
+
+    @cached_property
+    def hashes(self) -> PrefixHash:
+        return PrefixHash(self.data)
+
+
 @dataclass
 class Runs:
     """Runs of consecutive string starts with one anchor, over one block of documents."""
 
-    data: np.ndarray
-    offsets: np.ndarray
-    hashes: PrefixHash
     anchor: np.ndarray
     start: np.ndarray
     size: np.ndarray
@@ -69,78 +88,74 @@ class Runs:
 
     @staticmethod
     def of(texts: pa.Array) -> Runs:
-        data, offsets = flat_bytes(texts)
-        hashes = PrefixHash(data)
-        grams, width = hashes.windows(GRAM), LENGTH - GRAM + 1
+        block = Bytes(texts)
+        offsets = block.offsets
+        grams, width = block.hashes.windows(GRAM), LENGTH - GRAM + 1
         count = len(grams) - width + 1
         none = np.zeros(0, np.int64)
         if count <= 0:
-            return Runs(data, offsets, hashes, np.zeros(0, np.uint64), none, none, none)
-        rows = np.concatenate([grams, np.full(-len(grams) % width, U(0xFFFFFFFFFFFFFFFF))]).reshape(-1, width)
-        front = np.minimum.accumulate(rows, axis=1).ravel()
-        back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(back[:count], front[width - 1 : width - 1 + count])
-        last = np.repeat(offsets[1:] - 1 - LENGTH, np.diff(offsets))[:count]  # the last start in each byte's document
-        starts = np.flatnonzero(np.arange(count) <= last)
-        if not len(starts):
-            return Runs(data, offsets, hashes, np.zeros(0, np.uint64), none, none, none)
-        least = least[starts]
-        new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(starts) != 1)]))
-        size = np.diff(np.append(new, len(starts)))
+            return Runs(np.zeros(0, np.uint64), none, none, none)
+        least = sliding(np.minimum, grams, width)
+        # Starts reach from a document's first byte to its last whole string; a new least hash begins a new run.
+        begin, after = offsets[:-1], np.maximum(offsets[1:] - LENGTH, offsets[:-1])
+        edges = np.unique(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, begin, after]))
+        inside = edges < after[np.minimum(np.searchsorted(begin, edges, "right") - 1, len(after) - 1)]
+        start, size = edges[inside], (np.append(edges[1:], 0) - edges)[inside]
+        if not len(start):
+            return Runs(np.zeros(0, np.uint64), none, none, none)
         # Long runs, as in texts of one letter, are cut; their parts keep the anchor.
         parts = -(-size // LONGEST_RUN)
         part = ranges(np.zeros(len(size), np.int64), parts)
-        anchor = np.repeat(least[new], parts)
-        first = np.repeat(starts[new], parts) + part * LONGEST_RUN
+        anchor = np.repeat(least[start], parts)
+        first = np.repeat(start, parts) + part * LONGEST_RUN
         size = np.minimum(np.repeat(size, parts) - part * LONGEST_RUN, LONGEST_RUN)
-        # A run that holds its anchor more than once may repeat itself.
-        places = size + width - 1
-        same = grams[ranges(first, places)] == np.repeat(anchor, places)
-        weight = np.minimum(np.add.reduceat(same, np.cumsum(places) - places, dtype=np.int64), 2)
+        # A run that holds its anchor more than once may repeat itself.  Only places that are
+        # the least of a window can be an anchor: those where the greatest least is the place's own.
+        edge = np.zeros(width - 1, np.uint64)
+        places = np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), width) == grams)
+        low = np.searchsorted(places, first)
+        held = np.searchsorted(places, first + size + width - 1) - low
+        same = grams[places[ranges(low, held)]] == np.repeat(anchor, held)
+        weight = np.minimum(np.add.reduceat(same, np.cumsum(held) - held, dtype=np.int64), 2)
         # Least hashes are all small; mixed again they spread over the buckets.
-        return Runs(data, offsets, hashes, mix(anchor), first, size, weight)
+        return Runs(mix(anchor), first, size, weight)
 
-    def content(self) -> np.ndarray:
-        """A hash of the bytes that each run's strings cover."""
-        return self.hashes.ranges(self.start, self.start + self.size + LENGTH - 1)
+    def content(self, block: Bytes, chosen: np.ndarray) -> np.ndarray:
+        """A hash of the bytes that the strings of each chosen run cover."""
+        start = self.start[chosen]
+        return block.hashes.ranges(start, start + self.size[chosen] + LENGTH - 1)
 
 
 class Chunk:
-    """All runs of a chunk's documents, block by block."""
+    """All runs of a chunk's documents, block by block.
+
+    The runs are found once and held; the bytes of a block and their hashes, which are
+    many times larger, are made again where a later step needs them.
+    """
 
     def __init__(self, docs: pa.Table):
-        self.docs = docs
-        self.anchors, self.number = self._anchors()
-
-    def blocks(self) -> Iterator[tuple[pa.RecordBatch, Runs]]:
-        for batch in self.docs.combine_chunks().to_batches():
-            for block in text_blocks([batch], "_text", BLOCK):
-                yield block, Runs.of(block.column("_text"))
-
-    def _anchors(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        found, self.weights = [], []
-        for _, runs in self.blocks():
-            found.append(runs.anchor)
-            self.weights.append(runs.weight)
-        keys, number = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_inverse=True)
-        return keys, np.split(number, np.cumsum([len(part) for part in found])[:-1])
+        self.blocks = [b for batch in docs.combine_chunks().to_batches() for b in text_blocks([batch], "_text", BLOCK)]
+        self.runs = [Runs.of(block.column("_text")) for block in self.blocks]
+        found = np.concatenate([*(runs.anchor for runs in self.runs), np.zeros(0, np.uint64)])
+        self.anchors, self.number = np.unique(found, return_inverse=True)
 
     def counts(self) -> np.ndarray:
-        weights = np.concatenate([*self.weights, np.zeros(0, np.int64)])
-        numbers = np.concatenate([*self.number, np.zeros(0, np.int64)]).astype(np.int64)
-        return np.bincount(numbers, weights, minlength=len(self.anchors)).astype(np.int64)
+        weights = np.concatenate([*(runs.weight for runs in self.runs), np.zeros(0, np.int64)])
+        return np.bincount(self.number, weights, minlength=len(self.anchors)).astype(np.int64)
 
-    def suspects(self, total: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Runs, np.ndarray, np.ndarray]]:
-        """Each block with its runs to be merged and those to be counted by string."""
-        for (block, runs), number in zip(self.blocks(), self.number, strict=True):
-            own = total[number]
-            yield block, runs, np.flatnonzero((own >= 2) & (own < HOT)), np.flatnonzero(own >= HOT)
+    def suspects(self, total: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Bytes, Runs, np.ndarray, np.ndarray]]:
+        """Each block with its runs, those to be merged and those to be counted by string."""
+        at = 0
+        for block, runs in zip(self.blocks, self.runs, strict=True):
+            own = total[self.number[at : at + len(runs.anchor)]]
+            at += len(runs.anchor)
+            yield block, Bytes(block.column("_text")), runs, np.flatnonzero((own >= 2) & (own < HOT)), np.flatnonzero(own >= HOT)
 
 
-def string_hashes(runs: Runs, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def string_hashes(block: Bytes, runs: Runs, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each string of the chosen runs."""
     starts = ranges(runs.start[chosen], runs.size[chosen])
-    return starts, runs.hashes.ranges(starts, starts + LENGTH)
+    return starts, block.hashes.ranges(starts, starts + LENGTH) if len(starts) else np.zeros(0, np.uint64)
 
 
 def distinct_runs(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,12 +341,12 @@ def repeated_spans(
         number = blobs.column("_chunk")[0].as_py()
         chunk = Chunk(opened(blobs))
         strings, anchor, content, raw = [], [], [], []
-        for _, runs, merged, counted in chunk.suspects(Answers(answered).totals(ANCHORS)):
-            strings.append(string_hashes(runs, counted)[1])
+        for _, block, runs, merged, counted in chunk.suspects(Answers(answered).totals(ANCHORS)):
+            strings.append(string_hashes(block, runs, counted)[1])
             anchor.append(runs.anchor[merged])
-            own, ends = runs.content()[merged], runs.start[merged] + runs.size[merged] + LENGTH - 1
-            content.append(own)
-            raw += [runs.data[a:b].tobytes() for a, b in zip(runs.start[merged].tolist(), ends.tolist(), strict=True)]
+            content.append(runs.content(block, merged))
+            ends = runs.start[merged] + runs.size[merged] + LENGTH - 1
+            raw += [block.data[a:b].tobytes() for a, b in zip(runs.start[merged].tolist(), ends.tolist(), strict=True)]
         rows = []
         keys, counts = np.unique(np.concatenate([*strings, np.zeros(0, np.uint64)]), return_counts=True)
         if len(keys):
@@ -353,12 +368,12 @@ def repeated_spans(
     def cover(blobs: pa.Table, answered: pa.Table) -> pa.Table:
         chunk, answers = Chunk(opened(blobs)), Answers(answered)
         parts, anchor, content, size, hot = [], [], [], [], []
-        for block, runs, merged, counted in chunk.suspects(answers.totals(ANCHORS)):
+        for rows, block, runs, merged, counted in chunk.suspects(answers.totals(ANCHORS)):
             anchor.append(runs.anchor[merged])
-            content.append(runs.content()[merged])
+            content.append(runs.content(block, merged))
             size.append(runs.size[merged])
-            hot.append(string_hashes(runs, counted))
-            parts.append((block, runs.data, runs.offsets, runs.start[merged], runs.size[merged]))
+            hot.append(string_hashes(block, runs, counted))
+            parts.append((rows, block.data, block.offsets, runs.start[merged], runs.size[merged]))
         anchors = np.concatenate([*anchor, np.zeros(0, np.uint64)])
         contents = np.concatenate([*content, np.zeros(0, np.uint64)])
         sizes = np.concatenate([*size, np.zeros(0, np.int64)]).astype(np.int64)
