@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import U, as_long, mix, shingle_sets, text_blocks, word_hashes
+from tidemark.llm.arrays import U, as_long, give_back, mix, shingle_sets, text_blocks, word_hashes
 from tidemark.llm.components import components
 from tidemark.llm.tables import stored
 from tidemark.sizes import fits_broadcast
@@ -96,6 +96,7 @@ def sketched(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
     """Columns ``keep``, ``n_shingles``, ``node`` (null for an empty set) and ``bands``, from ``_text``."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for block in text_blocks(batches, "_text"):
             sets = _sets(block, size)
             columns = [
@@ -114,6 +115,7 @@ def full_sets(rows: DataFrame, size: int) -> DataFrame:
     """Columns ``_set`` (its name) and ``shingles`` (sorted 64-bit hashes), from ``_text``."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for block in text_blocks(batches, "_text"):
             sets = [own for own in _sets(block, size) if len(own)]
             columns = [pa.array([digest(own) for own in sets], pa.binary()), pa.array([own.tobytes() for own in sets], pa.binary())]

@@ -13,6 +13,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let at most :data:`BATCH_BYTES` (or one row) of whole texts travel to Python at once, in this session.
+
+    Spark's own bound is 10,000 rows or 64 MB, of which JVM and Python hold a copy each, for every core.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).lower().removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the folder all executors share and read it back.
 
