@@ -16,7 +16,7 @@ from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix
 from tidemark.llm.quality import judge
 from tidemark.llm.repeats import repeated_spans
-from tidemark.llm.tables import stored, table
+from tidemark.llm.tables import small_batches, stored, table
 from tidemark.llm.tokens import encode_decode
 from tidemark.sizes import fits_broadcast
 
@@ -38,6 +38,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the fixed limits, or stand out from their language and source, go."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     named = docs.select("text", "lang", "source", *_row())
     return _without(docs, judge(named, keep=("_id", "_hash")).where(~F.col("kept")))
@@ -45,6 +46,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one of the least id.  Documents without words stay."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     named = docs.select("doc_id", "text", *_row())
     found = stored(near_duplicates(named, keep=("_id", "_hash")).where(F.col("group").isNotNull()), "groups")
@@ -64,6 +66,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole characters of repeated passages are cut out; every document stays, be it empty."""
+    small_batches(spark)
     keep = tuple(c for c in COLUMNS if c != "text")
     cut = repeated_spans(docs.select(*COLUMNS), keep=keep, whole_characters=True)
     text = F.col("kept").cast("string")
@@ -78,6 +81,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, checked to decode to its text."""
+    small_batches(spark)
     coded = encode_decode(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "text", "lang", "source"))
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select(
