@@ -130,3 +130,27 @@ def test_dropout_keeps_its_share():
     kept = network.kept_units(rows, 2, 50, 0.5)
     assert set(np.unique(kept)) == {0.0, 2.0} and abs(kept.mean() - 1) < 0.02
     assert abs(np.corrcoef(kept[:, 0], kept[:, 1])[0, 1]) < 0.06
+
+
+def test_many_small_steps_share_jobs(spark, tmp_path, monkeypatch):
+    """Chunks of small batches end where a job for each batch ends, and need no such job."""
+    _, train = invented(spark, 700, 8)
+    _, valid = invented(spark, 20, 9)
+    jobs, chunks = [], []
+    real, chunk = network.batch_gradient, network.chunk_steps
+    monkeypatch.setattr(network, "batch_gradient", lambda *a: jobs.append(1) or real(*a))
+    monkeypatch.setattr(network, "chunk_steps", lambda *a: chunks.append(1) or chunk(*a))
+    # 40 batches in a chunk, so that the second chunk ends with a short batch.
+    monkeypatch.setattr(network, "CHUNK_BYTES", 40 * 16 * 3 * 8)
+    state, history = network.train_network(train, valid, str(tmp_path / "a"), PLAN, epochs=2)
+    assert (len(jobs), len(chunks), state.steps) == (0, 4, 88)
+    monkeypatch.setattr(network, "FEW_STEPS", 1000)
+    other, single = network.train_network(train, valid, str(tmp_path / "b"), PLAN, epochs=2)
+    assert (len(jobs), len(chunks)) == (88, 4)
+    np.testing.assert_allclose(state.flat, other.flat, rtol=1e-7, atol=1e-12)
+    both = zip(history.orderBy("epoch").collect(), single.orderBy("epoch").collect(), strict=True)
+    assert all(list(a) == pytest.approx(list(b)) for a, b in both)
+    monkeypatch.setattr(network, "FEW_STEPS", 4)
+    monkeypatch.setattr(network, "SMALL_STEP", 100)
+    network.train_network(train.limit(100), valid, str(tmp_path / "c"), PLAN, epochs=1)
+    assert (len(jobs), len(chunks)) == (95, 4)

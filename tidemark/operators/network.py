@@ -5,9 +5,12 @@ linear layer of two outputs and a softmax.  The loss is the cross entropy of the
 *those probabilities* (as the original has it), the optimiser AdamW.
 
 * An epoch deals all rows into batches by a seeded draw of their keys and stores them.
-* A step is one job over one batch: each partition of it sends its gradient in pieces, an
-  aggregate adds the pieces up, and the driver, which holds nothing but the
-  parameters, makes the step.  What is sent and collected has the size of the model.
+* Where batches are large or few, a step is one job over one batch: each partition of it
+  sends its gradient in pieces, an aggregate adds the pieces up, and the driver, which holds
+  nothing but the parameters, makes the step.  What is sent and collected has the size of the model.
+* Steps follow one another, and a job for each of many small batches would cost far more than
+  the step.  There a job makes the steps of a chunk of batches, a bounded number of rows, in one
+  task, and the next job goes on from its state.
 * Which units drop out for a row follows from the row's key, the epoch and the unit, so a
   repeated task and a repeated run give the same.
 * After each epoch the parameters and moments are a stored table.  A new run over the
@@ -36,6 +39,12 @@ from tidemark.sources.tables import is_complete, materialize
 
 #: Numbers in one piece of a gradient or of the stored state.
 PIECE = 1 << 15
+#: Rows times parameters of a batch up to which one task makes a step by itself, in well under a second.
+SMALL_STEP = 1 << 29
+#: Steps of an epoch up to which each is a job, however small.
+FEW_STEPS = 32
+#: Bytes of the vectors in a chunk of small batches.
+CHUNK_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -203,6 +212,44 @@ def batch_gradient(rows: DataFrame, plan: Plan, flat: np.ndarray) -> tuple[np.nd
     return packed[:-2] / packed[-1], packed[-2] / packed[-1]
 
 
+def chunk_steps(rows: DataFrame, plan: Plan, state: State) -> tuple[State, list[float]]:
+    """The steps of one chunk's batches, one after the other in one task, and the loss of each.
+
+    ``rows`` (``position``, ``x``, ``label``, ``row``) start with a batch; only the last batch may be short.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((state.flat, state.first, state.second, state.steps))
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found, waiting = State(*shared.value), [], None
+
+        def stepped(x: np.ndarray, label: np.ndarray, hashes: np.ndarray) -> State:
+            total, p = gradient(plan, at.flat, x, label, hashes)
+            found.append(float(losses(p, label).sum()) / len(label))
+            return at.step(total / len(label), plan.rate)
+
+        for batch in batches:
+            if batch.num_rows:
+                arrays = _arrays(batch)
+                waiting = arrays if waiting is None else tuple(np.concatenate(both) for both in zip(waiting, arrays, strict=True))
+                whole = len(waiting[1]) // plan.batch * plan.batch
+                for start in range(0, whole, plan.batch):
+                    at = stepped(*(values[start : start + plan.batch] for values in waiting))
+                waiting = tuple(values[whole:] for values in waiting)
+        if waiting is not None and len(waiting[1]):
+            at = stepped(*waiting)
+        for name, values in (("flat", at.flat), ("first", at.first), ("second", at.second), ("losses", np.array(found))):
+            for piece in range(-(-len(values) // PIECE)):
+                part = values[piece * PIECE : (piece + 1) * PIECE].tobytes()
+                yield pa.RecordBatch.from_pydict({"name": [name], "piece": pa.array([piece], pa.int32()), "part": pa.array([part], pa.binary())})
+
+    ordered = rows.repartition(1).sortWithinPartitions("position").select("x", "label", "row")
+    # What is collected has the size of the state and a number for each step.
+    parts = sorted(ordered.mapInArrow(walk, "name string, piece int, part binary").collect(), key=lambda row: row["piece"])
+    whole = {name: np.concatenate([np.frombuffer(row["part"]) for row in parts if row["name"] == name]) for name in {row["name"] for row in parts}}
+    made = whole["losses"].tolist()
+    return State(whole["flat"], whole["first"], whole["second"], state.steps + len(made)), made
+
+
 def _rows(dataset: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
     rows = dataset.select(F.col(key).alias("key"), F.col(embedding).cast("array<double>").alias("x"), F.col(label).cast("int").alias("label"))
     return rows.dropna()
@@ -282,14 +329,22 @@ def _scored(valid: DataFrame, plan: Plan, state: State, key: str, embedding: str
 def _epoch(rows: DataFrame, count: int, plan: Plan, state: State, path: str, epoch: int) -> tuple[State, list[float]]:
     """All steps of an epoch, and the loss of each batch."""
     drawn = draw_position(rows, "key", plan.seed * 1_000_003 + epoch)
-    batch = F.floor((F.col("position") - 1) / plan.batch).cast("int")
     hashed = F.xxhash64(F.col("key"), F.lit(plan.seed), F.lit(epoch)).alias("row")
-    dealt = drawn.select(batch.alias("batch"), "x", "label", hashed)
+    steps = -(-count // plan.batch)
+    chained = steps > FEW_STEPS and plan.batch * plan.parameters() <= SMALL_STEP
+    together = max(1, CHUNK_BYTES // (8 * plan.size * plan.batch)) if chained else 1
+    batch = F.floor((F.col("position") - 1) / (plan.batch * together)).cast("int")
+    dealt = drawn.select(batch.alias("batch"), "position", "x", "label", hashed)
     dealt.repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(path)
     stored = rows.sparkSession.read.schema(dealt.schema).parquet(path)
     found = []
-    for number in range(-(-count // plan.batch)):
-        mean, loss = batch_gradient(stored.where(F.col("batch") == number).select("x", "label", "row"), plan, state.flat)
-        state = state.step(mean, plan.rate)
-        found.append(loss)
+    for number in range(-(-steps // together)):
+        part = stored.where(F.col("batch") == number).select("position", "x", "label", "row")
+        if chained:
+            state, made = chunk_steps(part, plan, state)
+            found += made
+        else:
+            mean, loss = batch_gradient(part.drop("position"), plan, state.flat)
+            state = state.step(mean, plan.rate)
+            found.append(loss)
     return state, found
