@@ -7,6 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import sizes
 from tidemark.functions.fixed_values import AFFECTS
 from tidemark.operators import affect, ranksum, tfidf
 from tidemark.sizes import inline_table
@@ -189,3 +190,18 @@ def test_tfidf_top_terms(spark):
     rows = [("a", f"w{i}", i / 10) for i in range(5)] + [("b", f"w{i}", (5 - i) / 10) for i in range(5)]
     top = tfidf.tfidf_top_terms(spark.createDataFrame(rows, "class string, word string, tfidf double"), 1)
     assert sorted((r["class"], r.word) for r in top.collect()) == [("a", "w0"), ("a", "w4"), ("b", "w0"), ("b", "w4")]
+
+
+@pytest.mark.parametrize("rows", [0, 4, 10**6])
+def test_tfidf_of_many_words(spark, monkeypatch, tmp_path, rows):
+    """More words than can be broadcast: tallies of frequent ones stay, the others are shuffled once, without copies."""
+    docs = [("ab"[k % 2], k, [f"w{j}" for j in range(1, 30) if k % j == 0]) for k in range(1, 40)]
+    tallies = tfidf.word_tallies(spark.createDataFrame(docs, "class string, id int, words array<string>"), "id")
+    want = {(r["class"], r.word): r.tfidf for r in tfidf.tfidf_average(tfidf.tfidf_weights(tallies, "id")).collect()}
+    monkeypatch.setattr(sizes, "BROADCAST_ROWS", rows)
+    weights = tfidf.tfidf_weights(tallies, "id", folder=str(tmp_path))
+    assert {(r["class"], r.word): r.tfidf for r in tfidf.tfidf_average(weights).collect()} == pytest.approx(want)
+    monkeypatch.setattr(tfidf, "lookup_join", lambda *a, **k: seen.append(k.get("often")) or sizes.lookup_join(*a, **k))
+    seen = []
+    tfidf.tfidf_weights(tallies, "id", folder=str(tmp_path))
+    assert seen == ["df", None]

@@ -126,3 +126,23 @@ def test_label_cohorts(spark):
     parts = {"a": spark.range(2), "b": spark.range(3).withColumn("x", F.lit(1))}
     both = cohort.label_cohorts(parts)
     assert ids(both.groupBy("class").count(), "class", "count") == [("a", 2), ("b", 3)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_frequent_keys_are_broadcast(spark, monkeypatch, tmp_path, how):
+    """Of a right side that does not fit, the frequent keys' rows are not shuffled."""
+    rows = [(f"w{k}" if k else None, copy) for k in range(40) for copy in range(100 if k < 6 else 2)]
+    left = spark.createDataFrame(rows, "word string, copy int")
+    right = left.where("word <> 'w7'").groupBy("word").agg(F.count("*").alias("often"))
+    want = sorted(map(str, left.join(right, "word", how).select("word", "copy", "often").collect()))
+    monkeypatch.setattr(sizes, "BROADCAST_ROWS", 8)
+    found = lookup_join(left, right, ["word"], how, folder=str(tmp_path), often="often")
+    assert sorted(map(str, found.collect())) == want
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lookup_join(left, right, ["word"], how, folder=str(tmp_path), often="often")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Frequent ones, what is left of them, and the others.
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1 and "_salt" not in plan

@@ -31,17 +31,18 @@ def tfidf_weights(tallies: DataFrame, doc: str, label: str = "class", folder: st
     Two narrow tables are joined to the tallies: a weight for each word, and a length for each
     document, which its words add up to within their partition.  With a ``folder`` that
     all executors share both are stored there and measured; what fits is broadcast,
-    so that the tallies themselves are not shuffled at all.  Otherwise they are by the
-    word, a join that adaptive execution splits, and by the document.
+    so that the tallies themselves are not shuffled at all.  Of more words than fit the
+    most frequent are broadcast and the tallies of the others shuffled by the word; of more
+    documents than fit the tallies are shuffled by the document.
     """
     frequency = tallies.groupBy(label, "word").agg(F.count("*").alias("df"))
     # One row per class.
     sizes = tallies.groupBy(label).agg(F.count_if("lead").alias("n"))
     idf = frequency.join(F.broadcast(sizes), label).select(
-        label, "word", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
+        label, "word", "n", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    weighted = lookup_join(tallies, idf, ["word", label], "inner", salt_by=[doc], folder=folder)
-    weighted = weighted.withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = lookup_join(tallies, idf, ["word", label], "inner", salt_by=[doc], folder=folder, often="df")
+    weighted = weighted.select(label, doc, "word", "n", (F.col("tf") * F.col("idf")).alias("w"))
     lengths = weighted.groupBy(doc, label).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_length"))
     scaled = lookup_join(weighted, lengths, [doc, label], "inner", salt_by=["word"], folder=folder)
     return scaled.select(label, doc, "word", "n", (F.col("w") / F.col("_length")).alias("weight"))
