@@ -1,10 +1,13 @@
 import re
 import unicodedata
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from catalog.queries import QUERIES
+from tidemark import sizes
 from tidemark.functions import text as tx
 from tidemark.functions.fixed_values import CUSTOM_STOPWORDS
 from tidemark.sizes import inline_table
@@ -191,3 +194,31 @@ def test_rule_lemmas_in_arrays(spark):
     lemmas = tx.lemmas_by_rules(docs.select(F.explode("words").alias("word")), known)
     got = sorted((row.id, row.words) for row in tx.lemmatise_arrays(docs, lemmas, ["id"]).collect())
     assert got == [(1, []), (1, ["cat"]), (1, ["cat", "cat"]), (1, ["dog", "run"]), (1, ["dog", "run"]), (2, [])]
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_lemmas_in_arrays_with_a_folder(spark, monkeypatch, tmp_path, rows):
+    """A table that fits replaces words in place, without a shuffle; a larger one is joined; both as without a folder."""
+    monkeypatch.setattr(sizes, "BROADCAST_ROWS", rows)
+    texts = [["dogs", "run", "dogs"], ["dogs", "run", "dogs"], [], None, ["cats", None], ["x"] * 3]
+    docs = spark.createDataFrame([(k % 5 or None, words) for k, words in enumerate(texts * 3)], "id int, words array<string>").repartition(4)
+    lemmas = spark.createDataFrame([("dogs", "hound"), ("dogs", "dog"), ("cats", None), (None, "x"), ("x", "")], "surface string, lemma string")
+    want = sorted(map(str, tx.lemmatise_arrays(docs, lemmas, ["id"]).collect()))
+    found = tx.lemmatise_arrays(docs, lemmas, ["id"], folder=str(tmp_path))
+    assert sorted(map(str, found.collect())) == want
+    assert "['dog', 'run', 'dog']" in str(want) and len(want) == 18
+    if rows:
+        plain = tx.lemmatise_arrays(docs.sparkSession.createDataFrame(docs.collect(), docs.schema), lemmas, ["id"], folder=str(tmp_path))
+        assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rule_lemmas_of_documents_are_not_shuffled(spark, tmp_path):
+    """The lemma queries shuffle no row per word of a text."""
+    rows = [(1, "cats dogs thing thed"), (2, None), (2, ""), (3, "thing thing")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "cat dog")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"lemma_tokens": ["", "", "cats dogs th th", "th th"], "lemma_rules_tokens": ["", "", "cat dog thing thed", "thing thing"]}
+    for name, joined in want.items():
+        found = QUERIES[name](spark, str(tmp_path))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(row.joined for row in found.collect()) == sorted(joined)

@@ -7,13 +7,17 @@ white space is what Unicode calls white space.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS, FIELD_SEPARATOR, NOUN_RULES
+from tidemark.sizes import fits_broadcast, write_once
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1C-\x20\x{85}\p{Z}"
@@ -148,16 +152,25 @@ def lemmatise(words: DataFrame, lemmas: DataFrame) -> DataFrame:
     return words.join(table, "word", "left").withColumn("word", F.coalesce("lemma", "word")).select(*words.columns)
 
 
-def lemmatise_arrays(docs: DataFrame, lemmas: DataFrame, keys: Iterable[str], words: str = "words") -> DataFrame:
+def lemmatise_arrays(
+    docs: DataFrame, lemmas: DataFrame, keys: Iterable[str], words: str = "words", folder: str | None = None
+) -> DataFrame:
     """Replace the words of each row's array by their lemmas, in place; columns ``keys`` and ``words``.
 
-    There is a row per input row, also where rows agree in all keys.  Rows equal in keys and
-    words are one row with a count on the way.  The lemma table ``(surface, lemma)`` is
-    joined, so it may be of any size; of several lemmas of a word the first in order counts.
+    There is a row per input row, also where rows agree in all keys.  The lemma table
+    ``(surface, lemma)`` may be of any size; of several lemmas of a word the first in order
+    counts.  With a ``folder`` that all executors share the table is stored there and measured;
+    if it fits, every task gets it and replaces words where they stand, without a shuffle.
+    Otherwise it is joined to the single words; rows equal in keys and words are one row with
+    a count on the way.
     """
     keys = list(keys)
     table = lemmas.groupBy(F.col("surface").alias("_word")).agg(F.min("lemma").alias("_lemma"))
-    different = docs.select(*keys, F.col(words).alias("_list")).groupBy(*keys, "_list").agg(F.count("*").alias("_copies"))
+    if folder is not None:
+        table = write_once(table.dropna(), folder, "lemmas")
+        if fits_broadcast(table):
+            return _replaced(docs.select(*keys, F.col(words).alias(words)), table.toArrow(), words)
+    different = docs.select(*keys, F.coalesce(words, F.array()).alias("_list")).groupBy(*keys, "_list").agg(F.count("*").alias("_copies"))
     # Keys and hash name a row of these; the hash is made before the words are dealt out.
     named = different.select(*keys, "_copies", F.xxhash64("_list").alias("_row"), "_list")
     spelt = named.select(*keys, "_copies", "_row", F.posexplode_outer("_list").alias("_at", "_word"))
@@ -169,6 +182,24 @@ def lemmatise_arrays(docs: DataFrame, lemmas: DataFrame, keys: Iterable[str], wo
     return back.select(*keys, words, each).drop("_copy")
 
 
+def _replaced(docs: DataFrame, table: pa.Table, words: str) -> DataFrame:
+    """``docs`` with the words of each row's array replaced by a table ``(_word, _lemma)`` sent to all tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).combine_chunks() for c in ("_word", "_lemma")))
+
+    def replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surfaces, found = shared.value
+        for batch in batches:
+            lists = batch.column(words)
+            spelt = lists.flatten()
+            lemma = found.take(pc.index_in(spelt, value_set=surfaces))
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            made = pa.ListArray.from_arrays(ends, pc.coalesce(lemma, spelt))
+            yield pa.RecordBatch.from_arrays([made if name == words else batch.column(name) for name in batch.schema.names], batch.schema.names)
+
+    return docs.mapInArrow(replace, docs.schema)
+
+
 def lemma_candidates(word: Column, rules: Sequence[tuple[str, str]], rounds: int) -> Column:
     """All forms that rules make of a word: an array of (round, place of the rule, form).
 

@@ -91,7 +91,7 @@ def tokenised_posts(
     both = cohort.label_cohorts({"a": cut(cohort_a, communities, folder=folder), "b": cohort_b})
     source = token_source(F.col("body"), F.col("selftext"), F.col("title"))
     found = both.select(key, "class", word_array(source, stop).alias("words"))
-    return found if lemmas is None else lemmatise_arrays(found, lemmas, [key, "class"])
+    return found if lemmas is None else lemmatise_arrays(found, lemmas, [key, "class"], folder=folder)
 
 
 def compare_cohorts(
