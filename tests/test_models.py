@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.feature import HashingTF
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from catalog.queries import QUERIES
 from tidemark.operators import classifier, embedding, evaluate
 
 
@@ -119,3 +121,27 @@ def test_trained_vectors(spark):
     plain = sum(by_word[w][0] * by_word[w][1] for w in words)
     np.testing.assert_allclose(found[0], plain / np.linalg.norm(plain), atol=1e-5)
     assert near(found[0], found[2]) > near(found[0], found[1])
+
+
+def test_texts_are_averaged_before_the_shuffle(spark, monkeypatch, tmp_path):
+    """Sums have a fixed size and words are looked up by a measured table: no sort of rows with vectors, no shuffle by word."""
+    rows = [(k, " ".join(["a"] * (k % 3) + ["b"] * (k % 2) + ["rare"])) for k in range(30)] + [(5, "a"), (None, "b"), (31, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    learnt = [("a", Vectors.dense([3.0] + [0.0] * 15), 0.5), ("b", Vectors.dense([0.0, 4.0] + [0.0] * 14), 0.25)]
+    vectors = spark.createDataFrame(learnt, ["word", "vector", "weight"])
+    monkeypatch.setattr(embedding, "train_word_vectors", lambda *a, **k: vectors)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = QUERIES["trained_texts"](spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((row.doc_id or -1, row.known, row.dim, row.is_unit) for row in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan and "hashpartitioning(word" not in plan
+    known = {k: k % 3 + k % 2 + (k == 5) for k in range(30)}
+    want = [(k or -1, n, 16, True) for k, n in known.items()] + [(5, known[5], 16, True), (-1, 0, 16, True), (31, 0, 16, True)]
+    assert got == sorted(want)
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c")], "id int, text string")
+    both = {row.id: row.embedding for row in embedding.embed_averaged(docs, vectors, "id", 16).collect()}
+    assert both[1][:2] == pytest.approx([3 / 10**0.5, 1 / 10**0.5]) and not any(both[2]) and len(both[2]) == 16

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import HashingTF, Normalizer, Word2Vec
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -68,6 +67,11 @@ def train_word_vectors(
     return learner.fit(split).getVectors().join(weighted, "word").select("word", "vector", "weight")
 
 
+def with_share(vectors: DataFrame) -> DataFrame:
+    """Word vectors with ``share``, the word's share of all words, that the weight came from."""
+    return vectors.withColumn("share", F.lit(SMOOTH) / F.col("weight") - F.lit(SMOOTH))
+
+
 def embed_averaged(
     docs: DataFrame,
     vectors: DataFrame,
@@ -81,14 +85,20 @@ def embed_averaged(
 
     ``vectors`` comes from :func:`train_word_vectors`, ``key`` must be unique.  A text's
     words are counted within its row.  With a ``folder`` that all executors share, the
-    vectors are measured and broadcast if they fit; otherwise words and vectors meet by word.
+    vectors are measured and broadcast if they fit; otherwise those of the most frequent words
+    are, and the other words meet their vectors by word.  A sum per place of the vector has a
+    fixed size, so a text's words are added up before anything is shuffled.
     """
     tallies = tally_words(docs.select(key, pieces(F.lower(text)).alias("_pieces")), [key], "_pieces")
-    found = lookup_join(tallies, vectors, ["word"], "inner", salt_by=[key], folder=folder)
-    mean = Summarizer.mean(F.col("vector"), F.col("tf") * F.col("weight")).alias("_mean")
-    means = Normalizer(inputCol="_mean", outputCol="_unit").transform(found.groupBy(key).agg(mean))
+    found = lookup_join(tallies, with_share(vectors), ["word"], "inner", salt_by=[key], folder=folder, often="share")
+    parts = found.select(key, (F.col("tf") * F.col("weight")).alias("_w"), vector_to_array("vector").alias("_v"))
+    sums = parts.groupBy(key).agg(*(F.sum(F.col("_w") * F.get("_v", F.lit(k))).alias(f"_{k}") for k in range(size)))
+    # The mean has the direction of the sum.
+    sums = sums.select(key, F.array(*(F.col(f"_{k}") for k in range(size))).alias("_sums"))
+    sums = sums.withColumn("_norm", F.sqrt(F.aggregate("_sums", F.lit(0.0), lambda total, x: total + x * x)))
+    unit = F.transform("_sums", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0).cast("float"))
     zeros = F.array_repeat(F.lit(0.0).cast("float"), size)
-    both = docs.join(means.select(key, vector_to_array("_unit", "float32").alias("_found")), key, "left")
+    both = docs.join(sums.select(key, unit.alias("_found")), key, "left")
     return both.withColumn(name, F.coalesce("_found", zeros)).select(*docs.columns, name)
 
 
