@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from brute import NGrams
 from pyspark.sql import functions as F
@@ -50,3 +52,61 @@ def test_totals_above_four_bytes(spark):
     answers = chunks.Answers(table)
     assert answers.totals(1).tolist() == [3, 3 << 31, 9_000_000_000]
     assert answers.corpus(1) == (3, 3 + (3 << 31) + 9_000_000_000) and answers.first(1).tolist() == [False] * 3
+
+
+def test_numbered_equals_unique():
+    keys = np.random.default_rng(5).integers(0, 1 << 63, 1000).astype(np.uint64)
+    alike = np.concatenate([keys, keys[:300], keys[0] ^ np.arange(50, dtype=np.uint64)[::-1]])
+    for found in (alike, keys[:1], keys[:0]):
+        for got, expected in zip(ngrams.numbered(found), np.unique(found, return_inverse=True), strict=True):
+            assert got.tolist() == expected.tolist()
+
+
+def test_long_ngrams_told_by_shorter_ones_are_not_asked_about(spark):
+    """Of three chunks' triples those with a pair of one chunk, or one never learnt, are known, and all totals are right."""
+    texts = [["a b c d", "x y z x y z"], ["a b c e", "p q r"], ["a b c d", "held x y out out out"]]
+    learnt = [[True, True], [True, True], [True, False]]
+    made = [ngrams.Chunk(pa.table({"_text": pa.array(part)}), 3) for part in texts]
+    learnt = [np.array(part) for part in learnt]
+
+    def rows(sizes, what, again=False):
+        found = []
+        for number, chunk in enumerate(made):
+            for size in sizes:
+                mask, counts = what(number, size)
+                found += chunks.ask(number, size, chunk.keys[size - 1][mask], counts[mask], 1, press=True, again=again)
+        return spark.createDataFrame(chunks.asked_table(found))
+
+    def answers(*tables):
+        table = pa.concat_tables(one.toArrow() for one in tables)
+        return [chunks.Answers(table.filter(pc.equal(table["_chunk"], number))) for number in range(len(made))]
+
+    counted = [[chunk.counted(size, part) for size in (1, 2, 3)] for chunk, part in zip(made, learnt, strict=True)]
+    short = rows((1, 2), lambda n, size: (np.ones(len(made[n].keys[size - 1]), bool), counted[n][size - 1]))
+    pairs = chunks.totals(short, 1, press=True)
+    known = [ngrams.Known(made[n], learnt[n], found, 2) for n, found in enumerate(answers(pairs))]
+    asked = [part.to_ask(3) for part in known]
+    # "<s> a b" and "a b c" of all three, "b c d" and "c d </s>" of the first and third; the third has learnt no "held x".
+    assert [int(part.sum()) for part in asked] == [4, 2, 4]
+    triples = chunks.totals(rows((3,), lambda n, size: (asked[n], counted[n][2])), 1, press=True)
+    whole = [ngrams.Known(made[n], learnt[n], found, 3) for n, found in enumerate(answers(pairs, triples))]
+    model = NGrams([text for part, use in zip(texts, learnt, strict=True) for text, used in zip(part, use, strict=True) if used], 3)
+
+    def expected(number, size, value):
+        """By n-gram of a chunk: what the plain model has for it."""
+        flat = [token for text in texts[number] for token in model.tokens(text)]
+        at = made[number].at[size - 1]
+        return {int(at[k]): value(tuple(flat[k - size + 1 : k + 1])) for k in np.flatnonzero(at >= 0)}
+
+    for number, part in enumerate(whole):
+        for size in (1, 2, 3):
+            assert dict(enumerate(part.total[size - 1].tolist())) == expected(number, size, lambda gram: model.count[len(gram)][gram])
+    sent = rows((1, 2), lambda n, size: (whole[n].asked[size - 1], whole[n].own_followers(size) * whole[n].spread(size)), again=True)
+    assert sent.where("length(_keys) > 0").count() == 0
+    more = chunks.totals_again(short, sent, ngrams.FOLLOWERS)
+    for number, found in enumerate(answers(pairs, triples, more)):
+        for size in (1, 2):
+            followers = whole[number].followers(size, found)
+            grams = expected(number, size, lambda gram: gram)
+            contexts = [k for k, gram in grams.items() if gram[-1] != "</s>"]
+            assert [followers[k] for k in contexts] == [model.followers[grams[k]] for k in contexts]

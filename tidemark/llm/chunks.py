@@ -4,6 +4,7 @@ Texts are dealt by a hash of the row into chunks of about :data:`CHUNK_BYTES`.
 A chunk asks for the totals of its distinct 64-bit keys: it sends them, sorted and
 counted, in one packed row for each bucket of the key space; a bucket adds up the
 counts of all chunks and answers each of them with totals in the order of its keys.
+Sums over keys that a chunk has asked about before are sent without them, by place.
 
 A key that makes up a third of the corpus is one key per chunk, chunks and
 buckets are even by hashing, and no task holds more than one of either.  Both sizes
@@ -12,6 +13,7 @@ follow from the bytes of text, whatever they are.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -28,11 +30,11 @@ ANSWERED = "_chunk int, _kind int, _bucket int, _totals binary, _first binary, _
 
 
 class Layout:
-    """How many chunks and buckets a corpus of so many bytes of text gets."""
+    """How many chunks, of ``times`` the usual size, and buckets a corpus of so many bytes of text gets."""
 
-    def __init__(self, docs: DataFrame, text: str):
+    def __init__(self, docs: DataFrame, text: str, times: int = 1):
         found = docs.agg(F.sum(F.octet_length(docs[text]).cast("long")).alias("bytes")).first()
-        self.chunks = max(1, -(-(found.bytes or 0) // CHUNK_BYTES))
+        self.chunks = max(1, -(-(found.bytes or 0) // (times * CHUNK_BYTES)))
         self.bits = max(1, (self.chunks - 1).bit_length() + 1)
 
 
@@ -46,14 +48,20 @@ def unpacked(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def packed_totals(values: np.ndarray) -> bytes:
+#: Added to the first byte of totals whose planes are compressed further, to less than a byte for each small total.
+PRESSED = 64
+
+
+def packed_totals(values: np.ndarray, press: bool = False) -> bytes:
     """Totals in four bytes each, in eight where one of them needs more; the first byte says which."""
     kind = np.uint64 if len(values) and values.max() >= 1 << 32 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + packed(values.astype(kind))
+    size, planes = np.dtype(kind).itemsize, packed(values.astype(kind))
+    return bytes([size + PRESSED]) + zlib.compress(planes, 1) if press else bytes([size]) + planes
 
 
 def unpacked_totals(raw: bytes) -> np.ndarray:
-    return unpacked(raw[1:], np.uint64 if raw[0] == 8 else np.uint32).astype(np.int64)
+    planes = zlib.decompress(raw[1:]) if raw[0] > PRESSED else raw[1:]
+    return unpacked(planes, np.uint64 if raw[0] % PRESSED == 8 else np.uint32).astype(np.int64)
 
 
 def in_chunks(docs: DataFrame, text: str, keep: Sequence[str], layout: Layout) -> DataFrame:
@@ -85,14 +93,20 @@ def opened(blobs: pa.Table) -> pa.Table:
     return pa.concat_tables(pa.ipc.open_stream(blob.as_py()).read_all() for blob in blobs.column("_blob"))
 
 
-def ask(chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple]:
-    """Rows of :data:`ASKED` for a chunk's sorted distinct keys and their counts, one for every bucket."""
+def ask(
+    chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int, press: bool = False, again: bool = False
+) -> list[tuple]:
+    """Rows of :data:`ASKED` for a chunk's sorted distinct keys and their counts, one for every bucket.
+
+    ``press`` compresses the counts further; ``again`` leaves the keys out, for :func:`totals_again`.
+    """
     edges = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     counts = counts.astype(np.uint32)
     rows = []
     for bucket, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        steps = np.diff(keys[low:high], prepend=U(bucket) << U(64 - bits))
-        rows.append((bucket, chunk, kind, int(high - low), packed(steps), packed(counts[low:high])))
+        steps = b"" if again else packed(np.diff(keys[low:high], prepend=U(bucket) << U(64 - bits)))
+        own = packed_totals(counts[low:high], True) if press else packed(counts[low:high])
+        rows.append((bucket, chunk, kind, int(high - low), steps, own))
     return rows
 
 
@@ -103,12 +117,43 @@ def asked_table(rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array(column, kind) for name, column, kind in zip(names, columns, kinds, strict=True)})
 
 
-def totals(asked: DataFrame, bits: int, others: dict[int, Callable[[pa.Table], pa.Table]] | None = None) -> DataFrame:
+class Bucket:
+    """The keys of one kind and bucket, of all chunks."""
+
+    def __init__(self, table: pa.Table):
+        self.sizes = np.array(table.column("_size").to_pylist(), np.int64)
+        steps = [unpacked(raw.as_py(), np.uint64) for raw in table.column("_keys")]
+        keys = np.concatenate([np.cumsum(s, dtype=np.uint64) for s in steps])
+        self.order = np.argsort(keys, kind="stable")
+        self.new = np.ones(len(keys), bool)
+        self.new[1:] = keys[self.order[1:]] != keys[self.order[:-1]]
+        self.group = np.cumsum(self.new) - 1
+
+    def sums(self, counts: np.ndarray) -> np.ndarray:
+        """For each distinct key, the sum of all chunks' counts."""
+        return np.add.reduceat(counts[self.order], np.flatnonzero(self.new)) if len(counts) else np.zeros(0, np.int64)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values of the distinct keys, in the order in which chunks have sent them."""
+        found = np.empty(len(self.order), values.dtype)
+        found[self.order] = values[self.group]
+        return found
+
+    def slices(self) -> list[slice]:
+        ends = np.cumsum(self.sizes)
+        return [slice(a, b) for a, b in zip(ends - self.sizes, ends, strict=True)]
+
+
+def totals(
+    asked: DataFrame, bits: int, others: dict[int, Callable[[pa.Table], pa.Table]] | None = None, press: bool = False
+) -> DataFrame:
     """Answers of :data:`ANSWERED` to all questions; ``others`` answers kinds that are not about totals.
 
     ``_first`` marks the keys that no chunk of a lower number has counted, so each
     counted key is marked once in the corpus.  ``_distinct`` and ``_sum`` are the
-    bucket's number of counted keys and the sum of their counts.
+    bucket's number of counted keys and the sum of their counts.  With ``press``, counts
+    and totals are compressed further, and the marks of keys that no other chunk has
+    asked about follow those of ``_first``.
     """
 
     def add(table: pa.Table) -> pa.Table:
@@ -116,34 +161,31 @@ def totals(asked: DataFrame, bits: int, others: dict[int, Callable[[pa.Table], p
         other = (others or {}).get(table.column("_kind")[0].as_py())
         if other:
             return other(table)
-        sizes = np.array(table.column("_size").to_pylist(), np.int64)
         bucket = table.column("_bucket")[0].as_py()
-        steps = [unpacked(raw.as_py(), np.uint64) for raw in table.column("_keys")]
-        keys = np.concatenate([np.cumsum(s, dtype=np.uint64) for s in steps])
-        counts = np.concatenate([unpacked(raw.as_py(), np.uint32) for raw in table.column("_counts")]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[order[1:]] != keys[order[:-1]]
-        group = np.cumsum(new) - 1
-        sums = np.add.reduceat(counts[order], np.flatnonzero(new)) if len(keys) else np.zeros(0, np.int64)
-        answer = np.empty(len(keys), np.int64)
-        answer[order] = sums[group]
+        keys = Bucket(table)
+        raws = [raw.as_py() for raw in table.column("_counts")]
+        counts = np.concatenate([unpacked_totals(raw) if press else unpacked(raw, np.uint32) for raw in raws]).astype(np.int64)
+        sums = keys.sums(counts)
+        answer = keys.spread(sums)
         # The first counting chunk of each key: rows are in chunk order and the sort is stable.
-        counted = np.flatnonzero(counts[order] > 0)
-        first = np.zeros(len(keys), np.uint8)
+        counted = np.flatnonzero(counts[keys.order] > 0)
+        first = np.zeros(len(counts), np.uint8)
         if len(counted):
             lead = np.ones(len(counted), bool)
-            lead[1:] = group[counted[1:]] != group[counted[:-1]]
-            first[order[counted[lead]]] = 1
-        ends = np.cumsum(sizes)
-        slices = [slice(a, b) for a, b in zip(ends - sizes, ends, strict=True)]
+            lead[1:] = keys.group[counted[1:]] != keys.group[counted[:-1]]
+            first[keys.order[counted[lead]]] = 1
+        slices = keys.slices()
+        marks = [np.packbits(first[s]).tobytes() for s in slices]
+        if press:
+            alone = keys.spread(np.bincount(keys.group, minlength=len(sums)) == 1)
+            marks = [mark + np.packbits(alone[s]).tobytes() for mark, s in zip(marks, slices, strict=True)]
         rows = len(slices)
         return pa.table({
             "_chunk": table.column("_chunk"),
             "_kind": table.column("_kind"),
             "_bucket": pa.array([bucket] * rows, pa.int32()),
-            "_totals": pa.array([packed_totals(answer[s]) for s in slices], pa.binary()),
-            "_first": pa.array([np.packbits(first[s]).tobytes() for s in slices], pa.binary()),
+            "_totals": pa.array([packed_totals(answer[s], press) for s in slices], pa.binary()),
+            "_first": pa.array(marks, pa.binary()),
             "_distinct": pa.array([int((sums > 0).sum())] * rows, pa.int64()),
             "_sum": pa.array([int(sums.sum())] * rows, pa.int64()),
         })
@@ -151,27 +193,65 @@ def totals(asked: DataFrame, bits: int, others: dict[int, Callable[[pa.Table], p
     return asked.groupBy("_kind", "_bucket").applyInArrow(add, ANSWERED)
 
 
+def totals_again(asked: DataFrame, sent: DataFrame, kind: int) -> DataFrame:
+    """Totals of the counts in ``sent``, pressed and without keys: they belong to those ``asked`` about, of the same kind and chunk.
+
+    Answers are of the kind asked about plus ``kind``, and have no marks.
+    """
+
+    def add(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("_chunk"), right.sort_by("_chunk")
+        rows = right.num_rows
+        found = []
+        if rows:
+            keys = Bucket(left)
+            counts = np.concatenate([unpacked_totals(raw.as_py()) for raw in right.column("_counts")])
+            answer = keys.spread(keys.sums(counts))
+            found = [packed_totals(answer[s], True) for s in keys.slices()]
+        return pa.table({
+            "_chunk": right.column("_chunk"),
+            "_kind": pa.array([number + kind for number in right.column("_kind").to_pylist()], pa.int32()),
+            "_bucket": right.column("_bucket"),
+            "_totals": pa.array(found, pa.binary()),
+            "_first": pa.array([b""] * rows, pa.binary()),
+            "_distinct": pa.array([0] * rows, pa.int64()),
+            "_sum": pa.array([0] * rows, pa.int64()),
+        })
+
+    return asked.groupBy("_kind", "_bucket").cogroup(sent.groupBy("_kind", "_bucket")).applyInArrow(add, ANSWERED)
+
+
 class Answers:
     """A chunk's answers, in the order of its keys."""
 
     def __init__(self, table: pa.Table):
         self.table = table.sort_by("_bucket") if table.num_rows else table
         self.kinds = np.array(self.table.column("_kind").to_pylist(), np.int64)
+        self.sizes: dict[int, list[int]] = {}
 
     def _rows(self, kind: int) -> pa.Table:
         return self.table.filter(pa.array(self.kinds == kind))
 
     def totals(self, kind: int) -> np.ndarray:
         found = [unpacked_totals(raw.as_py()) for raw in self._rows(kind).column("_totals")]
+        self.sizes[kind] = [len(part) for part in found]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def first(self, kind: int) -> np.ndarray:
-        rows = self._rows(kind)
+        return self._marks(kind, 0)
+
+    def alone(self, kind: int) -> np.ndarray:
+        """The keys that no other chunk has asked about, counted or not; only pressed answers say it."""
+        return self._marks(kind, 1)
+
+    def _marks(self, kind: int, which: int) -> np.ndarray:
+        if kind not in self.sizes:
+            self.totals(kind)
         parts = []
-        for marks, raw in zip(rows.column("_first"), rows.column("_totals"), strict=True):
-            totals = raw.as_py()
-            size = (len(totals) - 1) // totals[0]
-            parts.append(np.unpackbits(np.frombuffer(marks.as_py(), np.uint8), count=size).astype(bool))
+        for marks, size in zip(self._rows(kind).column("_first"), self.sizes[kind], strict=True):
+            each = -(-size // 8)
+            bits = np.frombuffer(marks.as_py(), np.uint8)[which * each : (which + 1) * each]
+            parts.append(np.unpackbits(bits, count=size).astype(bool))
         return np.concatenate(parts) if parts else np.zeros(0, bool)
 
     def rows(self, kind: int) -> list[tuple[int, bytes]]:
