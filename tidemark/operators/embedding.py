@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.ml.feature import HashingTF, Normalizer, Word2Vec
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from tidemark.functions.fixed_values import EMBEDDING_SIZE, SPLIT_SEED
-from tidemark.functions.text import pieces, tally_words
-from tidemark.sizes import lookup_join
+from tidemark.functions.text import pieces, tally_pieces
+from tidemark.operators.skipgram import SkipGram, counted_pieces, labelled_pieces, ordered_tree, packed_sentences, run_starts, text_rows
+from tidemark.sizes import fits_broadcast, lookup_join, write_once
 
 #: Share of a word from which its weight is less than a half.
 SMOOTH = 1e-3
+#: Bytes of a row of word vectors on their way from the parts to their mean.
+ROW_BYTES = 1 << 20
+#: Words whose vectors are added up at once.
+ADDED_WORDS = 1 << 15
 
 
 def embed_with(
@@ -52,19 +61,64 @@ def train_word_vectors(
 ) -> DataFrame:
     """Word vectors learnt from the texts: ``word``, ``vector`` and ``weight``.
 
-    The words are those that stand at least ``min_count`` times; Spark ML holds their
-    vectors on the driver, so ``min_count`` bounds the model: raise it with the corpus.
+    The words are those that stand at least ``min_count`` times; the driver holds them and their
+    counts, each task their vectors, so ``min_count`` bounds the model: raise it with the corpus.
+    Each of the ``partitions`` trains a :class:`~tidemark.operators.skipgram.SkipGram` on its part of
+    the texts, and a word's vector is the mean over those that changed it, as in Spark ML's Word2Vec.
     ``weight`` is the smooth inverse frequency ``1e-3 / (1e-3 + share of the word)``.
-    Store the result: it is read more than once, and training is not repeated then.
+    Words are counted at once, training runs when the result is used.  Store the result: it is read
+    more than once, and training is not repeated then.
     """
-    split = docs.select(pieces(F.lower(F.coalesce(text, F.lit("")))).alias("_pieces"))
-    learner = Word2Vec(
-        vectorSize=size, minCount=min_count, numPartitions=partitions, seed=seed, inputCol="_pieces", outputCol="_vector"
-    )
-    counts = split.select(F.explode("_pieces").alias("word")).groupBy("word").agg(F.count("*").alias("_n"))
-    share = F.col("_n") / counts.agg(F.sum("_n")).scalar()
-    weighted = counts.where(F.col("_n") >= min_count).select("word", (F.lit(SMOOTH) / (F.lit(SMOOTH) + share)).alias("weight"))
-    return learner.fit(split).getVectors().join(weighted, "word").select("word", "vector", "weight")
+    spark, split = docs.sparkSession, docs.select(F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    counts = split.mapInArrow(counted_pieces, "word string, _n bigint").groupBy("word").agg(F.sum("_n").alias("_n"))
+    # The rare ones become one row without a word, so that all words are counted once.
+    often = F.when(F.col("_n") >= min_count, F.col("word")).alias("word")
+    found = counts.groupBy(often).agg(F.sum("_n").alias("_n")).toArrow()
+    kept = found.filter(pc.is_valid(found["word"])).sort_by("word")
+    if not len(kept):
+        raise ValueError(f"no word stands at least {min_count} times")
+    numbers = kept["_n"].to_numpy()
+    order, parent, side = ordered_tree(numbers)
+    weights = SMOOTH / (SMOOTH + numbers[order] / pc.sum(found["_n"]).as_py())
+    shared = spark.sparkContext.broadcast((kept["word"].combine_chunks().take(pa.array(order)), weights, parent, side))
+    per_part, rows = float(numbers.sum()) / partitions, max(1, ROW_BYTES // (4 * size))
+
+    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value[0]
+        for batch in text_rows(batches):
+            packed = list(packed_sentences(*labelled_pieces(batch.column(0), words)))
+            columns = [pa.array([part.tobytes() for part in parts], pa.binary()) for parts in zip(*packed, strict=True)]
+            if columns:
+                yield pa.RecordBatch.from_arrays(columns, ["_labels", "_lengths"])
+
+    def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, parent, side = shared.value
+        model = SkipGram(parent, side, size, seed, TaskContext.get().partitionId())
+        read = (tuple(np.frombuffer(raw.as_buffer(), np.int32) for raw in row) for b in batches for row in zip(*b.columns, strict=True))
+        model.train(read, per_part)
+        for at in range(0, model.words, rows):
+            part = slice(at, min(at + rows, model.words))
+            columns = [[at], [model.context[part].tobytes()], [model.changed[part].tobytes()]]
+            yield pa.RecordBatch.from_pydict(dict(zip(("_at", "_vectors", "_changed"), columns, strict=True)))
+
+    def average(parts: pa.Table) -> pa.Table:
+        words, weights, _, _ = shared.value
+        at = parts["_at"][0].as_py()
+        some, total, changes = slice(at, at + rows), 0.0, 0
+        for raw, flags in zip(parts["_vectors"], parts["_changed"], strict=True):
+            vectors = np.frombuffer(raw.as_buffer(), np.float32).reshape(-1, size).astype(np.float64)
+            changed = np.frombuffer(flags.as_buffer(), bool)
+            total, changes = total + vectors * changed[:, None], changes + changed
+        # A word without a neighbour keeps the vector that all parts began with.
+        mean = np.where(changes[:, None] > 0, total / np.maximum(changes, 1)[:, None], vectors)
+        ends = pa.array(np.arange(len(mean) + 1) * size, pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(mean.ravel()))
+        return pa.table({"word": words[some], "_mean": lists, "weight": weights[some]})
+
+    texts = split.mapInArrow(label, "_labels binary, _lengths binary").repartition(partitions)
+    trained = texts.mapInArrow(train, "_at bigint, _vectors binary, _changed binary")
+    means = trained.groupBy("_at").applyInArrow(average, "word string, _mean array<double>, weight double")
+    return means.select("word", array_to_vector("_mean").alias("vector"), "weight")
 
 
 def with_share(vectors: DataFrame) -> DataFrame:
@@ -85,13 +139,19 @@ def embed_averaged(
 
     ``vectors`` comes from :func:`train_word_vectors`, ``key`` must be unique.  A text's
     words are counted within its row.  With a ``folder`` that all executors share, the
-    vectors are measured and broadcast if they fit; otherwise those of the most frequent words
-    are, and the other words meet their vectors by word.  A sum per place of the vector has a
-    fixed size, so a text's words are added up before anything is shuffled.
+    vectors are measured; if they fit every task gets them and adds up whole texts.  Otherwise
+    those of the most frequent words are broadcast, and the other words meet their vectors by word.
+    A sum per place of the vector has a fixed size, so a text's words are added up before anything is shuffled.
     """
-    tallies = tally_words(docs.select(key, pieces(F.lower(text)).alias("_pieces")), [key], "_pieces")
-    found = lookup_join(tallies, with_share(vectors), ["word"], "inner", salt_by=[key], folder=folder, often="share")
-    parts = found.select(key, (F.col("tf") * F.col("weight")).alias("_w"), vector_to_array("vector").alias("_v"))
+    shares = with_share(vectors)
+    if folder is not None:
+        shares = write_once(shares, folder, "shares")
+    if folder is not None and fits_broadcast(shares):
+        parts = _added(docs, shares, key, size, text)
+    else:
+        tallies = tally_pieces(docs, [key], text)
+        found = lookup_join(tallies, shares, ["word"], "inner", salt_by=[key], folder=folder, often="share")
+        parts = found.select(key, (F.col("tf") * F.col("weight")).alias("_w"), vector_to_array("vector").alias("_v"))
     sums = parts.groupBy(key).agg(*(F.sum(F.col("_w") * F.get("_v", F.lit(k))).alias(f"_{k}") for k in range(size)))
     # The mean has the direction of the sum.
     sums = sums.select(key, F.array(*(F.col(f"_{k}") for k in range(size))).alias("_sums"))
@@ -102,6 +162,30 @@ def embed_averaged(
     return both.withColumn(name, F.coalesce("_found", zeros)).select(*docs.columns, name)
 
 
+def _added(docs: DataFrame, vectors: DataFrame, key: str, size: int, text: str) -> DataFrame:
+    """The sums of the weighted vectors of each text's words, as ``_v`` with a weight ``_w`` of 1; all tasks get the vectors."""
+    table = vectors.select("word", "weight", vector_to_array("vector").alias("_v")).toArrow()
+    weighted = table["_v"].combine_chunks().flatten().to_numpy().reshape(-1, size) * table["weight"].to_numpy()[:, None]
+    shared = docs.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), weighted))
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weighted = shared.value
+        for batch in text_rows(batches):
+            labels, lengths = labelled_pieces(batch.column("_text"), words)
+            rows, sums = np.repeat(np.arange(len(lengths)), lengths), np.zeros((len(lengths), size))
+            for at in range(0, len(labels), ADDED_WORDS):
+                some = rows[at : at + ADDED_WORDS]
+                starts = run_starts(some)
+                sums[some[starts]] += np.add.reduceat(weighted.take(labels[at : at + ADDED_WORDS], 0), starts, axis=0)
+            ends = pa.array(np.arange(len(sums) + 1) * size, pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), lists], [key, "_v"])
+
+    ready = docs.select(key, F.lower(text).alias("_text"))
+    made = ready.mapInArrow(add, StructType([ready.schema[key], StructField("_v", ArrayType(DoubleType()))]))
+    return made.withColumn("_w", F.lit(1.0))
+
+
 def labelled_dataset(cohorts: dict[int, DataFrame], text: str = "text", label: str = "label") -> DataFrame:
     """Union of embedded cohorts with integer labels, without the texts."""
     parts = [df.withColumn(label, F.lit(value).cast("int")).drop(text) for value, df in cohorts.items()]
