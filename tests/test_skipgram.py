@@ -14,6 +14,7 @@ from tidemark.operators import embedding, skipgram
 def model(counts, size=4, seed=1):
     order, parent, side = skipgram.ordered_tree(np.array(counts))
     made = skipgram.SkipGram(parent, side, size, seed)
+    made.path, made.sign = skipgram.tree_paths(parent, side, np.arange(len(counts)), made.depth)
     return made, np.argsort(order)
 
 
@@ -105,6 +106,10 @@ def test_pieces_are_counted_as_by_spark(spark):
     got = tx.tally_pieces(docs, ["id"])
     assert got.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    grouped = tx.pieces_by_word(docs, "id")
+    apart = grouped.select("word", F.inline(F.arrays_zip("id", "tf"))).select("id", "word", "tf")
+    assert sorted(map(str, apart.collect())) == sorted(map(str, want.collect()))
+    assert grouped.count() < apart.count()
 
 
 def test_texts_add_up_alike_whatever_fits(spark, monkeypatch, tmp_path):
@@ -114,8 +119,9 @@ def test_texts_add_up_alike_whatever_fits(spark, monkeypatch, tmp_path):
     vectors = embedding.train_word_vectors(docs, size=3, min_count=1, partitions=2).cache()
     monkeypatch.setattr(embedding, "ADDED_WORDS", 16)
     found = []
-    for folder, most in ((None, 10**6), (str(tmp_path), 10**6), (str(tmp_path), 2)):
+    for folder, most in ((None, 10**6), (str(tmp_path), 10**6), (str(tmp_path), 0.2)):
         monkeypatch.setattr(sizes, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(sizes, "BROADCAST_BYTES", 100 * most)
         rows = embedding.embed_averaged(docs, vectors, "id", 3, folder=folder).collect()
         found.append(sorted((row.id or 0, row.text or "", row.embedding) for row in rows))
     for other in found[1:]:
@@ -139,5 +145,5 @@ def test_trained_texts_send_no_single_words_to_rows(spark, tmp_path, monkeypatch
     ran = []
     monkeypatch.setattr("pyspark.ml.feature.Word2Vec.fit", lambda *a: ran.append(a))
     found = QUERIES["trained_texts"](spark, str(tmp_path))
-    assert not ran and "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert not ran and "explode(" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(row) for row in found.collect()) == [(k, 80, 16, True) for k in range(30)]

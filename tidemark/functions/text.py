@@ -15,9 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tidemark.functions.fixed_values import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS, FIELD_SEPARATOR, NOUN_RULES
+from tidemark.functions.arrow import coded_pieces, tallied
 from tidemark.sizes import fits_broadcast, write_once
 
 WORD = r"\p{L}\p{N}_"
@@ -142,8 +143,8 @@ def tally_words(df: DataFrame, keep: Iterable[str], words: str = "words", lead:
     return ordered.withColumn("_at", starts).select(*keep, F.inline(counted))
 
 
-#: Rows whose words are counted at once.
-TALLY_ROWS = 1024
+#: Rows whose words are counted at once: by row, and together.
+TALLY_ROWS, GROUP_ROWS = 1024, 4096
 
 
 def tally_pieces(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
@@ -154,15 +155,9 @@ def tally_pieces(df: DataFrame, keep: Sequence[str], text: str = "text") -> Data
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, TALLY_ROWS) for at in range(0, batch.num_rows, TALLY_ROWS)):
-                # Arrow's white space is that of SPACE; only at the ends of a text it leaves empty pieces.
-                lists = pc.utf8_split_whitespace(part.column("_text"))
-                coded = lists.flatten().dictionary_encode()
-                rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-                places = np.sort(rows * len(coded.dictionary) + coded.indices.to_numpy())
-                starts = np.flatnonzero(np.diff(places, prepend=-1))
-                row, code = np.divmod(places[starts], max(len(coded.dictionary), 1))
-                times = pa.array(np.diff(starts, append=len(places)), pa.int32())
-                columns = [*(part.column(name).take(pa.array(row)) for name in keep), coded.dictionary.take(pa.array(code)), times]
+                rows, codes, words = coded_pieces(part.column("_text"))
+                (row, code), times = tallied(rows, codes, max(len(words), 1))
+                columns = [*(part.column(name).take(pa.array(row)) for name in keep), words.take(pa.array(code)), pa.array(times)]
                 made = pa.RecordBatch.from_arrays(columns, [*keep, "word", "tf"])
                 yield made.filter(pc.not_equal(made["word"], ""))
 
@@ -170,6 +165,28 @@ def tally_pieces(df: DataFrame, keep: Sequence[str], text: str = "text") -> Data
     return ready.mapInArrow(tally, counted)
 
 
+def pieces_by_word(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The rows of :func:`tally_pieces` with those of a word side by side: ``word`` and arrays ``key`` and ``tf``.
+
+    A row holds what up to :data:`GROUP_ROWS` texts have of a word, so a lookup by word meets far fewer rows.
+    """
+    ready = df.select(key, F.lower(text).alias("_text"))
+
+    def group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, GROUP_ROWS) for at in range(0, batch.num_rows, GROUP_ROWS)):
+                rows, codes, words = coded_pieces(part.column("_text"))
+                (code, row), times = tallied(codes, rows, part.num_rows)
+                starts = np.flatnonzero(np.diff(code, prepend=-1))
+                ends = pa.array(np.append(starts, len(code)), pa.int32())
+                lists = (pa.ListArray.from_arrays(ends, values) for values in (part.column(key).take(pa.array(row)), pa.array(times)))
+                made = pa.RecordBatch.from_arrays([words.take(pa.array(code[starts])), *lists], ["word", key, "tf"])
+                yield made.filter(pc.not_equal(made["word"], ""))
+
+    keys = StructField(key, ArrayType(ready.schema[key].dataType))
+    return ready.mapInArrow(group, StructType([StructField("word", StringType()), keys, StructField("tf", ArrayType(IntegerType()))]))
+
+
 def drop_stopwords(words: DataFrame, stopwords: DataFrame) -> DataFrame:
     """Anti join with a stop-word table ``(word)``."""
     return words.join(stopwords.select("word"), "word", "left_anti")

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
+from tidemark import sizes
 from tidemark.functions.fixed_values import EMBEDDING_SIZE, SPLIT_SEED
 from tidemark.functions.text import pieces, tally_pieces
 from tidemark.operators.skipgram import SkipGram, counted_pieces, labelled_pieces, ordered_tree, packed_sentences, run_starts, text_rows
-from tidemark.sizes import fits_broadcast, lookup_join, write_once
+from tidemark.sizes import lookup_join, write_once
 
 #: Share of a word from which its weight is less than a half.
 SMOOTH = 1e-3
@@ -146,7 +147,7 @@ def embed_averaged(
     shares = with_share(vectors)
     if folder is not None:
         shares = write_once(shares, folder, "shares")
-    if folder is not None and fits_broadcast(shares):
+    if folder is not None and _fits_tasks(shares, size):
         parts = _added(docs, shares, key, size, text)
     else:
         tallies = tally_pieces(docs, [key], text)
@@ -162,10 +163,16 @@ def embed_averaged(
     return both.withColumn(name, F.coalesce("_found", zeros)).select(*docs.columns, name)
 
 
+def _fits_tasks(vectors: DataFrame, size: int) -> bool:
+    """Whether words and vectors, packed, stay within the bytes of a broadcast."""
+    found = vectors.agg(F.count("*").alias("rows"), F.sum(F.octet_length("word")).alias("bytes")).first()
+    return found.rows * (4 * size + 4) + (found.bytes or 0) <= sizes.BROADCAST_BYTES
+
+
 def _added(docs: DataFrame, vectors: DataFrame, key: str, size: int, text: str) -> DataFrame:
     """The sums of the weighted vectors of each text's words, as ``_v`` with a weight ``_w`` of 1; all tasks get the vectors."""
-    table = vectors.select("word", "weight", vector_to_array("vector").alias("_v")).toArrow()
-    weighted = table["_v"].combine_chunks().flatten().to_numpy().reshape(-1, size) * table["weight"].to_numpy()[:, None]
+    table = vectors.select("word", "weight", vector_to_array("vector", "float32").alias("_v")).toArrow()
+    weighted = table["_v"].combine_chunks().flatten().to_numpy().reshape(-1, size) * table["weight"].to_numpy()[:, None].astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), weighted))
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +183,8 @@ def _added(docs: DataFrame, vectors: DataFrame, key: str, size: int, text: str)
             for at in range(0, len(labels), ADDED_WORDS):
                 some = rows[at : at + ADDED_WORDS]
                 starts = run_starts(some)
-                sums[some[starts]] += np.add.reduceat(weighted.take(labels[at : at + ADDED_WORDS], 0), starts, axis=0)
+                found = weighted.take(labels[at : at + ADDED_WORDS], 0)
+                sums[some[starts]] += np.add.reduceat(found, starts, axis=0, dtype=np.float64)
             ends = pa.array(np.arange(len(sums) + 1) * size, pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(key), lists], [key, "_v"])

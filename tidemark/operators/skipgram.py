@@ -81,21 +81,27 @@ def huffman_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return parent, side
 
 
-def tree_paths(parent: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inner nodes from the root to each word, and 1 or -1 for the side taken there; past the word an unused node and 0."""
+def tree_depths(parent: np.ndarray) -> np.ndarray:
+    """How many nodes are above each word."""
     words = (len(parent) + 1) // 2
     depth, at = np.zeros(words, np.int32), parent[:words]
     while (live := at >= 0).any():
         depth, at = depth + live, np.where(live, parent[at], -1)
-    shape = (words, max(1, int(depth.max())))
+    return depth
+
+
+def tree_paths(parent: np.ndarray, side: np.ndarray, some: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner nodes from the root to some words of given depths, and 1 or -1 for the side taken; past the word an unused node and 0."""
+    words = (len(parent) + 1) // 2
+    shape = (len(some), max(1, int(depth.max())))
     nodes, signs = np.full(shape, words - 1, np.int32), np.zeros(shape, np.int8)
-    some, below = np.arange(words), np.arange(words)
+    rows, below = np.arange(len(some)), some
     for up in range(1, shape[1] + 1):
-        live = depth[some] >= up
-        some, below = some[live], below[live]
-        signs[some, depth[some] - up] = 1 - 2 * side[below]
+        live = depth[rows] >= up
+        rows, below = rows[live], below[live]
+        signs[rows, depth[rows] - up] = 1 - 2 * side[below]
         below = parent[below]
-        nodes[some, depth[some] - up] = below - words
+        nodes[rows, depth[rows] - up] = below - words
     return nodes, signs
 
 
@@ -106,7 +112,7 @@ def ordered_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """
     parent, side = huffman_tree(counts)
     words = len(counts)
-    nodes, signs = tree_paths(parent, side)
+    nodes, signs = tree_paths(parent, side, np.arange(words), tree_depths(parent))
     order = np.lexsort(-signs.T[::-1])
     visited, first = nodes[order].ravel(), np.empty(words, np.int64)
     first[visited[::-1]] = np.arange(len(visited))[::-1]
@@ -133,8 +139,7 @@ class SkipGram:
 
     def __init__(self, parent: np.ndarray, side: np.ndarray, size: int, seed: int, draw: int = 0):
         self.words, self.size = (len(parent) + 1) // 2, size
-        self.path, self.sign = tree_paths(parent, side)
-        self.depth = np.count_nonzero(self.sign, axis=1)
+        self.parent, self.side, self.depth = parent, side, tree_depths(parent)
         # The last row of both stays zero: a gap between sentences, and the node past a word.
         self.context = np.zeros((self.words + 1, size), np.float32)
         self.context[:-1] = (np.random.default_rng(seed).random((self.words, size), dtype=np.float32) - 0.5) / size
@@ -158,13 +163,16 @@ class SkipGram:
         found = labels[at]
         starts = run_starts(found)
         words = found[starts]
+        depth = self.depth[words]
+        paths = tree_paths(self.parent, self.side, words, depth)
         # Halves, as the logistic function of x is (1 + tanh(x / 2)) / 2.
-        half = self.context[labels] * np.float32(0.5)
+        half = self.context.take(labels, 0)
+        half *= 0.5
         if len(self._steps) < len(labels):
             self._steps = np.zeros((len(labels), *self._steps.shape[1:]), np.float32)
         steps = self._steps[: len(labels)]
         steps.fill(0)
-        moves = np.zeros((len(words), self.path.shape[1], self.size), np.float32)
+        moves = np.zeros((*paths[0].shape, self.size), np.float32)
         reach, pull = np.zeros(len(labels), np.int64), np.zeros(len(labels))
         rest, first = np.diff(np.append(starts, len(at))), starts.copy()
         for count in TILES:
@@ -173,7 +181,7 @@ class SkipGram:
             place = np.arange(len(of)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
             begin = first[of] + count * place
             far = self.reaches.integers(1, WINDOW + 1, len(of))
-            deep = np.minimum(-(-self.depth[words[of]] // LEVELS) * LEVELS, self.path.shape[1])
+            deep = np.minimum(-(-depth[of] // LEVELS) * LEVELS, moves.shape[1])
             kind = deep * (WINDOW + 1) + far
             by = np.argsort(kind, kind="stable")
             edges = run_starts(kind[by]) if len(by) else by
@@ -181,52 +189,57 @@ class SkipGram:
                 places = at[(begin[some][:, None] + np.arange(count)).ravel()]
                 r = far[some[0]]
                 reach[places] = r
-                pull[places] = np.repeat(self._tiles(half, places, words, of[some], r, deep[some[0]], steps, moves), count)
+                pull[places] = np.repeat(self._tiles(half, places, paths, of[some], r, deep[some[0]], steps, moves), count)
             first, rest = first + count * tiles, rest - count * tiles
-        self._move_nodes(words, starts, at, half, reach, moves, rate)
+        self._move_nodes(paths[0], starts, at, half, reach, moves, rate)
         self._move_contexts(words, starts, at, reach, pull, steps, rate)
         near = (labels[at - 1] < self.words) | (labels[at + 1] < self.words)
         self.changed[found[near]] = True
 
-    def _tiles(self, half, places, words, of, reach, deep, steps, moves) -> np.ndarray:
+    def _tiles(self, half, places, paths, of, reach, deep, steps, moves) -> np.ndarray:
         """Steps of contexts, by place and distance, and of nodes, by word and level; returns the squares of the paths' nodes."""
         tiles, span = len(of), 2 * reach + 1
-        near = sliding_window_view(half, (span, self.size))[places - reach, 0]
+        near = sliding_window_view(half.ravel(), span * self.size)[:: self.size][places - reach].reshape(-1, span, self.size)
         near[:, reach] = 0  # The centre is no context of itself.
         near = near.reshape(tiles, -1, self.size)
-        labels = words[of]
-        nodes = self.node[self.path[labels, :deep]]
+        path, sign = (part[of, :deep] for part in paths)
+        nodes = self.node.take(path, 0)
         wrong = np.matmul(near, nodes.transpose(0, 2, 1))
         np.tanh(wrong, out=wrong)
-        np.subtract(self.sign[labels, None, :deep].astype(np.float32), wrong, out=wrong)
-        steps[places, WINDOW - reach : WINDOW + reach + 1] = np.matmul(wrong, nodes).reshape(len(places), span, self.size)
+        np.subtract(sign[:, None].astype(np.float32), wrong, out=wrong)
+        found = np.matmul(wrong, nodes).reshape(len(places), span, self.size)
+        found[:, reach] = 0
+        steps[places, WINDOW - reach : WINDOW + reach + 1] = found
         moved = np.matmul(wrong.transpose(0, 2, 1), near)
         edges = run_starts(of)
         moves[of[edges], :deep] += moved if len(edges) == tiles else np.add.reduceat(moved, edges, axis=0)
         return np.einsum("nlk,nlk->n", nodes, nodes)
 
-    def _move_nodes(self, words, starts, at, half, reach, moves, rate) -> None:
+    def _move_nodes(self, path, starts, at, half, reach, moves, rate) -> None:
         """Each node takes the moves of the words below it, which lie side by side."""
         squares = np.einsum("ij,ij->i", half, half)
         sums = np.concatenate([[0.0], np.cumsum(squares, dtype=np.float64)])
         far = reach[at]
         around = np.add.reduceat(sums[at + far + 1] - sums[at - far] - squares[at], starts)
-        path = self.path[words]
-        for level in range(path.shape[1]):
-            nodes = path[:, level]
+        for level, nodes in enumerate(np.ascontiguousarray(path.T)):
             runs = run_starts(nodes)
             part = rate * shortened(4 * rate * CURVATURE * np.add.reduceat(around, runs))
-            self.node[nodes[runs]] += np.add.reduceat(moves[:, level], runs, axis=0) * part[:, None].astype(np.float32)
+            moved = np.add.reduceat(moves[:, level], runs, axis=0)
+            moved *= part[:, None].astype(np.float32)
+            moved += self.node.take(nodes[runs], 0)
+            self.node[nodes[runs]] = moved
         self.node[-1] = 0
 
     def _move_contexts(self, words, starts, at, reach, pull, steps, rate) -> None:
         """Each word takes the steps of all places where it is a context."""
         size, far = len(reach), reach[at]
-        taken = np.zeros((size + 2 * WINDOW, self.size), np.float32)
-        for distance in range(2 * WINDOW + 1):
-            if distance != WINDOW:
-                taken[distance : distance + size] += steps[:, distance]
-        taken = np.add.reduceat(taken[at + WINDOW], starts, axis=0)
+        # The steps of a place go to the places around it, which lie in a row; those of every eleventh place do not overlap.
+        span = 2 * WINDOW + 1
+        taken, steps = np.zeros((size + 2 * span) * self.size, np.float32), steps.reshape(size, -1)
+        for first in range(min(span, size)):
+            rows = steps[first::span]
+            taken[first * self.size :][: rows.size].reshape(rows.shape)[:] += rows
+        taken = np.add.reduceat(taken.reshape(-1, self.size).take(at + WINDOW, 0), starts, axis=0)
         edges = np.bincount(at - far, pull[at], size + 1) - np.bincount(at + far + 1, pull[at], size + 1)
         curvature = np.add.reduceat(np.maximum(np.cumsum(edges)[at] - pull[at], 0), starts)
         part = rate / 2 * shortened(rate * CURVATURE * curvature)
