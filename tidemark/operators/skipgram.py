@@ -2,9 +2,10 @@
 
 The rule is that of Spark ML's Word2Vec: every word is a centre with a reach drawn evenly from 1 to
 :data:`WINDOW`, every word in reach is a context whose vector is trained against all nodes on the centre's
-path, and the rate falls linearly with the words seen.  What differs is that the pairs of a block are all
-trained from the values before it; a value moved by many of them takes the sum of their steps, shortened
-by what its curvature allows (:func:`shortened`).  Blocks start small and grow with the words seen.
+path, and the rate falls linearly with the words seen.  What differs: the pairs of a block are all trained
+from the values before it, and a value moved by many of them takes the sum of their steps, shortened by
+what its curvature allows (:func:`shortened`); up to 32 places of a word in a block share a reach; pairs that
+are far on the right or wrong side are trained too.  Blocks start small and grow with the words seen.
 
 What is here runs inside tasks, so it is pickled by value: executors need no copy of it.
 """
@@ -30,7 +31,7 @@ PACK = 1 << 14
 FIRST_BLOCK, GROWTH, BLOCK, STEP_BYTES = 64, 0.05, 1 << 16, 48 << 20
 #: So many positions of a word share a reach and are multiplied at once; what is left of a word goes to the next size.
 TILES = (32, 8, 4, 2, 1)
-#: Curvature of the loss along a product, of which a quarter is the most.
+#: Curvature that is counted for the loss along a product, half of the most it has; sums over pairs overstate it.
 CURVATURE = 0.125
 #: Paths are filled up to a multiple of so many nodes.
 LEVELS = 4
@@ -124,7 +125,7 @@ def ordered_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def shortened(curvature: np.ndarray) -> np.ndarray:
-    """The part of a sum of steps to take: near 1 for few of them, and never beyond the minimum along a parabola."""
+    """The part of a sum of steps to take: near 1 for few of them, and not beyond the minimum of a parabola so curved."""
     x = np.maximum(curvature, 1e-6)
     return (-np.expm1(-x) / x).astype(np.float32)
 
